@@ -1,0 +1 @@
+"""Analytics for market-style time series on PySpark."""
