@@ -31,10 +31,10 @@ def trade_pnl(t: Tables) -> DataFrame:
     return priced(t).select("trade_id", "line", r("amount", 4).alias("amount"), r("pnl", 4).alias("pnl"), r("pnl_pct").alias("pnl_pct"))
 
 
-@query("trade_costs", "SELECT trade_id, line, round((entry_price + exit_price) * quantity * (0.0004::DOUBLE + CASE symbol WHEN 'Brand#11' THEN 0.01::DOUBLE WHEN 'Brand#12' THEN 0.02::DOUBLE ELSE 0.03::DOUBLE END / 200), 6) AS cost FROM trades")
+@query("trade_costs", "SELECT trade_id, line, round((entry_price + exit_price) * quantity * (0.0004::DOUBLE + CASE symbol WHEN 'Brand#11' THEN 0.01::DOUBLE WHEN 'Brand#12' THEN 0.02::DOUBLE ELSE 0.03::DOUBLE END / 200), 9) AS cost FROM trades")
 def trade_costs(t: Tables) -> DataFrame:
     costs = CostParams(spread_pct={"Brand#11": 0.01, "Brand#12": 0.02})
-    return t.trades.select("trade_id", "line", r(M.trade_costs(costs)).alias("cost"))
+    return t.trades.select("trade_id", "line", r(M.trade_costs(costs), 9).alias("cost"))
 
 
 _TRADE_METRICS = """SELECT strategy, count(*) AS total_trades, round(count(*) FILTER (pnl > 0) * 100.0::DOUBLE / count(*), 6) AS win_rate,
@@ -214,14 +214,14 @@ query("matrix_gap_symbols", _CELLS + "SELECT symbol, arg_max(strategy, (total_pn
 query("strategy_positive_share", _CELLS + "SELECT strategy, round(count(*) FILTER (total_pnl > 0) / CAST(count(*) AS DOUBLE), 6) AS share FROM m GROUP BY strategy")(
     lambda t: cells(t).groupBy("strategy").agg(r(F.count_if(F.col("total_pnl") > 0) / F.count("*")).alias("share"))
 )
-query("retirement_candidates", _CELLS + "SELECT strategy, trades FROM u WHERE trades = 0 OR winning * 100.0::DOUBLE / trades < 50 OR pnl < 0")(
-    lambda t: rollup(t).where((F.col("trades") == 0) | (F.try_divide(F.col("winning") * 100.0, F.col("trades")) < 50) | (F.col("pnl") < 0)).select("strategy", "trades")
+query("retirement_candidates", _CELLS + "SELECT strategy, trades FROM u WHERE trades = 0 OR winning * 100.0::DOUBLE / trades < 54 OR pnl < 0")(
+    lambda t: rollup(t).where((F.col("trades") == 0) | (F.try_divide(F.col("winning") * 100.0, F.col("trades")) < 54) | (F.col("pnl") < 0)).select("strategy", "trades")
 )
 query("deploy_gate", _CELLS + "SELECT strategy FROM u WHERE winning * 100.0::DOUBLE / nullif(trades, 0) > 45 AND gain / nullif(loss, 0) > 0.5")(
     lambda t: rollup(t).where((F.try_divide(F.col("winning") * 100.0, F.col("trades")) > 45) & (F.try_divide(F.col("gain"), F.col("loss")) > 0.5)).select("strategy")
 )
-query("closed_trades_export", "SELECT trade_id, line, symbol, side, round(exit_price, 4) AS exit_price, opened_at FROM trades WHERE closed_at > opened_at")(
-    lambda t: t.trades.where("closed_at > opened_at").select("trade_id", "line", "symbol", "side", r("exit_price", 4).alias("exit_price"), "opened_at")
+query("closed_trades_export", "SELECT trade_id, line, symbol, side, round(exit_price, 9) AS exit_price, opened_at FROM trades WHERE closed_at > opened_at")(
+    lambda t: t.trades.where("closed_at > opened_at").select("trade_id", "line", "symbol", "side", r("exit_price", 9).alias("exit_price"), "opened_at")
 )
 
 # --- sizing and limits --------------------------------------------------------------------------------------
@@ -238,8 +238,8 @@ _SIZE = "least(balance * CASE WHEN core THEN 0.7 ELSE 0.3 END::DOUBLE * 0.05::DO
 query("position_size", f"o AS ({_ORDERS})\nSELECT o_orderkey, round({_SIZE} / nullif(price, 0), 6) AS quantity, round({_SIZE}, 6) AS risk FROM o")(
     lambda t: (lambda q: _orders(t).select("o_orderkey", r(q[0]).alias("quantity"), r(q[1]).alias("risk")))(K.position_size(F.col("balance"), F.col("price"), F.col("core"), RISK))
 )
-query("stop_take_levels", f"o AS ({_ORDERS})\nSELECT o_orderkey, round(price * (1 - side * 0.02::DOUBLE), 4) AS stop, round(price * (1 + side * 0.03::DOUBLE), 4) AS tp1, round(price * (1 + side * 0.1::DOUBLE), 4) AS tp3 FROM o")(
-    lambda t: (lambda tp: _orders(t).select("o_orderkey", r(K.stop_loss(F.col("price"), F.col("side"), RISK), 4).alias("stop"), r(tp[0], 4).alias("tp1"), r(tp[2], 4).alias("tp3")))(K.take_profits(F.col("price"), F.col("side"), RISK))
+query("stop_take_levels", f"o AS ({_ORDERS})\nSELECT o_orderkey, round(price * (1 - side * 0.02::DOUBLE), 9) AS stop, round(price * (1 + side * 0.03::DOUBLE), 9) AS tp1, round(price * (1 + side * 0.1::DOUBLE), 9) AS tp3 FROM o")(
+    lambda t: (lambda tp: _orders(t).select("o_orderkey", r(K.stop_loss(F.col("price"), F.col("side"), RISK), 9).alias("stop"), r(tp[0], 9).alias("tp1"), r(tp[2], 9).alias("tp3")))(K.take_profits(F.col("price"), F.col("side"), RISK))
 )
 query("risk_based_qty", f"o AS ({_ORDERS})\nSELECT o_orderkey, round(CASE WHEN balance * 0.01::DOUBLE / (price * 0.02::DOUBLE) > 0 THEN least({_SIZE} / price, balance * 0.01::DOUBLE / (price * 0.02::DOUBLE)) ELSE {_SIZE} / price END, 6) AS quantity FROM o")(
     lambda t: _orders(t).select("o_orderkey", r(K.risk_based(K.position_size(F.col("balance"), F.col("price"), F.col("core"), RISK)[0], F.col("balance"), F.col("price"))).alias("quantity"))
@@ -254,26 +254,26 @@ query("risk_param_clamp", "SELECT s_suppkey, round(greatest(s_acctbal / 1000, 1)
 
 @query("risk_check", f"""o AS ({_ORDERS}), x AS (SELECT *, o_orderkey % 97 = 0 AS tripped, price * 0.5::DOUBLE AS exposure, o_orderkey % 11 = 0 AS same_symbol, o_orderkey % 10 AS open_trades FROM o),
 c AS (SELECT *, CASE WHEN tripped THEN 'circuit breaker' WHEN CASE WHEN balance > 0 THEN exposure * 100 / balance ELSE 0 END >= 80 THEN 'exposure' WHEN CASE WHEN price > 0 THEN {_SIZE} / price ELSE 0 END <= 0 THEN 'size' WHEN same_symbol THEN 'same symbol' WHEN open_trades >= 8 THEN 'open trades' ELSE '' END AS reason FROM x)
-SELECT o_orderkey, reason = '' AS approved, reason, round(CASE WHEN reason = '' THEN {_SIZE} / price END, 6) AS quantity, round(CASE WHEN reason = '' THEN price * (1 - side * 0.02::DOUBLE) END, 4) AS stop FROM c""")
+SELECT o_orderkey, reason = '' AS approved, reason, round(CASE WHEN reason = '' THEN {_SIZE} / price END, 6) AS quantity, round(CASE WHEN reason = '' THEN price * (1 - side * 0.02::DOUBLE) END, 9) AS stop FROM c""")
 def risk_check(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     rows = _orders(t).withColumns({"tripped": k % 97 == 0, "exposure": F.col("price") * 0.5, "same_symbol": k % 11 == 0, "open_trades": k % 10, "leverage": F.lit(2.0)})
-    return K.check(rows, RISK).select("o_orderkey", "approved", "reason", r("quantity").alias("quantity"), r("stop", 4).alias("stop"))
+    return K.check(rows, RISK).select("o_orderkey", "approved", "reason", r("quantity").alias("quantity"), r("stop", 9).alias("stop"))
 
 
 _STREAK = PNL.strip() + """,
 l AS (SELECT *, CASE WHEN round(pnl, 2) < 0 THEN 1 ELSE 0 END AS loss FROM p),
-n AS (SELECT *, sum(1 - loss) OVER (PARTITION BY strategy ORDER BY closed_at, trade_id, line ROWS UNBOUNDED PRECEDING) AS run FROM l),
-s AS (SELECT *, CAST(sum(loss) OVER (PARTITION BY strategy, run ORDER BY closed_at, trade_id, line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS losses_in_row,
-  sum(round(pnl, 2)) OVER (PARTITION BY strategy, CAST(closed_at AS DATE) ORDER BY closed_at, trade_id, line ROWS UNBOUNDED PRECEDING) AS daily_pnl FROM n)
+n AS (SELECT *, sum(1 - loss) OVER (PARTITION BY strategy ORDER BY closed_at, trade_id, line, part_id, quantity, exit_price ROWS UNBOUNDED PRECEDING) AS run FROM l),
+s AS (SELECT *, CAST(sum(loss) OVER (PARTITION BY strategy, run ORDER BY closed_at, trade_id, line, part_id, quantity, exit_price ROWS UNBOUNDED PRECEDING) AS BIGINT) AS losses_in_row,
+  sum(round(pnl, 2)) OVER (PARTITION BY strategy, CAST(closed_at AS DATE) ORDER BY closed_at, trade_id, line, part_id, quantity, exit_price ROWS UNBOUNDED PRECEDING) AS daily_pnl FROM n)
 """
-BY, ORDER = ("strategy",), ("closed_at", "trade_id", "line")
+BY, ORDER = ("strategy",), ("closed_at", "trade_id", "line", "part_id", "quantity", "exit_price")
 query("consecutive_losses", _STREAK + "SELECT strategy, trade_id, line, losses_in_row FROM s")(lambda t: K.streaks(priced(t), BY, ORDER).select("strategy", "trade_id", "line", "losses_in_row"))
-query("daily_pnl_running", _STREAK + "SELECT strategy, trade_id, line, round(daily_pnl, 1) AS daily_pnl FROM s")(lambda t: K.daily_pnl(priced(t), BY, ORDER).select("strategy", "trade_id", "line", r("daily_pnl", 1).alias("daily_pnl")))
+query("daily_pnl_running", _STREAK + "SELECT strategy, trade_id, line, round(daily_pnl, 2) AS daily_pnl FROM s")(lambda t: K.daily_pnl(priced(t), BY, ORDER).select("strategy", "trade_id", "line", r("daily_pnl", 2).alias("daily_pnl")))
 
 _TRIPS = _STREAK.rstrip() + """,
 c AS (SELECT *, CASE WHEN daily_pnl <= -500000 THEN 'daily loss' WHEN losses_in_row >= 12 THEN 'consecutive losses' END AS reason FROM s),
-g AS (SELECT *, coalesce(first_value(reason IGNORE NULLS) OVER (PARTITION BY strategy ORDER BY closed_at, trade_id, line ROWS UNBOUNDED PRECEDING), '') AS trip_reason FROM c)
+g AS (SELECT *, coalesce(first_value(reason IGNORE NULLS) OVER (PARTITION BY strategy ORDER BY closed_at, trade_id, line, part_id, quantity, exit_price ROWS UNBOUNDED PRECEDING), '') AS trip_reason FROM c)
 """
 
 

@@ -23,7 +23,7 @@ def _features(name: str, columns: tuple[str, ...], sql: str) -> None:
 
 
 def _out(columns: tuple[str, ...], table: str) -> str:
-    return f"SELECT symbol, bar_start, {', '.join(f'round({c}, 6) AS {c}' for c in columns)} FROM {table}"
+    return f"SELECT symbol, bar_start, {', '.join(f'round({c}, 6) + 0 AS {c}' for c in columns)} FROM {table}"
 
 
 _RET = f"c AS (SELECT *, {', '.join(f'close / nullif(lag(close, {k}) OVER w, 0) - 1 AS ret_{k}' for k in (1, 5, 10, 20))} FROM bars_1h {Q.W})"
@@ -59,7 +59,7 @@ _FRAME20 = "(PARTITION BY symbol ORDER BY bar_start ROWS BETWEEN 19 PRECEDING AN
 _features("feat_rolling_corr", ("volume_price_corr_20",), f"""
 a AS (SELECT symbol, bar_start, sign(close - lag(close) OVER w) AS x, sign(volume - lag(volume) OVER w) AS y FROM bars_1h {Q.W}),
 v AS (SELECT *, CASE WHEN count(x + y) OVER {_FRAME20} = 20 THEN covar_samp(x, y) OVER {_FRAME20} / nullif(stddev_samp(x) OVER {_FRAME20} * stddev_samp(y) OVER {_FRAME20}, 0) END AS c FROM a)
-SELECT symbol, bar_start, round(coalesce(c, 0), 6) AS volume_price_corr_20 FROM v""")
+SELECT symbol, bar_start, round(coalesce(c, 0), 6) + 0 AS volume_price_corr_20 FROM v""")
 _features("feat_trend_quality", ("adx_trend_strength", "ema_slope_20"), "RECURSIVE " + Q.BASE + ",\n" + Q.ADX + ",\n" + Q.ewm("a", "s", "close", 20) + f""",
 d AS (SELECT s.symbol, s.bar_start, adx.e / 100 AS adx_trend_strength, a.e AS ea FROM s LEFT JOIN adx USING (symbol, n) JOIN a USING (symbol, n)),
 v AS (SELECT *, (ea - lag(ea, 5) OVER w) / (lag(ea, 5) OVER w + {EPS}) AS ema_slope_20 FROM d {Q.W})
@@ -67,7 +67,7 @@ v AS (SELECT *, (ea - lag(ea, 5) OVER w) / (lag(ea, 5) OVER w + {EPS}) AS ema_sl
 
 
 @query("feature_select_ffill", f"""{_RET}, v AS (SELECT *, last_value(CASE WHEN bar_start IS NOT NULL AND hour(bar_start) % 3 > 0 THEN ret_5 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_start ROWS UNBOUNDED PRECEDING) AS f FROM c)
-SELECT symbol, bar_start, round(coalesce(f, 0), 6) AS ret_5 FROM v""")
+SELECT symbol, bar_start, round(coalesce(f, 0), 6) + 0 AS ret_5 FROM v""")
 def feature_select_ffill(t: Tables) -> DataFrame:
     rows = t.bars("1h").withColumn("ret_5", W.change(F.col("close"), 5))
     rows = rows.withColumn("ret_5", F.when(F.hour("bar_start") % 3 > 0, F.col("ret_5")).when(F.col("ret_5").isNotNull(), float("inf")))
@@ -83,7 +83,7 @@ def _label(name: str, made: Callable[[], Column], column: str, sql: str) -> None
 
 _label("label_three_class", X.three_class, "label", "CASE WHEN fr > 0.01 THEN 'up' WHEN fr < -0.01 THEN 'down' WHEN fr IS NOT NULL THEN 'hold' END")
 _label("label_binary", X.binary, "label", "CAST(CASE WHEN fr >= 0.005 THEN 1 WHEN fr <= -0.005 THEN 0 END AS INTEGER)")
-_label("label_regression", lambda: F.round(X.forward_return(4), 6), "label", "round(fr, 6)")
+_label("label_regression", lambda: F.round(X.forward_return(4), 6), "label", "round(fr, 6) + 0")
 
 _BARRIER = """
 n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_start) AS i, count(*) OVER (PARTITION BY symbol ORDER BY bar_start ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING) AS ahead FROM bars_1h),
@@ -110,7 +110,7 @@ def feature_label_join(t: Tables) -> DataFrame:
 
 @query("expanding_zscore", """
 a AS (SELECT symbol, bar_start, close, avg(close) OVER w AS m, round(stddev_pop(close) OVER w, 9) AS d FROM bars_1h WINDOW w AS (PARTITION BY symbol ORDER BY bar_start ROWS UNBOUNDED PRECEDING))
-SELECT symbol, bar_start, round(coalesce((close - m) / nullif(d, 0), 0), 5) AS z FROM a""")
+SELECT symbol, bar_start, round(coalesce((close - m) / nullif(d, 0), 0), 5) + 0 AS z FROM a""")
 def expanding_zscore(t: Tables) -> DataFrame:
     return t.bars("1h").select(*KEY, r(X.expanding_zscore(F.col("close")), 5).alias("z"))
 

@@ -61,7 +61,7 @@ def second_last_bar(t: Tables) -> DataFrame:
     return M.nth_last(t.bars("1h"), 2).select("symbol", "bar_start", "close")
 
 
-@query("json_kline_parse", "SELECT event_type AS symbol, epoch_ms(ts) AS close_ms, value AS close, round(value + 1, 6) AS high, round(value - 1, 6) AS low FROM events WHERE event_id % 3 = 0")
+@query("json_kline_parse", "SELECT event_type AS symbol, CAST(epoch_us(ts) // 1000 AS BIGINT) AS close_ms, value AS close, round(value + 1, 6) AS high, round(value - 1, 6) AS low FROM events WHERE event_id % 3 = 0")
 def json_kline_parse(t: Tables) -> DataFrame:
     text = lambda c: c.cast("string")
     k = F.struct(
@@ -86,7 +86,7 @@ def kline_api_shape(t: Tables) -> DataFrame:
     return t.bars("1h").select("symbol", seconds.alias("time"), *[r(c, 4).alias(c) for c in ("open", "high", "low", "close", "volume")])
 
 
-@query("epoch_ms_to_ts", "SELECT event_id, make_timestamp_ms(epoch_ms(ts)) AS at FROM events")
+@query("epoch_ms_to_ts", "SELECT event_id, make_timestamp_ms(CAST(epoch_us(ts) // 1000 AS BIGINT)) AS at FROM events")
 def epoch_ms_to_ts(t: Tables) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     return t.events.select("event_id", F.timestamp_millis(ms).cast("timestamp_ntz").alias("at"))
@@ -205,7 +205,7 @@ def month_windows(t: Tables) -> DataFrame:
 @query("unrealized_pnl", """
 l AS (SELECT symbol, arg_max(price, (ts, seq)) AS price FROM ticks GROUP BY symbol),
 p AS (SELECT event_id, event_type AS symbol, value AS entry, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS quantity, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side FROM events WHERE event_id % 20 = 0)
-SELECT p.event_id, round((coalesce(l.price, p.entry) - p.entry) * p.quantity * p.side, 6) AS upnl FROM p LEFT JOIN l USING (symbol)""")
+SELECT p.event_id, round((coalesce(l.price, p.entry) - p.entry) * p.quantity * p.side, 6) + 0 AS upnl FROM p LEFT JOIN l USING (symbol)""")
 def unrealized_pnl(t: Tables) -> DataFrame:
     return _positions(t).select("event_id", r("upnl").alias("upnl"))
 
@@ -232,12 +232,12 @@ def emergency_stop(t: Tables) -> DataFrame:
     return _positions(t).where(pct <= -5).select("event_id", "symbol")
 
 
-@query("close_worst", _POSITIONS + "SELECT symbol, arg_min(event_id, (upnl, event_id)) AS event_id, round(min(upnl), 6) AS upnl FROM u GROUP BY symbol")
+@query("close_worst", _POSITIONS + "SELECT symbol, arg_min(event_id, (upnl, event_id)) AS event_id, round(min(upnl), 6) + 0 AS upnl FROM u GROUP BY symbol")
 def close_worst(t: Tables) -> DataFrame:
     return _positions(t).groupBy("symbol").agg(F.min_by("event_id", F.struct("upnl", "event_id")).alias("event_id"), r(F.min("upnl")).alias("upnl"))
 
 
-@query("portfolio_exposure", _POSITIONS + "SELECT symbol, round(sum(entry * quantity), 6) AS invested, round(sum(entry * quantity) / 1000, 6) AS exposure_pct, round(sum(upnl), 6) AS upnl FROM u GROUP BY symbol")
+@query("portfolio_exposure", _POSITIONS + "SELECT symbol, round(sum(entry * quantity), 6) AS invested, round(sum(entry * quantity) / 1000, 6) AS exposure_pct, round(sum(upnl), 6) + 0 AS upnl FROM u GROUP BY symbol")
 def portfolio_exposure(t: Tables) -> DataFrame:
     invested = F.sum(F.col("entry") * F.col("quantity"))
     return _positions(t).groupBy("symbol").agg(r(invested).alias("invested"), r(invested / 100_000 * 100).alias("exposure_pct"), r(F.sum("upnl")).alias("upnl"))

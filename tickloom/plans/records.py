@@ -123,7 +123,7 @@ def _articles(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.alias("body"))
 
 
-query("sentiment_ema", "RECURSIVE a AS (SELECT source AS symbol, doc_id, CAST(quality - toxic AS DOUBLE) AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents JOIN labels USING (doc_id)), g AS (SELECT symbol, doc_id, n, 0.3::DOUBLE * x AS e FROM a WHERE n = 1 UNION ALL SELECT a.symbol, a.doc_id, a.n, g.e + 0.3::DOUBLE * (a.x - g.e) FROM g JOIN a ON a.symbol = g.symbol AND a.n = g.n + 1)\nSELECT symbol, doc_id, round(e, 6) AS sentiment FROM g")(
+query("sentiment_ema", "RECURSIVE a AS (SELECT source AS symbol, doc_id, CAST(quality - toxic AS DOUBLE) AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents JOIN labels USING (doc_id)), g AS (SELECT symbol, doc_id, n, 0.3::DOUBLE * x AS e FROM a WHERE n = 1 UNION ALL SELECT a.symbol, a.doc_id, a.n, g.e + 0.3::DOUBLE * (a.x - g.e) FROM g JOIN a ON a.symbol = g.symbol AND a.n = g.n + 1)\nSELECT symbol, doc_id, round(e, 6) + 0 AS sentiment FROM g")(
     lambda t: R.with_recursions(
         t.documents.join(t.labels, "doc_id").select(F.col("source").alias("symbol"), "doc_id", (F.col("quality") - F.col("toxic")).cast("double").alias("x")),
         [R.Recursion(("e",), ("x",), partial(R.decayed, alpha=0.3))], time=("doc_id",),
@@ -132,9 +132,9 @@ query("sentiment_ema", "RECURSIVE a AS (SELECT source AS symbol, doc_id, CAST(qu
 
 _MOMENTUM = "RECURSIVE " + Q.BASE + """,
 c AS (SELECT symbol, bar_start, n, (close / nullif(lag(close, 1) OVER w, 0) - 1) * 100 AS a, (close / nullif(lag(close, 3) OVER w, 0) - 1) * 100 AS b, (close / nullif(lag(close, 12) OVER w, 0) - 1) * 100 AS d FROM s WINDOW w AS (PARTITION BY symbol ORDER BY bar_start)),
-m AS (SELECT symbol, bar_start, n, (greatest(-1, least(1, a / 2)) * 0.5 + coalesce(greatest(-1, least(1, b / 4)) * 0.3::DOUBLE, 0) + coalesce(greatest(-1, least(1, d / 8)) * 0.2::DOUBLE, 0)) / (0.5 + CASE WHEN b IS NULL THEN 0 ELSE 0.3 END + CASE WHEN d IS NULL THEN 0 ELSE 0.2 END)::DOUBLE AS x FROM c),
+m AS (SELECT symbol, bar_start, n, (CASE WHEN a IS NOT NULL THEN greatest(-1, least(1, a / 2)) * 0.5 END + CASE WHEN b IS NULL THEN 0 ELSE greatest(-1, least(1, b / 4)) * 0.3::DOUBLE END + CASE WHEN d IS NULL THEN 0 ELSE greatest(-1, least(1, d / 8)) * 0.2::DOUBLE END) / (0.5 + CASE WHEN b IS NULL THEN 0 ELSE 0.3 END + CASE WHEN d IS NULL THEN 0 ELSE 0.2 END)::DOUBLE AS x FROM c),
 g AS (SELECT symbol, bar_start, n, CASE WHEN x IS NULL THEN 0 ELSE 0.3::DOUBLE * x END AS e FROM m WHERE n = 0 UNION ALL SELECT m.symbol, m.bar_start, m.n, g.e + 0.3::DOUBLE * (coalesce(m.x, g.e) - g.e) FROM g JOIN m ON m.symbol = g.symbol AND m.n = g.n + 1)
-SELECT symbol, bar_start, round(e, 6) AS sentiment FROM g"""
+SELECT symbol, bar_start, round(e, 6) + 0 AS sentiment FROM g"""
 query("momentum_sentiment", _MOMENTUM)(lambda t: S.momentum_sentiment(t.bars("1h")).select("symbol", "bar_start", r("sentiment").alias("sentiment")))
 
 # --- scalars, arrays, maps ----------------------------------------------------------------------------------

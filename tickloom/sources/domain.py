@@ -29,11 +29,11 @@ class Tables:
 
     @property
     def trades(self) -> DataFrame:
-        """Closed trades: (trade_id, line, strategy, symbol, side, entry_price, exit_price, quantity, opened_at,
+        """Closed trades: (trade_id, line, part_id, strategy, symbol, side, entry_price, exit_price, quantity, opened_at,
         closed_at)."""
         joined = self.lineitem.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(self.part, F.col("l_partkey") == F.col("p_partkey"))
         return joined.select(
-            F.col("l_orderkey").alias("trade_id"), F.col("l_linenumber").alias("line"),
+            F.col("l_orderkey").alias("trade_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part_id"),
             F.concat("l_returnflag", "l_linestatus").alias("strategy"), F.col("p_brand").alias("symbol"),
             F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(-1).alias("side"),
             F.col("p_retailprice").alias("entry_price"), F.try_divide("l_extendedprice", "l_quantity").alias("exit_price"),
@@ -56,7 +56,7 @@ class Tables:
 #: The same views in SQL, for the oracles.
 SQL = {
     "ticks": "SELECT event_type AS symbol, ts, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume, event_id AS seq FROM events",
-    "trades": """SELECT l_orderkey AS trade_id, l_linenumber AS line, l_returnflag || l_linestatus AS strategy, p_brand AS symbol,
+    "trades": """SELECT l_orderkey AS trade_id, l_linenumber AS line, l_partkey AS part_id, l_returnflag || l_linestatus AS strategy, p_brand AS symbol,
         CAST(CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE -1 END AS INTEGER) AS side, p_retailprice AS entry_price,
         l_extendedprice / nullif(l_quantity, 0) AS exit_price, l_quantity AS quantity,
         least(o_orderdate, l_shipdate) AS opened_at, greatest(o_orderdate, l_shipdate) AS closed_at
