@@ -50,7 +50,7 @@ class Tables:
         mean = F.avg("value").over(Window.partitionBy("event_type"))
         order = Window.orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
         change = self.events.select("event_id", "ts", (F.col("value") - mean).alias("change"))
-        return change.select("event_id", "ts", F.round(100000 + F.sum("change").over(order), 6).alias("equity"))
+        return change.select("event_id", "ts", F.round(100000 + F.sum("change").over(order), 3).alias("equity"))
 
 
 #: The same views in SQL, for the oracles.
@@ -61,7 +61,7 @@ SQL = {
         l_extendedprice / nullif(l_quantity, 0) AS exit_price, l_quantity AS quantity,
         least(o_orderdate, l_shipdate) AS opened_at, greatest(o_orderdate, l_shipdate) AS closed_at
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
-    "equity": """SELECT event_id, ts, round(100000 + sum(change) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS equity
+    "equity": """SELECT event_id, ts, round(100000 + sum(change) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS equity
         FROM (SELECT event_id, ts, value - avg(value) OVER (PARTITION BY event_type) AS change FROM events)""",
 }
 
