@@ -34,8 +34,8 @@ HOPE = 0.58
 
 
 def node(text: Column) -> list[Column]:
-    """(a, b): 128 bits of hash that stand for a text; null and empty are the same."""
-    body = F.coalesce(text, F.lit(""))
+    """(a, b): 128 bits of hash that stand for a text; all texts without words are the same, null among them."""
+    body = F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(F.lit(""))
     return [F.xxhash64(body).alias("a"), F.xxhash64(F.lit("node"), body).alias("b")]
 
 
