@@ -23,8 +23,11 @@ from .runtime import quoted
 
 #: Bounds of the training sample, in documents; taken in the order of a hash of the id.
 MOST_TOXIC, MOST_UNLABELLED = 4000, 8000
-#: Features that the classifier keeps, by the distance of their frequencies in P and U.
-MOST_FEATURES = 3000
+#: Features that the classifier keeps, by the distance of their frequencies in P and U: so many for each document of P,
+#: and so many at most.
+FEATURES_EACH, MOST_FEATURES = 8, 3000
+#: Shrinkage of the weights, over the size of P.
+DECAY = 0.06
 #: Beginnings of words, in bytes.
 PREFIXES = range(4, 13)
 LEVELS = (1, 2, 4)
@@ -103,7 +106,7 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def nnpu(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n_cols: int, toxic: np.ndarray, prior: float, steps: int = 200, rate: float = 0.08, decay: float = 2e-4) -> np.ndarray:
+def nnpu(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n_cols: int, toxic: np.ndarray, prior: float, steps: int = 200, rate: float = 0.08, decay: float = 0.0) -> np.ndarray:
     """Weights of a linear classifier with the logistic loss, by Adam on all rows at once; toxic: P, else U."""
     n = len(toxic)
     w, m, v = np.zeros(n_cols), np.zeros(n_cols), np.zeros(n_cols)
@@ -126,7 +129,8 @@ def nnpu(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n_cols: int, to
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model | None:
     """A model from the rows outside the held-out fold; None if none of them is confirmed toxic.
 
-    The rows are sorted, so that the same data give the same model.
+    The rows are sorted, so that the same data give the same model. The class prior is the share of toxic rows among
+    the labelled ones, or what the best features' frequencies in U leave room for, if that is less.
     The driver takes MOST_TOXIC + MOST_UNLABELLED rows of counts of MOST_FEATURES features at most, and two sums.
     Feature frequencies are counted in Spark. Null labels and ids are passed over.
     """
@@ -160,8 +164,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     seen = sample.mapInArrow(count(None, False), "kind int, feature long").groupBy("feature").agg(F.sum("kind").alias("p"), F.sum(1 - F.col("kind")).alias("u"))
     share_p, share_u = (F.col("p") + 0.5 * prior) / len(p), (F.col("u") + 0.5) / max(1, len(u))
     spread = F.sqrt(share_p / len(p) + share_u / max(1, len(u)))
-    best = seen.where("p >= 2").orderBy(F.desc(F.abs(share_p - share_u) / spread), "feature").limit(MOST_FEATURES)
-    known = np.sort(np.array([r["feature"] for r in best.select("feature").collect()], np.int64).view(np.uint64))
+    n_features = min(MOST_FEATURES, FEATURES_EACH * len(p))
+    best = seen.where("p >= 2").orderBy(F.desc(F.abs(share_p - share_u) / spread), "feature").limit(n_features)
+    picked = best.select("feature", "p", "u").collect()
+    known = np.sort(np.array([r["feature"] for r in picked], np.int64).view(np.uint64))
+    # A share s of P and t of U have a feature; t is at least prior * s, so t / s bounds the prior from above.
+    bounds = [(r["u"] + 2 * r["u"] ** 0.5 + 1) / max(1, len(u)) * len(p) / r["p"] for r in picked if r["p"] >= max(10, len(p) / 20)]
+    prior = max(min([prior, *bounds]), 1e-3)
     table = sample.mapInArrow(count(known, True), "kind int, n_words long, features array<int>, counts array<int>").orderBy("kind", "n_words", "features", "counts").toArrow()
     if not table.num_rows:
         return None
@@ -180,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows += [every, every]
     cols += [np.full(len(kind), len(LEVELS) * k), np.full(len(kind), len(LEVELS) * k + 1)]
     values += [np.log1p(table.column("n_words").to_numpy()), np.ones(len(kind))]
-    w = nnpu(np.concatenate(rows), np.concatenate(cols), np.concatenate(values), len(LEVELS) * k + 2, kind == 1, prior)
+    w = nnpu(np.concatenate(rows), np.concatenate(cols), np.concatenate(values), len(LEVELS) * k + 2, kind == 1, prior, decay=DECAY / len(p))
     return Model(known, w[:-2].reshape(len(LEVELS), k), float(w[-2]), float(w[-1]))
 
 
