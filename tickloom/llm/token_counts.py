@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .runtime import quoted
+from .runtime import quoted, stored
 from .token_files import library_encoder
 
 #: Lengths are summed in ranges of this many before the suffix sums, so that no task sees all distinct lengths.
@@ -36,8 +36,11 @@ def token_lengths(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
-    """(n_tokens, n_docs): partial counts are made where the documents are, so a common length is no hot spot."""
-    return lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    """(n_tokens, n_docs): partial counts are made where the documents are, so a common length is no hot spot.
+
+    It is stored, for what follows reads it several times and encoding is the dear part.
+    """
+    return stored(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
