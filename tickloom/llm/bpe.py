@@ -27,8 +27,11 @@ from .runtime import quoted
 
 #: Distinct pieces that a worker remembers; beyond it, it forgets all and starts again. It bounds memory only.
 REMEMBERED = 600_000
+#: The same for the prefix tables, beside the trie and the pairs; and the text bytes that are encoded at once. A worker
+#: that stays for later stages then holds little.
+PREFIX_REMEMBERED, PREFIX_CHUNK = 300_000, 2 << 20
 #: Pairs of tokens whose meeting is remembered.
-PAIRS = 1_000_000
+PAIRS = 400_000
 _TOKEN = 256
 
 
@@ -226,7 +229,7 @@ def prefix_encoder(path: str) -> tuple[PieceEncoder, np.ndarray, np.ndarray]:
     tokens = [b""] * (max(ranks.values()) + 1)
     for t, i in ranks.items():
         tokens[i] = t
-    return PieceEncoder(lambda texts: [*map(bpe.encode_piece, texts)]), np.frombuffer(b"".join(tokens), np.uint8), np.append(0, np.cumsum([*map(len, tokens)]))
+    return PieceEncoder(lambda texts: [*map(bpe.encode_piece, texts)], PREFIX_REMEMBERED), np.frombuffer(b"".join(tokens), np.uint8), np.append(0, np.cumsum([*map(len, tokens)]))
 
 
 def decode_ids(ids: np.ndarray, off: np.ndarray, pool: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +250,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
         encoder = prefix_encoder(vocabulary)[0]
         for batch in batches:
             at = batch.schema.names.index(text)
-            for i, j, data, off in K.chunks(batch.column(at)):
+            for i, j, data, off in K.chunks(batch.column(at), PREFIX_CHUNK):
                 ids, to = encoder.chunk(data, off)
                 rows = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(ids, pa.int32()))], [*kept, "token_ids"])
@@ -266,7 +269,7 @@ def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pool, at = prefix_encoder(vocabulary)
         for batch in batches:
-            for i, j, data, off in K.chunks(batch.column(1)):
+            for i, j, data, off in K.chunks(batch.column(1), PREFIX_CHUNK):
                 ids, to = encoder.chunk(data, off)
                 back, end = decode_ids(ids, to, pool, at)
                 packed, back = memoryview(ids.astype("<u4").tobytes()), memoryview(back.tobytes())

@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 TILE = 512
 #: Signatures that agree in less than this share are not compared exactly: 6 standard errors below 0.8.
 HOPE = 0.58
+#: Text bytes whose shingles are made at once.
+CHUNK = 1 << 20
 
 
 def node(text: Column) -> list[Column]:
@@ -72,7 +74,7 @@ def sign(docs: DataFrame, key: str, text: str, weights: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, off in K.chunks(batch.column(3), 1 << 20):
+            for i, j, data, off in K.chunks(batch.column(3), CHUNK):
                 hashes, count, first = shingles(data, off)
                 weight = count.astype(float) if weights == "count" else np.ones(len(count))
                 sig = signatures(hashes, weight, first, BANDS * ROWS)
@@ -95,7 +97,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, off in K.chunks(batch.column(2)):
+            for i, j, data, off in K.chunks(batch.column(2), CHUNK):
                 hashes, _, first = shingles(data, off)
                 rows = K.binary_array(hashes.view(np.uint8), 8 * first)
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:2], rows], names=["a", "b", "set"])

@@ -31,6 +31,8 @@ DECAY = 0.06
 #: Beginnings of words, in bytes.
 PREFIXES = range(4, 13)
 LEVELS = (1, 2, 4)
+#: Text bytes whose features are counted at once.
+CHUNK = 1 << 20
 THRESHOLD = 0.3
 
 # Word bytes: ASCII letters and everything beyond ASCII.
@@ -150,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def count(known: np.ndarray | None, levels: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i, j, data, off in K.chunks(batch.column(1)):
+                for i, j, data, off in K.chunks(batch.column(1), CHUNK):
                     kind = batch.column(0).slice(i, j - i)
                     at, value, times, n_words = counted(data, off, known)
                     if not levels:
@@ -206,7 +208,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.names.index(text)
-            for i, j, data, off in K.chunks(batch.column(at)):
+            for i, j, data, off in K.chunks(batch.column(at), CHUNK):
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(model.score(data, off))], names=schema.names)
 
     return docs.select(*map(quoted, kept)).mapInArrow(run, schema)
