@@ -215,7 +215,7 @@ def _positions(t: Tables) -> DataFrame:
 
     prices = t.ticks.groupBy("symbol").agg(F.max_by("price", F.struct("ts", "seq")).alias("last"))
     side = F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)
-    held = t.events.where(F.col("event_id") % 20 == 0).select("event_id", F.col("event_type").alias("symbol"), F.col("value").alias("entry"), F.get_json_object("props", "$.k").cast("double").alias("quantity"), side.alias("side"))
+    held = t.events.select("event_id", F.col("event_type").alias("symbol"), F.col("value").alias("entry"), F.get_json_object("props", "$.k").cast("double").alias("quantity"), side.alias("side"))
     return held.join(prices, "symbol", "left").withColumn("upnl", unrealised(F.col("entry"), F.col("last"), F.col("quantity"), F.col("side")))
 
 
