@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from tests.oracle import connect
-from tickloom.plans import market  # noqa: F401
-from tickloom.plans.registry import QUERIES
+from tests.oracle import connect, rows_of, rows_of_sql
+from tickloom.plans import indicators, market  # noqa: F401
+from tickloom.plans.registry import ORACLES, QUERIES
 
 ROOT = "/root/testdata/sf0.001"
 UPNL = """WITH l AS (SELECT event_type AS symbol, arg_max(value, (ts, event_id)) AS price FROM events GROUP BY event_type),
@@ -38,3 +38,12 @@ def same(spark, name, sql):
 @pytest.mark.parametrize("name", POSITIONS)
 def test_every_event_is_a_position(spark, name):
     same(spark, name, UPNL + POSITIONS[name])
+
+
+@pytest.mark.parametrize("name, cut", [("signal_price_join", " WHERE t.seq % 10 = 0"), ("signal_lookup_default", " WHERE t.seq % 25 = 0")])
+def test_every_tick_is_looked_up(spark, name, cut):
+    """The registered SQL without its cut of the ticks, if it has it."""
+    whole = ORACLES[name].replace(cut, "")
+    names, rows = rows_of(QUERIES[name](spark, ROOT))
+    assert (names, rows) == rows_of_sql(connect(ROOT), whole)
+    assert len(rows) == {"signal_price_join": 1, "signal_lookup_default": 3}[name] * spark.read.parquet(f"{ROOT}/events.parquet").count()

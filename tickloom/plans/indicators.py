@@ -138,7 +138,7 @@ query("signal_totals", _SIGNALS + "SELECT strategy, CAST(count(*) AS BIGINT) AS
 @query("signal_lookup_default", _SIGNALS + """, q AS (SELECT s.strategy, t.symbol, date_trunc('hour', t.ts) AS ts, t.seq FROM ticks t CROSS JOIN (SELECT unnest(['reversal', 'breakout', 'missing']) AS strategy) s WHERE t.seq % 25 = 0)
 SELECT q.strategy, q.symbol, q.seq, CAST(coalesce(m.side, 0) AS INTEGER) AS side, coalesce(m.exit_long, false) AS exit_long FROM q LEFT JOIN m USING (strategy, symbol, ts)""")
 def signal_lookup_default(t: Tables) -> DataFrame:
-    asked = t.ticks.where(F.col("seq") % 25 == 0).select("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), "seq")
+    asked = t.ticks.select("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), "seq")
     asked = asked.withColumn("strategy", F.explode(F.array(*map(F.lit, ("reversal", "breakout", "missing")))))
     found = asked.join(matrix(t).select("strategy", "symbol", "ts", "side", "exit_long"), ["strategy", "symbol", "ts"], "left")
     return found.select("strategy", "symbol", "seq", F.coalesce("side", F.lit(0)).alias("side"), F.coalesce("exit_long", F.lit(False)).alias("exit_long"))

@@ -114,7 +114,7 @@ def asof_htf_join(t: Tables) -> DataFrame:
 
 @query("signal_price_join", "SELECT t.symbol, t.ts, b.close FROM ticks t JOIN bars_1h b ON t.symbol = b.symbol AND date_trunc('hour', t.ts) = b.bar_start WHERE t.seq % 10 = 0")
 def signal_price_join(t: Tables) -> DataFrame:
-    asked = t.ticks.where(F.col("seq") % 10 == 0).withColumn("bar_start", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    asked = t.ticks.withColumn("bar_start", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     return asked.join(t.bars("1h").select("symbol", "bar_start", "close"), ["symbol", "bar_start"]).select("symbol", "ts", "close")
 
 
