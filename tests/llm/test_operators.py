@@ -349,6 +349,30 @@ def test_token_files(spark, tmp_path):
     assert token_files.token_index(spark, none).count() == 0
 
 
+def test_added_tokens_are_the_librarys(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    end = "<|endoftext|>"
+    assert t.encode(f"abc {end} def", add_special_tokens=False).ids == [39305, 220, 50256, 825]
+    rng = random.Random(3)
+    parts = [end, end, "<|endof", "text|>", "<|", " ", "  \n", "a b", "'s", "é漢", "<|endoftext", "don't"]
+    sample = [f"abc {end} def", end, end * 3, "", f"{end} ", "<|endof", "text|> x", None, *("".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(400))]
+    df = spark.createDataFrame([*enumerate(sample)], "doc_id long, text string")
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in sample]
+    token_files.write_tokens(df, str(tmp_path / "tokens"), JSON, end_id=None)
+    assert [r.token_ids for r in token_files.read_tokens(spark, str(tmp_path / "tokens")).orderBy("doc_id").collect()] == want
+    assert sorted(r.n_tokens for r in token_counts.token_lengths(df, JSON).collect()) == sorted(map(len, want))
+
+
+def test_longest_added_token_counts():
+    encoder = token_files.AddedEncoder(lambda texts: [[*x] for x in texts], {b"<a>": 1000, b"<a><b>": 1001})
+    data, off = K.buffers(pa.array(["x<a><b>y<a>", "<a>", "<b>", "", "<a><", "b><a>"]))
+    ids, to = encoder.chunk(data, off)
+    want = [[120, 1001, 121, 1000], [1000], [60, 98, 62], [], [1000, 60], [98, 62, 1000]]
+    assert [ids[a:b].tolist() for a, b in zip(to[:-1], to[1:], strict=True)] == want
+
+
 # --- operator 8 ---------------------------------------------------------------------------------------------
 
 

@@ -10,8 +10,9 @@ The order is by ascending document id, nulls first; rows with equal ids are orde
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,22 +30,64 @@ FORMAT = {"compression": "zstd", "orc.stripe.size": str(STRIPE_BYTES), "orc.row.
 COLUMNS = "doc_id long, part int, part_end long, token_ids array<int>"
 
 
+class AddedEncoder(PieceEncoder):
+    """A PieceEncoder that first cuts each text at the added tokens of a vocabulary, which stand for one id each.
+
+    Of several that begin at one place the longest counts. `added`: token bytes to id.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], added: dict[bytes, int]):
+        super().__init__(encode)
+        self.added = added
+        self.pattern = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+
+    def _found(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, end, id) of each added token; none reaches from one text into the next."""
+        out, at, view = [], 0, memoryview(np.ascontiguousarray(data))
+        while self.pattern and (m := self.pattern.search(view, at)):
+            border = int(off[np.searchsorted(off, m.start(), "right")])
+            if m.end() > border and not (m := self.pattern.search(view, m.start(), border)):
+                at = border
+                continue
+            at = m.end()
+            out.append((m.start(), at, self.added[bytes(m.group())]))
+        return out
+
+    def chunk(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = self._found(data, off)
+        if not found:
+            return super().chunk(data, off)
+        start, end, token = (np.array(x, np.int64) for x in zip(*found, strict=True))
+        cuts = np.unique(np.concatenate([off, start, end]))
+        ids, to = super().chunk(data, cuts)
+        size, one = np.diff(to), np.zeros(len(cuts) - 1, bool)
+        one[np.searchsorted(cuts, start)] = True
+        whole = np.append(0, np.cumsum(np.where(one, 1, size)))
+        out = np.empty(whole[-1], ids.dtype)
+        out[whole[:-1][one]] = token
+        out[K.ragged(whole[:-1][~one], size[~one])] = ids[np.repeat(~one, size)]
+        return out, whole[np.searchsorted(cuts, off)]
+
+
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> PieceEncoder:
     """A worker's encoder by the tokenizers library, which sees each distinct piece once.
 
-    The library's byte-level pre-tokenizer cuts a text just as `kernels.pieces` does, and a piece by itself is not
-    cut again, so its ids are those that it has inside any text. Strings of special tokens count as text.
+    The library first cuts a text at the file's added tokens. Its byte-level pre-tokenizer cuts what is between them
+    just as `kernels.pieces` does, and a piece by itself is not cut again, so its ids are those that it has inside any
+    text. Added tokens that take white space along, stand as single words or match normalised text are refused.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = tokenizer.get_added_tokens_decoder()
+    if odd := [t.content for t in added.values() if t.lstrip or t.rstrip or t.single_word or t.normalized and tokenizer.normalizer]:
+        raise ValueError(f"added tokens with such options aren't supported: {odd}")
 
     def encode(texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
-    return PieceEncoder(encode)
+    return AddedEncoder(encode, {t.content.encode(): i for i, t in added.items() if t.content})
 
 
 def encoded(rows: DataFrame, vocabulary: str, end_id: int | None) -> DataFrame:
