@@ -425,6 +425,21 @@ def test_line_index_is_reversible(spark):
     assert lines_of(index.apply(rest)) == brute_lines(texts(rest)) and index.counts().agg(F.max("refs")).first()[0] == 3
 
 
+def test_line_index_forgets_a_document_inserted_twice(spark):
+    line = "this line stands in several documents"
+    docs = spark.createDataFrame([(i, f"{line}\nown line {i}", "en", "s", 1) for i in range(3)], SCHEMA)
+    index = line_dedup.LineIndex(spark)
+    index.insert(docs)
+    index.insert(docs.where("doc_id = 2"))
+    assert lines_of(index.apply(docs)) == brute_lines(texts(docs))
+    index.delete(spark.createDataFrame([(2,)], "doc_id long"))
+    assert index.alive().where("doc_id = 2").count() == 0
+    rest = docs.where("doc_id < 2")
+    assert lines_of(index.apply(rest)) == brute_lines(texts(rest))
+    index.insert(docs.where("doc_id = 2"))
+    assert lines_of(index.apply(docs)) == brute_lines(texts(docs))
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 20_000, dtype=np.uint64)

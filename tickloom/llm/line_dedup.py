@@ -4,7 +4,7 @@ A line's key is the line without white space at its ends and with A-Z lowered; k
 hashes. Exact reference counts (documents that hold a key, and the largest id among them) are an aggregate of the
 postings (key, document); sharded cuckoo filters hold the keys whose count has reached the threshold. A filter has
 no false negative, so a line outside it is kept without a look at the counts; a line inside it is confirmed by the
-exact table. `LineIndex` keeps postings as a ledger of insertions and deletions, so a deleted document's lines stop
+exact table. The counts of all keys are made first, so the filters only make the join smaller. `LineIndex` keeps postings as a ledger of insertions and deletions, so a deleted document's lines stop
 counting and its copies elsewhere come back.
 """
 
@@ -152,26 +152,31 @@ def line_dedup(docs: DataFrame, least_docs: int = 3, least: int = 20, key: str =
 class LineIndex:
     """Incremental state in a folder: a ledger of postings with +1 for an insertion and -1 for a deletion.
 
-    A document may be inserted again after its deletion. `refresh` folds the ledger into exact counts and filters.
+    A document may be inserted again after its deletion, and one that was inserted several times goes at once.
+    Counts and filters are made from the ledger when they are asked for; no filter is kept between calls.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, least_docs: int = 3, least: int = 20):
         self.spark, self.path, self.least_docs, self.least = spark, path or shared_path(spark), least_docs, least
 
-    def _write(self, rows: DataFrame, change: int) -> None:
-        rows.dropDuplicates(["k1", "k2", "doc_id"]).withColumn("change", F.lit(change)).write.mode("append").parquet(f"{self.path}/ledger")
+    def _write(self, rows: DataFrame) -> None:
+        rows.select("k1", "k2", "doc_id", F.col("change").cast("int")).write.mode("append").parquet(f"{self.path}/ledger")
 
     def insert(self, docs: DataFrame) -> None:
-        self._write(postings(docs, self.least), 1)
+        self._write(postings(docs, self.least).dropDuplicates(["k1", "k2", "doc_id"]).withColumn("change", F.lit(1)))
 
     def delete(self, ids: DataFrame) -> None:
         """ids: (doc_id); documents that aren't there change nothing."""
-        self._write(self.alive().join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), -1)
+        self._write(self._held().join(ids.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("change", -F.col("n")))
 
     def alive(self) -> DataFrame:
         """(k1, k2, doc_id) of documents that are in."""
+        return self._held().drop("n")
+
+    def _held(self) -> DataFrame:
+        """(k1, k2, doc_id, n) of documents that are in, n being how often they were inserted."""
         ledger = self.spark.read.schema("k1 long, k2 long, doc_id long, change int").parquet(f"{self.path}/ledger")
-        return ledger.groupBy("k1", "k2", "doc_id").agg(F.sum("change").alias("n")).where("n > 0").drop("n")
+        return ledger.groupBy("k1", "k2", "doc_id").agg(F.sum("change").alias("n")).where("n > 0")
 
     def counts(self) -> DataFrame:
         return reference_counts(self.alive(), 1)
