@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 from collections import Counter
+from functools import cache
 
 import corpus_pipeline as P
+import duckdb
+import numpy as np
 from tests.llm.helpers import empty
-from tests.llm.test_operators import brute_classes, brute_lines, texts
-from tickloom.llm import mixing
+from tests.llm.test_operators import brute_classes, brute_lines, library, texts  # noqa: F401
+from tickloom.llm import kernels as K
+from tickloom.llm import mixing, toxicity
+from tickloom.llm.queries import OP9_SQL
 from tickloom.llm.runtime import stored
 
 ROOT = "/root/testdata/sf0.001"
@@ -47,3 +54,42 @@ def test_empty_documents(spark):
         if name != "toxicity":
             docs = stored(stage(spark, docs, ROOT))
     assert docs.count() == 0
+
+
+def test_toxicity_stage_drops_what_scores_high(spark):
+    """Scores by plain loops from the model's weights; and most of what is labelled toxic goes."""
+    docs, labels = spark.read.parquet(f"{ROOT}/documents.parquet"), spark.read.parquet(f"{ROOT}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    place = {int(h): i for i, h in enumerate(model.known)}
+
+    @cache
+    def places(word):
+        spans = lambda b: K.span_hash(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))
+        own = [spans(word), *(K.mix64(spans(word[:n]) + K.U64(n)) for n in toxicity.PREFIXES if len(word) > n)]
+        return [place[int(h[0])] for h in own if int(h[0]) in place]
+
+    high = set()
+    for d, text in texts(docs):
+        found = [w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())]
+        count = Counter(i for w in found for i in places(w))
+        raw = model.bias + model.length * math.log1p(len(found)) + sum(model.weights[level, i] for i, n in count.items() for level, least in enumerate(toxicity.LEVELS) if n >= least)
+        if 1 / (1 + math.exp(-max(-30, min(30, raw)))) >= toxicity.THRESHOLD:
+            high.add(d)
+    gone = {d for d, _ in texts(docs)} - {r.doc_id for r in P.toxicity_stage(spark, docs, ROOT).collect()}
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    assert gone == high and len(gone & toxic) >= 0.7 * len(toxic)
+
+
+def test_mixing_stage_takes_words_as_the_sql(spark):
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet")
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text", "source").toArrow())
+    first = OP9_SQL[: OP9_SQL.rindex("SELECT doc_id")] + "SELECT doc_id, CAST(take // source_size + CASE WHEN upto - size < take % source_size THEN 1 ELSE 0 END AS INTEGER) FROM f WHERE size > 0"
+    want = {k: v for k, v in con.execute(first).fetchall() if v}
+    assert Counter(r.doc_id for r in P.mixing_stage(spark, docs, ROOT).collect()) == want
+
+
+def test_encode_stage_has_the_librarys_ids(spark, library):  # noqa: F811
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet")
+    want = sorted((r.doc_id, hashlib.sha256(np.array(library.encode_ordinary(r.text or ""), "<u4").tobytes()).hexdigest()) for r in docs.collect())
+    assert sorted((r.doc_id, r.ids_sha256) for r in P.encode_stage(spark, docs, ROOT).collect()) == want
