@@ -8,6 +8,8 @@ import random
 from functools import partial
 
 import numpy as np
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -270,3 +272,20 @@ def test_registered_indicator(spark):
 def test_several_recursions_share_a_pass(spark):
     out = R.with_recursions(bars(spark, range(10)), [R.Recursion(("a",), ("close",), partial(R.ewm, span=3)), R.Recursion(("b",), ("a",), partial(R.ewm, span=3))])
     assert out.orderBy("bar_start").collect()[0].b == 0
+
+
+def test_indicator_configurations_as_users_write_them(spark):
+    from tickloom.operators import indicators as I
+
+    times = [datetime(2024, 1, 1) + timedelta(hours=i) for i in range(80)]
+    rows = [("x", t, t, 1.0 + i % 7, 2.0 + i % 7, 0.5 + i % 7, 1.0 + i % 5, 10.0) for i, t in enumerate(times)]
+    bars = spark.createDataFrame(rows, "symbol string, bar_start timestamp_ntz, bar_end timestamp_ntz, open double, high double, low double, close double, volume double")
+    wide = I.with_indicators(bars, {"bollinger": {"period": 20, "stddev": 3.0}}).orderBy("bar_start").collect()[-1]
+    narrow = I.with_indicators(bars, {"bollinger": {"period": 20, "stddev": ""}}).orderBy("bar_start").collect()[-1]
+    assert wide.bollinger_upper - wide.bollinger_middle == pytest.approx(1.5 * (narrow.bollinger_upper - narrow.bollinger_middle))
+    both = I.plan_indicators({"ema": {"fast_period": 9, "slow_period": 21, "source": "close"}})
+    assert {"ema_fast", "ema_slow"} <= both.columns() and "ema_14" not in both.columns()
+    assert {"ema_9", "ema_21", "ema_50"} <= I.plan_indicators({"ema": {"periods": [9, 21, 50]}}).columns()
+    fast = I.with_indicators(bars, {"ema": {"fast_period": 12, "period": 30}}).orderBy("bar_start").collect()[-1]
+    alone = I.with_indicators(bars, {"ema": {"periods": [12, 30]}}).orderBy("bar_start").collect()[-1]
+    assert (fast.ema_fast, fast.ema_slow) == (alone.ema_12, alone.ema_30)

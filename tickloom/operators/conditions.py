@@ -17,6 +17,31 @@ from pyspark.sql import functions as F
 from ..functions import rolling as W
 
 
+# The published predicates that a strategy search draws from, by side.
+ENTRY_POOL = {
+    "long": (
+        "rsi < 30", "rsi < 35", "macd_histogram > 0", "close > bollinger_lower", "close > ema_fast", "ema_fast > ema_slow",
+        "volume_ratio > 1.5", "volume_ratio > 2.0", "adx > 20", "adx > 25", "stoch_k < 20", "stoch_k > stoch_d", "cci < -100",
+        "cci < -200", "atr_ratio > 1.5", "obv > obv_sma", "close > sma",
+    ),
+    "short": (
+        "rsi > 70", "rsi > 65", "macd_histogram < 0", "close < bollinger_upper", "close < ema_fast", "ema_fast < ema_slow",
+        "volume_ratio > 1.5", "volume_ratio > 2.0", "adx > 20", "adx > 25", "stoch_k > 80", "stoch_k < stoch_d", "cci > 100",
+        "cci > 200", "atr_ratio < 0.7", "obv < obv_sma", "close < sma",
+    ),
+}
+EXIT_POOL = {
+    "long": (
+        "rsi > 65", "rsi > 55", "close < bollinger_middle", "close < ema_slow", "close < bollinger_lower", "stoch_k > 75",
+        "cci > 150", "close < sma",
+    ),
+    "short": (
+        "rsi < 35", "rsi < 45", "close > bollinger_middle", "close > ema_slow", "close > bollinger_upper", "stoch_k < 25",
+        "cci < -150", "close > sma",
+    ),
+}
+
+
 class ConditionError(ValueError):
     pass
 

@@ -39,10 +39,23 @@ def as_int(value: Any, default: int) -> int:
         return default
 
 
+def as_number(value: Any, default: float) -> float:
+    """A configuration value as a number, or the default."""
+    try:
+        return float(value)
+    except (TypeError, ValueError):
+        return default
+
+
 def _period(cfg: Mapping, default: int = 14, key: str = "period") -> int:
     return max(1, as_int(cfg.get(key), default))
 
 
+def _key(cfg: Mapping, *names: str) -> str:
+    """The first of several names of a parameter that is there (else the first)."""
+    return next((n for n in names if cfg.get(n) not in (None, "", 0)), names[0])
+
+
 def _source(cfg: Mapping) -> str:
     return cfg.get("source") if cfg.get("source") in BAR_COLUMNS else "close"
 
@@ -52,12 +65,12 @@ def _rsi(plan: Plan, cfg: Mapping) -> None:
 
 
 def _macd(plan: Plan, cfg: Mapping) -> None:
-    fast, slow, signal = _period(cfg, 12, "fast"), _period(cfg, 26, "slow"), _period(cfg, 9, "signal")
+    fast, slow, signal = (_period(cfg, n, _key(cfg, k, f"{k}_period")) for k, n in (("fast", 12), ("slow", 26), ("signal", 9)))
     plan.recursions.append(R.Recursion(("macd", "macd_signal", "macd_histogram"), (_source(cfg),), partial(R.macd, fast=min(fast, slow), slow=slow, signal=signal)))
 
 
 def _bollinger(plan: Plan, cfg: Mapping) -> None:
-    n, k, x = _period(cfg, 20), float(cfg.get("std", cfg.get("std_dev", 2)) or 2), F.col(_source(cfg))
+    n, k, x = _period(cfg, 20), as_number(cfg.get(_key(cfg, "stddev", "std", "std_dev")), 2.0), F.col(_source(cfg))
     middle, spread = W.mean(x, n), W.std_pop(x, n) * k
     plan.stages[0] |= {
         "bollinger_upper": middle + spread, "bollinger_middle": middle, "bollinger_lower": middle - spread,
@@ -66,15 +79,19 @@ def _bollinger(plan: Plan, cfg: Mapping) -> None:
 
 
 def _ema(plan: Plan, cfg: Mapping) -> None:
-    """{fast, slow}, or {fast} with a slow period from `period` (21 if that is the default), or {period}."""
-    source = _source(cfg)
+    """{fast_period, slow_period}: ema_fast and ema_slow, the slow one from `period` if it is missing (21 if that is the
+    default); or {periods: [...]}: one for each; or {period}. `fast` and `slow` are other names of the first two."""
+    source, period = _source(cfg), _period(cfg)
     add = lambda name, n: plan.recursions.append(R.Recursion((name,), (source,), partial(R.ema, n=n)))
-    if "fast" in cfg or "slow" in cfg:
-        period = _period(cfg)
-        add("ema_fast", _period(cfg, 9, "fast"))
-        add("ema_slow", _period(cfg, period if period != 14 else 21, "slow"))
+    fast, slow = _key(cfg, "fast_period", "fast"), _key(cfg, "slow_period", "slow")
+    if cfg.get(fast) or cfg.get(slow):
+        add("ema_fast", _period(cfg, 9, fast))
+        add("ema_slow", _period(cfg, period if period != 14 else 21, slow))
+    elif isinstance(cfg.get("periods"), (list, tuple)) and cfg["periods"]:
+        for n in cfg["periods"]:
+            add(f"ema_{n}", max(1, as_int(n, 20)))
     else:
-        add(f"ema_{_period(cfg)}", _period(cfg))
+        add(f"ema_{period}", period)
 
 
 def _sma(plan: Plan, cfg: Mapping) -> None:

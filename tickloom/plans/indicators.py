@@ -48,6 +48,12 @@ _MEAN, _DEV = Q.rolling("avg", "close", 20), Q.rolling("stddev_pop", "close", 20
 _indicator("ind_bollinger", {"bollinger": {"period": 20, "std": 2}}, ("bollinger_upper", "bollinger_middle", "bollinger_lower", "bollinger_width"), f"""
 SELECT symbol, bar_start, round(m + 2 * d, 6) AS bollinger_upper, round(m, 6) AS bollinger_middle, round(m - 2 * d, 6) AS bollinger_lower, round(4 * d / nullif(m, 0), 6) AS bollinger_width
 FROM (SELECT symbol, bar_start, {_MEAN} AS m, {_DEV} AS d FROM bars_1h)""")
+_indicator("ind_bollinger_3", {"bollinger": {"period": 20, "stddev": 3}}, ("bollinger_upper", "bollinger_lower", "bollinger_width"), f"""
+SELECT symbol, bar_start, round(m + 3 * d, 6) AS bollinger_upper, round(m - 3 * d, 6) AS bollinger_lower, round(6 * d / nullif(m, 0), 6) AS bollinger_width
+FROM (SELECT symbol, bar_start, {_MEAN} AS m, {_DEV} AS d FROM bars_1h)""")
+_indicator("ind_ema_fast_slow", {"ema": {"fast_period": 12, "slow_period": 26}}, ("ema_fast", "ema_slow"), "RECURSIVE " + Q.BASE + ",\n" + Q.ema("a", "s", "close", 12) + ",\n" + Q.ema("b", "s", "close", 26) + "\nSELECT s.symbol, s.bar_start, round(a.e, 6) AS ema_fast, round(b.e, 6) AS ema_slow FROM s LEFT JOIN a USING (symbol, n) LEFT JOIN b USING (symbol, n)")
+_PERIODS = (10, 20, 50)
+_indicator("ind_ema_periods", {"ema": {"periods": [*_PERIODS]}}, tuple(f"ema_{k}" for k in _PERIODS), "RECURSIVE " + Q.BASE + "".join(",\n" + Q.ema(f"e{k}", "s", "close", k) for k in _PERIODS) + "\nSELECT s.symbol, s.bar_start, " + ", ".join(f"round(e{k}.e, 6) AS ema_{k}" for k in _PERIODS) + " FROM s " + " ".join(f"LEFT JOIN e{k} USING (symbol, n)" for k in _PERIODS))
 _indicator("ind_bb_width_sma", {"bollinger": {"period": 20}}, ("bollinger_width_sma",), f"""
 b AS (SELECT symbol, bar_start, 4 * {_DEV} / nullif({_MEAN}, 0) AS width FROM bars_1h)
 SELECT symbol, bar_start, round({Q.rolling("avg", "width", 20)}, 6) AS bollinger_width_sma FROM b""")
@@ -104,6 +110,29 @@ def condition_pool_counts(t: Tables) -> DataFrame:
     return counted.select(F.explode(each).alias("x")).select("x.*")
 
 
+#: All indicators that the published predicates name.
+EVERY = {"rsi": {"period": 14}, "macd": {}, "bollinger": {"period": 20}, "adx": {"period": 14}, "atr": {"period": 14}, "stoch": {"period": 14}, "cci": {"period": 14}, "obv": {}, "sma": {"period": 10}}
+#: One row for each bar with all of them, in SQL.
+_EVERY = "RECURSIVE " + Q.RSI + ",\n" + ",\n".join([Q.MACD, Q.ATR, Q.ADX, Q.ema("fast9", "s", "close", 9), Q.ema("slow21", "s", "close", 21)]) + f""",
+g0 AS MATERIALIZED (SELECT s.*, rsi, macd_histogram, atr.e / nullif(close, 0) AS atr_ratio, adx.e AS adx, fast9.e AS ema_fast, slow21.e AS ema_slow, (high + low + close) / 3 AS tp, {Q.rolling("avg", "close", 10)} AS sma, {_MEAN} AS bollinger_middle, {_DEV} AS d,
+  volume / nullif({Q.rolling("avg", "volume", 20)}, 0) AS volume_ratio, 100 * (close - {Q.rolling("min", "low", 14)}) / nullif({Q.rolling("max", "high", 14)} - {Q.rolling("min", "low", 14)}, 0) AS fast_k, coalesce(sign(close - pc), 1) * volume AS v
+  FROM s LEFT JOIN rsi USING (symbol, n) LEFT JOIN macd USING (symbol, n) LEFT JOIN atr USING (symbol, n) LEFT JOIN adx USING (symbol, n) LEFT JOIN fast9 USING (symbol, n) LEFT JOIN slow21 USING (symbol, n)),
+g1 AS (SELECT *, bollinger_middle - 2 * d AS bollinger_lower, bollinger_middle + 2 * d AS bollinger_upper, {Q.rolling("avg", "fast_k", 3)} AS stoch_k, sum(v) OVER (PARTITION BY symbol ORDER BY bar_start ROWS UNBOUNDED PRECEDING) AS obv,
+  {Q.rolling("avg", "tp", 14)} AS m, list(tp) OVER (PARTITION BY symbol ORDER BY bar_start ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS l FROM g0),
+g AS MATERIALIZED (SELECT *, {Q.rolling("avg", "stoch_k", 3)} AS stoch_d, {Q.rolling("avg", "obv", 20)} AS obv_sma, (tp - m) / nullif(0.015::DOUBLE * list_sum(list_transform(l, lambda x: abs(x - m))) / 14, 0) AS cci FROM g1)
+"""
+_VOCABULARY = [(f"{kind}_{side}", text) for kind, pool in (("entry", C.ENTRY_POOL), ("exit", C.EXIT_POOL)) for side, texts in pool.items() for text in texts]
+
+
+@query("predicate_vocabulary", _EVERY + " UNION ALL ".join(f"SELECT '{slot}' AS slot, '{text}' AS condition, CAST(count(*) FILTER ({text}) AS BIGINT) AS bars FROM g" for slot, text in _VOCABULARY))
+def predicate_vocabulary(t: Tables) -> DataFrame:
+    f = I.with_indicators(t.bars("1h"), EVERY)
+    met = f.select(*[C.compile_condition(text, f.columns).alias(f"c{i}") for i, (_, text) in enumerate(_VOCABULARY)])
+    counted = met.agg(*[F.count_if(F.col(f"c{i}")).alias(f"c{i}") for i in range(len(_VOCABULARY))])
+    each = F.array(*[F.struct(F.lit(slot).alias("slot"), F.lit(text).alias("condition"), F.col(f"c{i}").alias("bars")) for i, (slot, text) in enumerate(_VOCABULARY)])
+    return counted.select(F.explode(each).alias("x")).select("x.*")
+
+
 LONG, SHORT = ("close < sma", "stoch_k < 50"), ("close > sma", "stoch_k > 50")
 STRATEGIES = (
     Strategy("reversal", SETUP, {"long": LONG, "short": SHORT}, {"long": ("close > bollinger_middle", "stoch_k > 80"), "short": ("close < bollinger_middle", "stoch_k < 20")}),
@@ -135,7 +164,7 @@ query("signal_totals", _SIGNALS + "SELECT strategy, CAST(count(*) AS BIGINT) AS
 )
 
 
-@query("signal_lookup_default", _SIGNALS + """, q AS (SELECT s.strategy, t.symbol, date_trunc('hour', t.ts) AS ts, t.seq FROM ticks t CROSS JOIN (SELECT unnest(['reversal', 'breakout', 'missing']) AS strategy) s WHERE t.seq % 25 = 0)
+@query("signal_lookup_default", _SIGNALS + """, q AS (SELECT s.strategy, t.symbol, date_trunc('hour', t.ts) AS ts, t.seq FROM ticks t CROSS JOIN (SELECT unnest(['reversal', 'breakout', 'missing']) AS strategy) s)
 SELECT q.strategy, q.symbol, q.seq, CAST(coalesce(m.side, 0) AS INTEGER) AS side, coalesce(m.exit_long, false) AS exit_long FROM q LEFT JOIN m USING (strategy, symbol, ts)""")
 def signal_lookup_default(t: Tables) -> DataFrame:
     asked = t.ticks.select("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), "seq")

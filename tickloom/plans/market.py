@@ -20,7 +20,7 @@ def r(c: Column | str, digits: int = 6) -> Column:
 
 BAR_OUT = ("symbol", "bar_start", "open", "high", "low", "close", "volume")
 
-for _name in ("15m", "1h", "4h", "1d"):
+for _name in ("5m", "15m", "1h", "4h", "1d"):
     query(f"ohlcv_resample_{_name}", f"SELECT symbol, bar_start, open, high, low, close, volume FROM bars_{_name}")(lambda t, n=_name: t.bars(n).select(*BAR_OUT))
 
 query("ohlcv_coarsen_4h", "SELECT symbol, bar_start, open, high, low, close, volume FROM bars_4h")(lambda t: RS.coarsen(t.bars("1h"), "4h").select(*BAR_OUT))
@@ -112,7 +112,7 @@ def asof_htf_join(t: Tables) -> DataFrame:
     return S.asof(low, high, ["htf_close"], left_time="bar_end").select("symbol", "bar_end", "close", "htf_close")
 
 
-@query("signal_price_join", "SELECT t.symbol, t.ts, b.close FROM ticks t JOIN bars_1h b ON t.symbol = b.symbol AND date_trunc('hour', t.ts) = b.bar_start WHERE t.seq % 10 = 0")
+@query("signal_price_join", "SELECT t.symbol, t.ts, b.close FROM ticks t JOIN bars_1h b ON t.symbol = b.symbol AND date_trunc('hour', t.ts) = b.bar_start")
 def signal_price_join(t: Tables) -> DataFrame:
     asked = t.ticks.withColumn("bar_start", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     return asked.join(t.bars("1h").select("symbol", "bar_start", "close"), ["symbol", "bar_start"]).select("symbol", "ts", "close")
@@ -204,7 +204,7 @@ def month_windows(t: Tables) -> DataFrame:
 
 @query("unrealized_pnl", """
 l AS (SELECT symbol, arg_max(price, (ts, seq)) AS price FROM ticks GROUP BY symbol),
-p AS (SELECT event_id, event_type AS symbol, value AS entry, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS quantity, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side FROM events WHERE event_id % 20 = 0)
+p AS (SELECT event_id, event_type AS symbol, value AS entry, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS quantity, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side FROM events)
 SELECT p.event_id, round((coalesce(l.price, p.entry) - p.entry) * p.quantity * p.side, 6) + 0 AS upnl FROM p LEFT JOIN l USING (symbol)""")
 def unrealized_pnl(t: Tables) -> DataFrame:
     return _positions(t).select("event_id", r("upnl").alias("upnl"))
@@ -221,7 +221,7 @@ def _positions(t: Tables) -> DataFrame:
 
 _POSITIONS = """
 l AS (SELECT symbol, arg_max(price, (ts, seq)) AS price FROM ticks GROUP BY symbol),
-p AS (SELECT event_id, event_type AS symbol, value AS entry, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS quantity, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side FROM events WHERE event_id % 20 = 0),
+p AS (SELECT event_id, event_type AS symbol, value AS entry, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS quantity, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side FROM events),
 u AS (SELECT p.*, (coalesce(l.price, p.entry) - p.entry) * p.quantity * p.side AS upnl FROM p LEFT JOIN l USING (symbol))
 """
 
