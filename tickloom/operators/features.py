@@ -16,12 +16,16 @@ EPS = 1e-9
 #: Indicators that features read.
 BASE = {"rsi": {"period": 14}, "macd": {}, "bollinger": {"period": 20}, "adx": {"period": 14}}
 
-FEATURES = (
+# The features of a model's vector, in their published order; the second list extends the first.
+DEFAULT_FEATURES = (
     "ret_1", "ret_5", "ret_10", "ret_20", "acceleration_5", "momentum_ratio", "vol_5", "vol_10", "vol_20", "vol_regime",
     "volume_ratio", "vol_chg_5", "vol_chg_20", "vol_trend", "pos_20", "ema20_dist", "ema50_dist", "bb_position",
-    "bb_width_ratio", "rsi", "rsi_momentum", "macd_histogram", "macd_accel", "bollinger_width", "adx", "close_position",
-    "high_low_range", "consecutive_dir", "ret_skew_20", "ret_kurt_20", "hour_sin", "hour_cos", "day_of_week_sin",
-    "day_of_week_cos", "volume_price_corr_20", "adx_trend_strength", "ema_slope_20",
+    "bb_width_ratio", "rsi", "macd_histogram", "bollinger_width", "adx", "rsi_momentum", "macd_accel", "close_position",
+    "high_low_range", "consecutive_dir", "ret_skew_20", "ret_kurt_20",
+)
+FEATURES = (
+    *DEFAULT_FEATURES, "hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos", "volume_price_corr_20",
+    "adx_trend_strength", "ema_slope_20",
 )
 
 
@@ -35,20 +39,22 @@ def raw_features(bars: DataFrame, time: str = "bar_start") -> DataFrame:
     out = R.with_recursions(with_indicators(bars, BASE), recursions)
     by, c, v, lag = W.ordered(), F.col("close"), F.col("volume"), lambda x, n: F.lag(x, n).over(W.ordered())
     high, low = F.col("high"), F.col("low")
+    ratio = lambda a, b: (a + EPS) / (b + EPS)
     out = out.withColumns({f"ret_{k}": W.change(c, k) for k in (1, 5, 10, 20)} | {"_dir": sign(c - lag(c, 1)), "_vdir": sign(v - lag(v, 1))})
     r = F.col("ret_1")
-    lo, hi = W.lowest(low, 20), W.highest(high, 20)
+    lo, hi = W.lowest(c, 20), W.highest(c, 20)
     angle = lambda x, n: x * (2 * 3.141592653589793 / n)
     flip = F.when(F.col("_dir") != F.lag("_dir").over(by), 1).otherwise(0)
     out = out.withColumns({
         "acceleration_5": r - lag(F.col("ret_5"), 5),
-        "momentum_ratio": (F.abs("ret_5") + EPS) / (F.abs("ret_20") + EPS),
+        "momentum_ratio": ratio(F.abs("ret_5"), F.abs("ret_20")),
         **{f"vol_{n}": W.std(r, n) for n in (5, 10, 20)},
-        "vol_chg_5": W.change(v, 5), "vol_chg_20": W.change(v, 20), "vol_trend": F.try_divide(W.mean(v, 5), W.mean(v, 20)),
+        "vol_chg_5": W.change(v, 5), "vol_chg_20": W.change(v, 20), "vol_trend": ratio(W.mean(v, 5), W.mean(v, 20)),
+        "volume_ratio": v / (W.mean(v, 20) + EPS),
         "pos_20": (c - lo) / (hi - lo + EPS),
-        "ema20_dist": F.try_divide(c - F.col("_ewm20"), F.col("_ewm20")), "ema50_dist": F.try_divide(c - F.col("_ewm50"), F.col("_ewm50")),
-        "bb_position": F.coalesce((c - F.col("bollinger_lower")) / (F.col("bollinger_upper") - F.col("bollinger_lower") + EPS), F.lit(0.5)),
-        "bb_width_ratio": F.coalesce(F.try_divide(F.col("bollinger_width"), W.mean(F.col("bollinger_width"), 20)), F.lit(1.0)),
+        "ema20_dist": (c - F.col("_ewm20")) / (F.col("_ewm20") + EPS), "ema50_dist": (c - F.col("_ewm50")) / (F.col("_ewm50") + EPS),
+        "bb_position": (c - F.col("bollinger_lower")) / (F.col("bollinger_upper") - F.col("bollinger_lower") + EPS),
+        "bb_width_ratio": ratio(F.col("bollinger_width"), W.mean(F.col("bollinger_width"), 20)),
         "rsi_momentum": F.col("rsi") - lag(F.col("rsi"), 5), "macd_accel": F.col("macd_histogram") - lag(F.col("macd_histogram"), 3),
         "close_position": (c - low) / (high - low + EPS), "high_low_range": (high - low) / (c + EPS),
         "_run": F.sum(flip).over(W.upto()),
@@ -60,7 +66,7 @@ def raw_features(bars: DataFrame, time: str = "bar_start") -> DataFrame:
         "ema_slope_20": (F.col("_ewm20") - lag(F.col("_ewm20"), 5)) / (lag(F.col("_ewm20"), 5) + EPS),
     })
     run = Window.partitionBy("symbol", "_run").orderBy(time)
-    out = out.withColumns({"vol_regime": F.try_divide(F.col("vol_5"), F.col("vol_20")), "consecutive_dir": (F.row_number().over(run) - 1).cast("double")})
+    out = out.withColumns({"vol_regime": ratio(F.col("vol_5"), F.col("vol_20")), "consecutive_dir": (F.row_number().over(run) - 1).cast("double")})
     return out.drop("_ewm20", "_ewm50", "_dir", "_vdir", "_run")
 
 
@@ -72,7 +78,7 @@ def clean(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumns({n: F.coalesce(W.forward_fill(F.col(n)), F.lit(0.0)) for n in have})
 
 
-def features(bars: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:
+def features(bars: DataFrame, names: Sequence[str] = DEFAULT_FEATURES) -> DataFrame:
     """(symbol, bar_start, close, features) without gaps."""
     out = clean(raw_features(bars), names)
     return out.select("symbol", "bar_start", "close", *[n for n in names if n in out.columns and n != "close"])

@@ -29,18 +29,18 @@ def _out(columns: tuple[str, ...], table: str) -> str:
 _RET = f"c AS (SELECT *, {', '.join(f'close / nullif(lag(close, {k}) OVER w, 0) - 1 AS ret_{k}' for k in (1, 5, 10, 20))} FROM bars_1h {Q.W})"
 _features("feat_returns", ("ret_1", "ret_5", "ret_10", "ret_20"), f"{_RET}\n" + _out(("ret_1", "ret_5", "ret_10", "ret_20"), "c"))
 _features("feat_momentum", ("acceleration_5", "momentum_ratio"), f"{_RET}, d AS (SELECT *, ret_1 - lag(ret_5, 5) OVER w AS acceleration_5, (abs(ret_5) + {EPS}) / (abs(ret_20) + {EPS}) AS momentum_ratio FROM c {Q.W})\n" + _out(("acceleration_5", "momentum_ratio"), "d"))
-_VOL = f"{_RET}, d AS (SELECT *, {', '.join(f'{Q.rolling("stddev_samp", "ret_1", n)} AS vol_{n}' for n in (5, 10, 20))} FROM c), v AS (SELECT *, vol_5 / nullif(vol_20, 0) AS vol_regime FROM d)\n"
+_VOL = f"{_RET}, d AS (SELECT *, {', '.join(f'{Q.rolling("stddev_samp", "ret_1", n)} AS vol_{n}' for n in (5, 10, 20))} FROM c), v AS (SELECT *, (vol_5 + {EPS}) / (vol_20 + {EPS}) AS vol_regime FROM d)\n"
 _features("feat_volatility", ("vol_5", "vol_10", "vol_20", "vol_regime"), _VOL + _out(("vol_5", "vol_10", "vol_20", "vol_regime"), "v"))
 _VOLUME = ("volume_ratio", "vol_chg_5", "vol_chg_20", "vol_trend")
-_features("feat_volume", _VOLUME, f"d AS (SELECT *, volume / nullif({Q.rolling('avg', 'volume', 20)}, 0) AS volume_ratio, volume / nullif(lag(volume, 5) OVER w, 0) - 1 AS vol_chg_5, volume / nullif(lag(volume, 20) OVER w, 0) - 1 AS vol_chg_20, {Q.rolling('avg', 'volume', 5)} / nullif({Q.rolling('avg', 'volume', 20)}, 0) AS vol_trend FROM bars_1h {Q.W})\n" + _out(_VOLUME, "d"))
+_features("feat_volume", _VOLUME, f"d AS (SELECT *, volume / ({Q.rolling('avg', 'volume', 20)} + {EPS}) AS volume_ratio, volume / nullif(lag(volume, 5) OVER w, 0) - 1 AS vol_chg_5, volume / nullif(lag(volume, 20) OVER w, 0) - 1 AS vol_chg_20, ({Q.rolling('avg', 'volume', 5)} + {EPS}) / ({Q.rolling('avg', 'volume', 20)} + {EPS}) AS vol_trend FROM bars_1h {Q.W})\n" + _out(_VOLUME, "d"))
 _PRICE = ("pos_20", "ema20_dist", "ema50_dist")
 _features("feat_price_position", _PRICE, "RECURSIVE " + Q.BASE + ",\n" + Q.ewm("a", "s", "close", 20) + ",\n" + Q.ewm("b", "s", "close", 50) + f""",
-d AS (SELECT s.*, a.e AS ea, b.e AS eb, (close - {Q.rolling("min", "low", 20)}) / ({Q.rolling("max", "high", 20)} - {Q.rolling("min", "low", 20)} + {EPS}) AS pos_20 FROM s JOIN a USING (symbol, n) JOIN b USING (symbol, n)),
-v AS (SELECT *, (close - ea) / nullif(ea, 0) AS ema20_dist, (close - eb) / nullif(eb, 0) AS ema50_dist FROM d)
+d AS (SELECT s.*, a.e AS ea, b.e AS eb, (close - {Q.rolling("min", "close", 20)}) / ({Q.rolling("max", "close", 20)} - {Q.rolling("min", "close", 20)} + {EPS}) AS pos_20 FROM s JOIN a USING (symbol, n) JOIN b USING (symbol, n)),
+v AS (SELECT *, (close - ea) / (ea + {EPS}) AS ema20_dist, (close - eb) / (eb + {EPS}) AS ema50_dist FROM d)
 """ + _out(_PRICE, "v"))
 _features("feat_bollinger", ("bb_position", "bb_width_ratio"), f"""
 d AS (SELECT *, {_MEAN} AS m, {_DEV} AS sd FROM bars_1h), e AS (SELECT *, 4 * sd / nullif(m, 0) AS width FROM d),
-v AS (SELECT *, coalesce((close - (m - 2 * sd)) / ((m + 2 * sd) - (m - 2 * sd) + {EPS}), 0.5) AS bb_position, coalesce(width / nullif({Q.rolling("avg", "width", 20)}, 0), 1.0) AS bb_width_ratio FROM e)
+v AS (SELECT *, (close - (m - 2 * sd)) / ((m + 2 * sd) - (m - 2 * sd) + {EPS}) AS bb_position, (width + {EPS}) / ({Q.rolling("avg", "width", 20)} + {EPS}) AS bb_width_ratio FROM e)
 """ + _out(("bb_position", "bb_width_ratio"), "v"))
 _DELTA = ("rsi", "rsi_momentum", "macd_histogram", "macd_accel")
 _features("feat_indicator_delta", _DELTA, "RECURSIVE " + Q.RSI + ",\n" + Q.MACD + """,
