@@ -16,6 +16,7 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,13 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .runtime import quoted
 
-#: Distinct pieces that a worker remembers; beyond it, it forgets all and starts again. It bounds memory only.
+#: Distinct pieces that a worker remembers. It bounds memory only.
 REMEMBERED = 600_000
 #: The same for the prefix tables, beside the trie and the pairs; and the text bytes that are encoded at once. A worker
 #: that stays for later stages then holds little.
 PREFIX_REMEMBERED, PREFIX_CHUNK = 300_000, 2 << 20
+#: Pieces of so many bytes at most are encoded many at a time.
+SIDE_BY_SIDE = 32
 #: Pairs of tokens whose meeting is remembered.
 PAIRS = 400_000
 _TOKEN = 256
@@ -41,6 +44,44 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids one after the other, and the length of each list."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum())), size
+
+
+class HashTable:
+    """Numbers by 64-bit keys, open addressing in numpy: all lookups of a batch go side by side."""
+
+    def __init__(self, room: int):
+        self.mask = (1 << max(4, (2 * room - 1).bit_length())) - 1  # at least twice as many places as entries
+        self.key, self.value = np.zeros(self.mask + 1, np.uint64), np.full(self.mask + 1, -1, np.int32)
+        self.room, self.n = room, 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, or -1."""
+        at = (K.mix64(keys) & K.U64(self.mask)).astype(np.int64)
+        out = self.value[at]
+        todo = np.flatnonzero((out >= 0) & (self.key[at] != keys))
+        while len(todo):  # on to the next place
+            at[todo] = (at[todo] + 1) & self.mask
+            out[todo] = self.value[at[todo]]
+            todo = todo[(out[todo] >= 0) & (self.key[at[todo]] != keys[todo])]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New distinct keys. There must be room."""
+        self.n += len(keys)
+        at, todo = (K.mix64(keys) & K.U64(self.mask)).astype(np.int64), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.value[at[todo]] < 0]
+            _, first = np.unique(at[free], return_index=True)  # of several that want one place, one gets it
+            got = free[first]
+            self.key[at[got]], self.value[at[got]] = keys[got], values[got]
+            todo = todo[(self.value[at[todo]] < 0) | (self.key[at[todo]] != keys[todo])]
+            at[todo] = (at[todo] + 1) & self.mask
+
+
 class PrefixTable:
     """The last token of every prefix of a growing byte string."""
 
@@ -96,6 +137,9 @@ class PrefixBPE:
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        self._size = np.zeros(max(ranks.values()) + 1, np.int64)
+        for t, i in ranks.items():
+            self._size[i] = len(t)
         self.ends: dict = {}  # from the last byte of each token back to its first; at _TOKEN its id
         for t, i in ranks.items():
             node = self.ends
@@ -103,6 +147,10 @@ class PrefixBPE:
                 node = node.setdefault(byte, {})
             node[_TOKEN] = i
         self._meet: dict[int, bool] = {}
+        self._tokens, self._pairs = HashTable(len(ranks)), HashTable(PAIRS)
+        tokens, ids = [*ranks], np.fromiter(ranks.values(), np.int32, len(ranks))
+        ends = np.cumsum([*map(len, tokens)])
+        self._tokens.add(K.span_hash(np.frombuffer(b"".join(tokens), np.uint8), ends - [*map(len, tokens)], ends), ids)
         self._parts: dict[int, tuple[int, int] | None] = {}
 
     def merge(self, data: bytes, below: int = 1 << 60) -> list[int]:
@@ -180,45 +228,146 @@ class PrefixBPE:
             end -= len(token[t])
         return out[::-1]
 
+    def _meets(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """may_meet for many pairs; those not remembered are worked out once each."""
+        key = a.astype(np.uint64) << K.U64(32) | b.astype(np.uint64)
+        out = self._pairs.find(key)
+        if len(fresh := np.flatnonzero(out < 0)):
+            new, index = np.unique(key[fresh], return_inverse=True)
+            ok = np.fromiter((self.may_meet(k >> 32, k & 0xFFFF_FFFF) for k in new.tolist()), np.int32, len(new))
+            out[fresh] = ok[index]
+            if self._pairs.n + len(new) > PAIRS:
+                self._pairs = HashTable(max(PAIRS, len(new)))
+            self._pairs.add(new, ok)
+        return out > 0
+
+    def encode_many(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces one after the other, and their numbers.
+
+        The prefixes of all pieces grow together, byte by byte: at each end the longest token goes first, and the pieces
+        that have found their last token leave. Pieces of more than SIDE_BY_SIDE bytes go through one at a time.
+        """
+        order = np.argsort(starts - ends, kind="stable")
+        alone = int(np.searchsorted(starts[order] - ends[order], -SIDE_BY_SIDE))
+        found = {i: self.encode_piece(data[starts[i] : ends[i]].tobytes()) for i in order[:alone].tolist()}
+        order = order[alone:]
+        start, size = starts[order], (ends - starts)[order]
+        words = K.eights(data)
+        whole = self._tokens.find(K.span_hash(data, start, start + size, words=words))
+        rest = np.flatnonzero(whole < 0)
+        at, length = start[rest], size[rest]
+        width = int(length[0]) if len(rest) else 0
+        last = np.full((len(rest), width), -1, np.int32)
+        for end in range(1, width + 1):
+            todo = np.arange(int(np.searchsorted(-length, -end, side="right")))
+            for n in range(min(end, self.longest), 0, -1):
+                token = self._tokens.find(K.span_hash(data, at[todo] + (end - n), at[todo] + end, words=words))
+                hit = np.flatnonzero(token >= 0)
+                if n < end and len(hit):
+                    hit = hit[self._meets(last[todo[hit], end - n - 1], token[hit])]
+                last[todo[hit], end - 1] = token[hit]
+                todo = np.delete(todo, hit)
+                if not len(todo):
+                    break
+            if len(todo):
+                raise ValueError("the vocabulary lacks a single byte")
+        # Walk back from all ends together.
+        n_ids, back = np.ones(len(order), np.int64), []
+        going, place = np.arange(len(rest)), length.copy()
+        while len(going):
+            token = last[going, place[going] - 1]
+            back.append((going, token))
+            place[going] -= self._size[token]
+            going = going[place[going] > 0]
+        n_ids[rest] = np.bincount(np.concatenate([g for g, _ in back]), minlength=len(rest)) if back else 0
+        sizes = np.zeros(len(starts), np.int64)
+        sizes[order] = n_ids
+        for i, ids in found.items():
+            sizes[i] = len(ids)
+        to = np.append(0, np.cumsum(sizes))
+        out = np.zeros(int(to[-1]), np.int32)
+        out[to[order[whole >= 0]]] = whole[whole >= 0]
+        for k, (going, token) in enumerate(back):
+            out[to[order[rest[going]] + 1] - 1 - k] = token
+        for i, ids in found.items():
+            out[to[i] : to[i + 1]] = ids
+        return out, sizes
+
+
+class PieceTable:
+    """Token ids of remembered pieces, found by their 64-bit hashes."""
+
+    def __init__(self, room: int):
+        self.place, self.room = HashTable(room), room
+        self.hash, self.begin, self.size = np.zeros(room, np.uint64), np.zeros(room, np.int64), np.zeros(room, np.int32)
+        self.again, self.pool, self.n, self.used = np.zeros(room, bool), np.zeros(1 << 16, np.int32), 0, 0
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """New distinct hashes, with their ids one after the other. There must be room."""
+        new = np.arange(self.n, self.n + len(hashes), dtype=np.int32)
+        self.place.add(hashes, new)
+        self.hash[new], self.size[new] = hashes, size
+        self.begin[new] = self.used + np.cumsum(size) - size
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(ids), np.int32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.n, self.used = self.n + len(hashes), self.used + len(ids)
+
+    def ids(self, entries: np.ndarray) -> np.ndarray:
+        return self.pool[K.ragged(self.begin[entries], self.size[entries].astype(np.int64))]
+
 
 class PieceEncoder:
-    """Token ids of whole texts, each distinct piece encoded once."""
-
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], remembered: int = REMEMBERED):
-        self.encode, self.remembered = encode, remembered
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int32)
-        self.begin, self.used = np.zeros(1 << 12, np.int64), 0
-
-    def _learn(self, hashes: list[int], texts: list[bytes]) -> None:
-        for h, ids in zip(hashes, self.encode(texts), strict=True):
-            k = len(self.known)
-            if k == len(self.size):
-                self.size, self.begin = np.resize(self.size, 2 * k), np.resize(self.begin, 2 * k)
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.size[k], self.begin[k], self.known[h] = len(ids), self.used, k
-            self.used += len(ids)
+    """Token ids of whole texts, each distinct piece encoded once while it is remembered.
+
+    `encode` gives the ids of pieces (bytes, starts, ends), one after the other, and the number of each piece's ids. When the memory is full,
+    pieces stay that were met again since the last time, up to half of it, and others are forgotten.
+    """
+
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], classes: np.ndarray, remembered: int = REMEMBERED):
+        self.encode, self.classes, self.table = encode, classes, PieceTable(remembered)
+
+    def _make_room(self, n: int) -> None:
+        old = self.table
+        kept = np.flatnonzero(old.again[: old.n])[: old.room // 2]
+        self.table = PieceTable(max(old.room, len(kept) + n))  # more only for a text with so many pieces of its own
+        self.table.add(old.hash[kept], old.ids(kept), old.size[kept])
 
     def chunk(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids)."""
-        starts, first = K.pieces(data, off)
+        starts, first = K.pieces(data, off, self.classes)
         ends = np.append(starts[1:], len(data))
-        hashes, where, index = np.unique(K.span_hash(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(hashes) > self.remembered:
-            self._forget()
-        keys, known = hashes.tolist(), self.known
-        if fresh := [i for i, h in enumerate(keys) if h not in known]:
-            at = where[fresh]
-            self._learn([keys[i] for i in fresh], [data[a:b].tobytes() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-        slot = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[index]
-        size = self.size[slot].astype(np.int64)
-        ids = self.pool[K.ragged(self.begin[slot], size)]
-        return ids, np.append(0, np.cumsum(size))[first]
+        hashes = K.span_hash(data, starts, ends)
+        entry = self.table.place.find(hashes)
+        fresh = np.flatnonzero(entry < 0)
+        if len(fresh):
+            new, where, index = np.unique(hashes[fresh], return_index=True, return_inverse=True)
+            self.table.again[entry[entry >= 0]] = True
+            if self.table.n + len(new) > self.table.room:
+                self._make_room(len(np.unique(hashes)))
+                entry = self.table.place.find(hashes)
+                fresh = np.flatnonzero(entry < 0)
+                new, where, index = np.unique(hashes[fresh], return_index=True, return_inverse=True)
+            at, base = fresh[where], self.table.n
+            self.table.add(new, *self.encode(data, starts[at], ends[at]))
+            entry[fresh] = base + index
+        size = self.table.size[entry].astype(np.int64)
+        return self.table.ids(entry), np.append(0, np.cumsum(size))[first]
+
+
+@lru_cache(maxsize=1)
+def pattern_classes() -> np.ndarray:
+    """The classes of all code points as the tiktoken library's patterns see them: its own tables, of its own version.
+
+    An encoding drops what its pattern doesn't match, so one of single bytes gives back the members of a class.
+    """
+    import tiktoken
+
+    def members(pattern: str) -> str:
+        one = tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        return bytes(one.encode_ordinary(K.CODE_POINTS)).decode()
+
+    return K.class_table(members(r"\p{L}"), members(r"\p{N}"), members(r"\s"))
 
 
 @lru_cache(maxsize=2)
@@ -229,7 +378,8 @@ def prefix_encoder(path: str) -> tuple[PieceEncoder, np.ndarray, np.ndarray]:
     tokens = [b""] * (max(ranks.values()) + 1)
     for t, i in ranks.items():
         tokens[i] = t
-    return PieceEncoder(lambda texts: [*map(bpe.encode_piece, texts)], PREFIX_REMEMBERED), np.frombuffer(b"".join(tokens), np.uint8), np.append(0, np.cumsum([*map(len, tokens)]))
+    encoder = PieceEncoder(bpe.encode_many, pattern_classes(), PREFIX_REMEMBERED)
+    return encoder, np.frombuffer(b"".join(tokens), np.uint8), np.append(0, np.cumsum([*map(len, tokens)]))
 
 
 def decode_ids(ids: np.ndarray, off: np.ndarray, pool: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

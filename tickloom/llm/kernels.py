@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-#: Spans longer than this are hashed by BLAKE2b: a polynomial modulo 2**64 is weak on long constructed strings.
+#: Spans longer than this are hashed by BLAKE2b, one by one.
 LONG_SPAN = 256
 
 
@@ -35,9 +34,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-BASE, BASE_A, BASE_B = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+BASE_A, BASE_B = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+
+#: The low 0..8 bytes of a word.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,18 +106,29 @@ def spans(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, by prefix sums of a polynomial."""
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as a number; zeros follow the last byte. It is a view of one copy."""
+    return np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, words: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, eight bytes at a time; another seed gives an independent one.
+
+    `words`: eights(data), where it is at hand.
+    """
     if not len(starts):
         return np.zeros(0, U64)
-    up, down = _powers(BASE, len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    out = (total[ends] - total[starts]) * down[starts]
+    if words is None:
+        words = eights(data)
     size = ends - starts
-    out = mix64(out + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+    out = mix64((words[starts] & _LOW[np.minimum(size, 8)]) + (size + (seed << 32)).astype(U64) * U64(0x9E3779B97F4A7C15))
+    more, at = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
+    while len(more):
+        left = size[more] - at
+        out[more] = mix64(out[more] * U64(0xD6E8FEB86659FD93) ^ (words[starts[more] + at] & _LOW[np.minimum(left, 8)]))
+        more, at = more[left > 8], at + 8
     for i in np.flatnonzero(size > LONG_SPAN):
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(4, "little")).digest(), "little")
     return out
 
 
@@ -163,30 +175,26 @@ def binary_array(data: np.ndarray, off: np.ndarray, kind=pa.binary()) -> pa.Arra
 # --- pieces of the byte-level BPE pre-tokenizer -------------------------------------------------------------
 
 _LETTER, _NUMBER, _OTHER, _BLANK, _WHITE = 1, 2, 3, 4, 5
-#: The code points with Unicode's White_Space property.
-WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-
+#: Every code point that a text can hold.
+CODE_POINTS = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
 
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    from unicodedata import category
 
+def class_table(letters: str, numbers: str, white: str) -> np.ndarray:
+    """The class of each code point, from the members of the classes."""
     out = np.full(0x110000, _OTHER, np.uint8)
-    kinds = [category(chr(c))[0] for c in range(0x110000)]
-    kinds = np.array(kinds)
-    out[kinds == "L"] = _LETTER
-    out[kinds == "N"] = _NUMBER
-    out[WHITE_SPACE] = _WHITE
+    for members, kind in ((letters, _LETTER), (numbers, _NUMBER), (white, _WHITE)):
+        out[np.frombuffer(members.encode("utf-32-le"), np.uint32)] = kind
     out[0x20] = _BLANK
     return out
 
 
-def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pieces(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start bytes of all matches of the byte-level BPE pattern, and for each text the index of its first match.
 
     The matches tile each text, so a match ends where the next begins. The pattern's alternatives are told from
     the class of each code point and its neighbours: runs of letters, of digits and of other marks, each with one
     blank before it; white space, whose last code point stands alone before a visible one; and contractions.
+    `table`: the class of each code point (`class_table`), as the library that is to be matched sees it.
     """
     n = len(data)
     if not n:
@@ -194,7 +202,6 @@ def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero((data & 0xC0) != 0x80)
     lead = data[at]
     wide = np.flatnonzero(lead >= 0x80)
-    table = _classes()
     cls = table[lead]
     if len(wide):
         pos, b0 = at[wide], lead[wide].astype(np.int64)

@@ -10,6 +10,7 @@ The order is by ascending document id, nulls first; rows with equal ids are orde
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -36,8 +37,8 @@ class AddedEncoder(PieceEncoder):
     Of several that begin at one place the longest counts. `added`: token bytes to id.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], added: dict[bytes, int]):
-        super().__init__(encode)
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], classes: np.ndarray, added: dict[bytes, int]):
+        super().__init__(encode, classes)
         self.added = added
         self.pattern = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
@@ -69,25 +70,53 @@ class AddedEncoder(PieceEncoder):
         return out, whole[np.searchsorted(cuts, off)]
 
 
+@lru_cache(maxsize=1)
+def library_classes() -> np.ndarray:
+    """The classes of all code points as the tokenizers library's patterns see them: its own tables, of its own version."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    def members(pattern: str) -> str:
+        find, step = Split(Regex(f"{pattern}+"), "removed", invert=True).pre_tokenize_str, 8192
+        return "".join(s for i in range(0, len(K.CODE_POINTS), step) for s, _ in find(K.CODE_POINTS[i : i + step]))
+
+    return K.class_table(members(r"\p{L}"), members(r"\p{N}"), members(r"\s"))
+
+
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> PieceEncoder:
     """A worker's encoder by the tokenizers library, which sees each distinct piece once.
 
     The library first cuts a text at the file's added tokens. Its byte-level pre-tokenizer cuts what is between them
     just as `kernels.pieces` does, and a piece by itself is not cut again, so its ids are those that it has inside any
-    text. Added tokens that take white space along, stand as single words or match normalised text are refused.
+    text. So the library gets all new pieces in one call, as words that are cut already; a token of this kind of
+    vocabulary has a character for each byte, which tells where a piece's ids end. Other kinds of vocabularies, and added
+    tokens that take white space along, stand as single words or match normalised text, are refused.
     """
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
+    kind = json.loads(tokenizer.to_str())
+    cutting = kind["pre_tokenizer"] or {}
+    if kind["normalizer"] or kind["model"].get("type") != "BPE" or kind["model"].get("byte_fallback") or cutting.get("type") != "ByteLevel" or cutting.get("add_prefix_space") or not cutting.get("use_regex"):
+        raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
     added = tokenizer.get_added_tokens_decoder()
-    if odd := [t.content for t in added.values() if t.lstrip or t.rstrip or t.single_word or t.normalized and tokenizer.normalizer]:
+    if odd := [t.content for t in added.values() if t.lstrip or t.rstrip or t.single_word]:
         raise ValueError(f"added tokens with such options aren't supported: {odd}")
-
-    def encode(texts: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-
-    return AddedEncoder(encode, {t.content.encode(): i for i, t in added.items() if t.content})
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    n_bytes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    for token, i in tokenizer.get_vocab().items():
+        n_bytes[i] = len(token)
+
+    def encode(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        body = data.tobytes()
+        words = [body[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        (done,) = tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(done.ids, np.int32)
+        upto = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))
+        return ids, np.diff(np.searchsorted(np.cumsum(n_bytes[ids]), upto) + 1, prepend=0)
+
+    return AddedEncoder(encode, library_classes(), {t.content.encode(): i for i, t in added.items() if t.content})
 
 
 def encoded(rows: DataFrame, vocabulary: str, end_id: int | None) -> DataFrame:
