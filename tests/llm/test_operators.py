@@ -91,6 +91,57 @@ def test_top_k(spark):
     assert top_k.top_k(df.limit(0)).count() == 0
 
 
+def brute_top(ids, rows, query_id, query, k):
+    exact = [(-sum(int(a) * int(b) for a, b in zip(query, row, strict=True)), int(i)) for i, row in zip(ids, rows, strict=True) if i != query_id]
+    return [(i, -s) for s, i in sorted(exact)[:k]]
+
+
+def test_top_k_of_many_tiles_and_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "TILE", 40)
+    rng = random.Random(9)
+    rows = [(i, [float(rng.choice([0, 0, 0, 1, 2, -1])) for _ in range(12)]) for i in range(300)] + [(77, [1.0] * 12)] * 90 + [(77, [2.0] * 12)] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in top_k.top_k(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    ids, matrix = [i for i, _ in rows], [[int(256 * x) for x in v] for _, v in rows]
+    assert dict(got) == {q: brute_top(ids, matrix, q, matrix[ids.index(q)], 5) for q in range(0, 300, 50)}
+
+
+def test_bounds_hold_where_terms_cancel():
+    """Components near 2**27, whose products add up beyond what doubles hold and cancel; and beyond 64 bits."""
+    rng = np.random.default_rng(4)
+    for scale, trials in ((1 << 27, 60), (1 << 50, 10)):
+        for _ in range(trials):
+            rows = rng.integers(-3, 4, (40, 8)) + scale * rng.integers(-1, 2, (40, 1)) * np.array([1, -1] * 4)
+            query = rng.integers(-3, 4, 8) + scale * np.ones(8, np.int64)
+            ids = np.arange(40)
+            index = top_k.BlockIndex(ids, rows, 2)
+            found, score = index.search(3, query, index.bounds(query[None])[0], 5, index.magnitude(query[None]))
+            assert [*zip(found.tolist(), score.tolist(), strict=True)] == brute_top(ids, rows, 3, query, 5)
+
+
+def test_blocks_are_skipped():
+    """Sparse vectors of few topics: most blocks are left out; a threshold from elsewhere leaves out more."""
+    rng = np.random.default_rng(5)
+    topic = rng.integers(0, 32, 4096)
+    rows = np.zeros((4096, 128), np.int64)
+    for t in range(4):
+        rows[np.arange(4096), 4 * topic + t] = rng.integers(100, 256, 4096)
+    ids = np.arange(4096)
+    index = top_k.BlockIndex(ids, rows, 16)
+    for q in range(0, 4096, 64):
+        bound = index.bounds(rows[q][None])[0]
+        found, score = index.search(q, rows[q], bound, 5, index.magnitude(rows[q][None]))
+        assert [*zip(found.tolist(), score.tolist(), strict=True)] == brute_top(ids, rows, q, rows[q], 5)
+    assert index.skipped > 0.9 * (index.seen + index.skipped)
+    without = index.seen
+    for q in range(0, 4096, 64):
+        best = brute_top(ids, rows, q, rows[q], 5)[-1][1]
+        index.search(q, rows[q], index.bounds(rows[q][None])[0], 5, index.magnitude(rows[q][None]), best)
+    assert index.seen - without <= without
+
+
 # --- operator 2 ---------------------------------------------------------------------------------------------
 
 
