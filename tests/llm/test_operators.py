@@ -489,11 +489,14 @@ def lines_of(df):
     return sorted(map(repr, ((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in df.select("p.doc_id", "n_lines", "n_dropped", "kept_text").collect())))
 
 
-@pytest.mark.parametrize("with_filters", [True, False])
-def test_line_dedup(spark, with_filters, monkeypatch):
-    if not with_filters:
-        monkeypatch.setattr(line_dedup, "FILTER_BYTES", -1)
-    df = clashing(spark, ["k1", "drops", "p", "id", "kept_text"])
+@pytest.mark.parametrize("shard_keys, probed", [(1 << 20, 1 << 21), (2, 3)])
+def test_line_dedup(spark, shard_keys, probed, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", shard_keys)
+    monkeypatch.setattr(line_dedup, "PROBED", probed)
+    line, other = "this line stands in several documents", "that line is in four of them, a little one"
+    more = [(i, f"{line}\n{other if i % 2 else i}\n{i} {line}", "en", "s", 1) for i in range(20, 28)] + [(None, f"x\n{line}\n{i}", "en", "s", 1) for i in range(4)]
+    df = clashing(spark, ["k1", "drops", "p", "id", "kept_text", "of", "tie"])
+    df = df.unionByName(spark.createDataFrame(more, SCHEMA), allowMissingColumns=True)
     assert lines_of(line_dedup.line_dedup(df)) == brute_lines(texts(df))
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
@@ -501,33 +504,47 @@ def test_line_dedup(spark, with_filters, monkeypatch):
 def test_line_index_is_reversible(spark):
     line = "this line stands in several documents"
     docs = spark.createDataFrame([(i, f"{line}\nown line {i}", "en", "s", 1) for i in range(4)], SCHEMA)
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "doc_id long")
+    hot = lambda: index.counts().where("refs >= 3").count()
     index = line_dedup.LineIndex(spark)
+    # Nothing is in yet: deletions and questions are possible.
+    index.delete(ids(1))
+    assert lines_of(index.apply(docs)) == sorted(map(repr, ((r.doc_id, 2, 0, r.text) for r in docs.collect())))
+    assert index.alive().count() == 0 == index.counts().count()
+    index.insert(docs.limit(0))
     index.insert(docs)
-    assert lines_of(index.apply(docs)) == brute_lines(texts(docs))
-    index.delete(spark.createDataFrame([(3,), (99,)], "doc_id long"))
+    assert lines_of(index.apply(docs)) == brute_lines(texts(docs)) and hot() == 1
+    # Once more, and once more deleted: a document is in or it isn't.
+    index.insert(docs)
+    assert index.counts().agg(F.max("refs")).first()[0] == 4
+    index.delete(ids(3, 99))
+    index.delete(ids(3))
     rest = docs.where("doc_id < 3")
-    assert lines_of(index.apply(rest)) == brute_lines(texts(rest))
-    index.delete(spark.createDataFrame([(0,)], "doc_id long"))
+    assert lines_of(index.apply(rest)) == brute_lines(texts(rest)) and index.alive().where("doc_id = 3").count() == 0
+    index.delete(ids(0))
     rest = docs.where("doc_id in (1, 2)")
-    assert all(r.n_dropped == 0 for r in index.apply(rest).collect()) and index.filters().count() == 0
-    index.insert(docs.where("doc_id = 3"))
-    rest = docs.where("doc_id in (1, 2, 3)")
-    assert lines_of(index.apply(rest)) == brute_lines(texts(rest)) and index.counts().agg(F.max("refs")).first()[0] == 3
-
-
-def test_line_index_forgets_a_document_inserted_twice(spark):
-    line = "this line stands in several documents"
-    docs = spark.createDataFrame([(i, f"{line}\nown line {i}", "en", "s", 1) for i in range(3)], SCHEMA)
+    assert all(r.n_dropped == 0 for r in index.apply(rest).collect()) and hot() == 0
+    (stored_filter,) = index.filters()[0].collect()
+    f = CuckooFilter.from_bytes(bytes(stored_filter["filter"]))
+    assert not f.table.any() and not f.stash  # the key left the stored filter again
+    # Another text under the same id replaces the one before; a new object on the same folder goes on.
+    index = line_dedup.LineIndex(spark, index.path)
+    index.insert(spark.createDataFrame([(3, f"  {line.upper()}  \nnew", "en", "s", 1), (1, "nothing of it", "en", "s", 1), (5, line, "en", "s", 1)], SCHEMA))
+    now = spark.createDataFrame([(1, "nothing of it", "en", "s", 1), (2, f"{line}\nown line 2", "en", "s", 1), (3, f"  {line.upper()}  \nnew", "en", "s", 1), (5, line, "en", "s", 1)], SCHEMA)
+    assert lines_of(index.apply(now)) == brute_lines(texts(now)) and hot() == 1
+
+
+def test_line_index_grows_its_shards(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    lines = [f"line number {i} of a text that repeats" for i in range(15)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[: 5 * i + 5]), "en", "s", 1) for i in range(3)] + [(i, "\n".join(lines), "en", "s", 1) for i in (7, 8)], SCHEMA)
     index = line_dedup.LineIndex(spark)
-    index.insert(docs)
-    index.insert(docs.where("doc_id = 2"))
-    assert lines_of(index.apply(docs)) == brute_lines(texts(docs))
-    index.delete(spark.createDataFrame([(2,)], "doc_id long"))
-    assert index.alive().where("doc_id = 2").count() == 0
-    rest = docs.where("doc_id < 2")
+    for i in (0, 1, 7, 8, 2):
+        index.insert(docs.where(F.col("doc_id") == i))
+    assert index.filters()[1] >= 4 and lines_of(index.apply(docs)) == brute_lines(texts(docs))
+    index.delete(spark.createDataFrame([(8,)], "doc_id long"))
+    rest = docs.where("doc_id <> 8")
     assert lines_of(index.apply(rest)) == brute_lines(texts(rest))
-    index.insert(docs.where("doc_id = 2"))
-    assert lines_of(index.apply(docs)) == brute_lines(texts(docs))
 
 
 def test_cuckoo_filter():

@@ -1,22 +1,26 @@
 """Operator 8: line dedup that can be taken back.
 
 A line's key is the line without white space at its ends and with A-Z lowered; keys are told apart by 128-bit
-hashes. Exact reference counts (documents that hold a key, and the largest id among them) are an aggregate of the
-postings (key, document); sharded cuckoo filters hold the keys whose count has reached the threshold. A filter has
-no false negative, so a line outside it is kept without a look at the counts; a line inside it is confirmed by the
-exact table. The counts of all keys are made first, so the filters only make the join smaller. `LineIndex` keeps postings as a ledger of insertions and deletions, so a deleted document's lines stop
-counting and its copies elsewhere come back.
+hashes. Exact reference counts tell in how many documents a key stands; sharded cuckoo filters hold the keys whose
+count has reached the threshold. Postings (key, document) meet the filters shard by shard, and only those that may be
+hot go on to the exact table, which confirms them and names the document that keeps the line.
+
+`LineIndex` keeps postings, counts and filters between calls. An insertion or deletion of documents changes the counts
+by the difference, puts keys that reach the threshold into the stored filters and takes out those that fall below it, so
+a deleted document's lines stop counting and their copies elsewhere come back.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from struct import pack
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -24,10 +28,11 @@ from .cuckoo import CuckooFilter
 from .runtime import payload, quoted, shared_path, stored
 
 STRIP = bytes([0x20, *range(0x09, 0x0E)])
-#: Keys of one filter shard.
-SHARD_KEYS = 1 << 20
-#: The filters are sent to all tasks only if together they are at most this large; else the exact join does it alone.
-FILTER_BYTES = 64 << 20
+#: Keys of one filter shard (2.7 MB), and postings that meet it in one task.
+SHARD_KEYS, PROBED = 1 << 20, 1 << 21
+#: Text bytes whose lines are cut at once.
+CHUNK = 1 << 20
+KEY = ["k1", "k2"]
 
 
 def line_keys(text: bytes, least: int) -> list[bytes | None]:
@@ -42,20 +47,27 @@ def line_keys(text: bytes, least: int) -> list[bytes | None]:
     return out
 
 
+def tie(text: Column) -> Column:
+    """Tells documents of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def postings(docs: DataFrame, least: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k1, k2, doc_id), once for each key and document row."""
+    """(k1, k2, doc_id, tie), once for each key and document row; `tie` stands for the row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, at = [], []
-            for i, body in enumerate(K.binary_column(batch.column(1)).to_pylist()):
-                own = {*line_keys(body, least)} - {None}
-                keys += own
-                at += [i] * len(own)
-            both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), batch.column(0).take(pa.array(at, pa.int64()))], names=["k1", "k2", "doc_id"])
+            for first, _, data, off in K.chunks(batch.column(1), CHUNK):
+                keys, at, body, cuts = [], [], data.tobytes(), off.tolist()
+                for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), first):
+                    own = {*line_keys(body[a:b], least)} - {None}
+                    keys += own
+                    at += [i] * len(own)
+                both, rows = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2), pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), batch.column(0).take(rows), batch.column(2).take(rows)], names=[*KEY, "doc_id", "tie"])
 
-    return docs.select(quoted(key).cast("long"), quoted(text)).mapInArrow(run, "k1 long, k2 long, doc_id long")
+    rows = docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text"), tie(quoted(text)).alias("tie"))
+    return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, tie long")
 
 
 def reference_counts(rows: DataFrame, least_docs: int = 1) -> DataFrame:
@@ -64,79 +76,104 @@ def reference_counts(rows: DataFrame, least_docs: int = 1) -> DataFrame:
     Distinct pairs are dealt out by key and document, and counted before they meet by key, so that a line in a third
     of all documents costs one row for each task.
     """
-    pairs = rows.dropDuplicates(["k1", "k2", "doc_id"])
-    return pairs.groupBy("k1", "k2").agg(F.count("*").alias("refs"), F.max("doc_id").alias("keeper")).where(F.col("refs") >= least_docs)
+    pairs = rows.select(*KEY, "doc_id").dropDuplicates()
+    return pairs.groupBy(*KEY).agg(F.count("*").alias("refs"), F.max("doc_id").alias("keeper")).where(F.col("refs") >= least_docs)
 
 
-def build_filters(hot: DataFrame, n_shards: int) -> DataFrame:
-    """(shard, filter): a cuckoo filter of the keys of each shard."""
+def shard(n_shards: int) -> Column:
+    return F.pmod("k2", F.lit(n_shards)).cast("int")
+
+
+def update_filters(filters: DataFrame, changes: DataFrame, n_shards: int) -> DataFrame:
+    """(shard, filter) after `changes` (k1, k2, up: true for a key to put in, false for one to take out) to `filters`.
+
+    A shard without a filter gets one with room for its keys, or for SHARD_KEYS of them if there are fewer.
+    """
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        f = CuckooFilter.for_keys(table.num_rows)
-        f.insert(table.column("k1").to_numpy().view(np.uint64))
+    def run(key: tuple[pa.Scalar, ...], old: pa.Table, new: pa.Table) -> pa.Table:
+        f = CuckooFilter.from_bytes(old.column("filter")[0].as_py()) if old.num_rows else CuckooFilter.for_keys(max(SHARD_KEYS, new.num_rows))
+        keys, up = new.column("k1").to_numpy().view(np.uint64), new.column("up").to_numpy(zero_copy_only=False)
+        f.delete(keys[~up])
+        f.insert(keys[up])
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([f.to_bytes()], pa.binary())})
 
-    return hot.select(F.pmod("k2", F.lit(n_shards)).cast("int").alias("shard"), "k1").groupBy("shard").applyInArrow(run, "shard int, filter binary")
+    told = changes.select(shard(n_shards).alias("shard"), "k1", "up")
+    return filters.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(run, "shard int, filter binary")
 
 
-def probe(rows: DataFrame, filters: dict[int, bytes], n_shards: int) -> DataFrame:
-    """The postings whose key may be in its shard's filter."""
-    sent = rows.sparkSession.sparkContext.broadcast(filters)
+def build_filters(hot: DataFrame, n_shards: int) -> DataFrame:
+    """(shard, filter): a cuckoo filter of the keys of each shard."""
+    none = hot.sparkSession.createDataFrame([], "shard int, filter binary")
+    return update_filters(none, hot.select(*KEY, F.lit(True).alias("up")), n_shards)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {shard: CuckooFilter.from_bytes(data) for shard, data in sent.value.items()}
-        for batch in batches:
-            k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
-            shard = k2 % n_shards
-            keep = np.zeros(len(k1), bool)
-            for s, f in known.items():
-                at = np.flatnonzero(shard == s)
-                keep[at] = f.contains(k1[at].view(np.uint64))
-            yield batch.filter(pa.array(keep))
 
-    return rows.mapInArrow(run, rows.schema)
+def probe(rows: DataFrame, filters: DataFrame, n_shards: int, n_rows: int) -> DataFrame:
+    """The postings whose key may be in its shard's filter.
+
+    Postings are dealt by shard and, inside a shard, by document, so that no common line makes a task large; a
+    filter, which is small, goes to all parts of its shard.
+    """
+    parts = max(1, math.ceil(n_rows / n_shards / PROBED))
+
+    def run(key: tuple[pa.Scalar, ...], told: pa.Table, own: pa.Table) -> pa.Table:
+        told = told.select([*KEY, "doc_id", "tie"])
+        if not told.num_rows or not own.num_rows:
+            return told.slice(0, 0)
+        f = CuckooFilter.from_bytes(own.column("filter")[0].as_py())
+        return told.filter(pa.array(f.contains(told.column("k1").to_numpy().view(np.uint64))))
+
+    told = rows.select(*KEY, "doc_id", "tie", shard(n_shards).alias("shard"), F.pmod(F.xxhash64("doc_id", "tie"), F.lit(parts)).cast("int").alias("part"))
+    own = filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return told.groupBy("shard", "part").cogroup(own.groupBy("shard", "part")).applyInArrow(run, "k1 long, k2 long, doc_id long, tie long")
 
 
 def _cut(schema_names: list[str], least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_lines, n_dropped, kept = [], [], []
-            drops = batch.column(2)
-            for body, drop in zip(K.binary_column(batch.column(1)).to_pylist(), drops.to_pylist(), strict=True):
-                lines = body.split(b"\n")
-                n_lines.append(len(lines))
-                if drop:
-                    gone = {pack("<qq", *k) for k in drop}
-                    lines = [line for line, k in zip(lines, line_keys(body, least), strict=True) if k not in gone]
-                n_dropped.append(n_lines[-1] - len(lines))
-                kept.append(b"\n".join(lines) if drop else body)
-            size = np.append(0, np.cumsum([*map(len, kept)])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), K.binary_array(np.frombuffer(b"".join(kept), np.uint8), size, pa.string())], names=schema_names)
+            for i, j, data, off in K.chunks(batch.column(1), CHUNK):
+                n_lines, n_dropped, kept, text, cuts = [], [], [], data.tobytes(), off.tolist()
+                for a, b, drop in zip(cuts[:-1], cuts[1:], batch.column(2).slice(i, j - i).to_pylist(), strict=True):
+                    body = text[a:b]
+                    lines = body.split(b"\n")
+                    n_lines.append(len(lines))
+                    if drop:
+                        gone = {pack("<qq", *k) for k in drop}
+                        lines = [line for line, k in zip(lines, line_keys(body, least), strict=True) if k not in gone]
+                    n_dropped.append(n_lines[-1] - len(lines))
+                    kept.append(b"\n".join(lines) if drop else body)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=schema_names)
 
     return run
 
 
 def apply_drops(docs: DataFrame, drops: DataFrame, least: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` as a struct `p`, with n_lines (before), n_dropped and kept_text; drops: (k1, k2, doc_id)."""
-    each = drops.groupBy("doc_id").agg(F.collect_list(F.array("k1", "k2")).alias("drops"))
-    rows = docs.select(payload(docs).alias("p"), quoted(text).alias("text"), quoted(key).cast("long").alias("id"))
-    joined = rows.join(each.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc_id")), "left").select("p", "text", "drops")
+    """`docs` as a struct `p`, with n_lines (before), n_dropped and kept_text; drops: (k1, k2, doc_id, tie).
+
+    A row's drops are at most its own lines: rows of one id with different texts have lists of their own.
+    """
+    each = drops.groupBy(F.col("doc_id").alias("of"), F.col("tie").alias("of_tie")).agg(F.collect_set(F.array(*KEY)).alias("drops"))
+    rows = docs.select(payload(docs).alias("p"), quoted(text).alias("text"), quoted(key).cast("long").alias("id"), tie(quoted(text)).alias("tie"))
+    joined = rows.join(each, F.col("id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("of_tie")), "left").select("p", "text", "drops")
     schema = docs.select(payload(docs).alias("p")).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
     return joined.mapInArrow(_cut(schema.names, least), schema)
 
 
-def find_drops(rows: DataFrame, least_docs: int) -> DataFrame:
-    """(k1, k2, doc_id) that lose their line: the key is in `least_docs` documents and this isn't the keeper.
+def shards_for(n_keys: int) -> int:
+    return max(1, -(-n_keys // SHARD_KEYS))
+
+
+def find_drops(rows: DataFrame, hot: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
+    """(k1, k2, doc_id, tie) that lose their line: the key is hot, and this document isn't its keeper.
 
-    `rows` are read several times, so they should be a stored table.
+    rows: stored postings; hot: (k1, k2, keeper); filters: of the hot keys, and perhaps more. What passes the filters
+    is confirmed by the exact table. A hot key's postings are many: they are dealt out by document as well, and its one
+    row in the table goes to each part.
     """
-    hot = stored(reference_counts(rows, least_docs))
-    n = hot.count()
-    n_shards = max(1, -(-n // SHARD_KEYS))
-    if n * 16 // 3 <= FILTER_BYTES:  # buckets of 8 bytes for 3 keys, a power of two of them
-        filters = {r["shard"]: bytes(r["filter"]) for r in build_filters(hot, n_shards).toLocalIterator()}
-        rows = probe(rows, filters, n_shards)
-    return rows.dropDuplicates(["k1", "k2", "doc_id"]).join(hot, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("k1", "k2", "doc_id")
+    n = rows.count()
+    parts = max(1, math.ceil(n / PROBED))
+    maybe = probe(rows, filters, n_shards, n).withColumn("part", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(parts)))
+    exact = hot.select(*KEY, "keeper").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return maybe.join(exact, [*KEY, "part"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select(*KEY, "doc_id", "tie")
 
 
 def line_dedup(docs: DataFrame, least_docs: int = 3, least: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -146,44 +183,101 @@ def line_dedup(docs: DataFrame, least_docs: int = 3, least: int = 20, key: str =
     documents or more lose all their lines except in the largest id. Documents without an id count as one, below all
     others; rows of one id are one document. Columns of any names may come along. The order of rows is not kept.
     """
-    return apply_drops(docs, find_drops(stored(postings(docs, least, key, text)), least_docs), least, key, text)
+    rows = stored(postings(docs, least, key, text))
+    hot = stored(reference_counts(rows, least_docs))
+    n_shards = shards_for(hot.count())
+    return apply_drops(docs, find_drops(rows, hot, build_filters(hot, n_shards), n_shards), least, key, text)
 
 
 class LineIndex:
-    """Incremental state in a folder: a ledger of postings with +1 for an insertion and -1 for a deletion.
+    """Incremental state in a folder, all of it Spark tables: `ledger`, postings with +1 where they came and -1 where
+    they went; `counts`, changes of the reference counts; and `filters`, a version after each change.
 
-    A document may be inserted again after its deletion, and one that was inserted several times goes at once.
-    Counts and filters are made from the ledger when they are asked for; no filter is kept between calls.
+    A document is known by its id; rows of one id are one document, and a null id is one, too. All calls can be
+    repeated: an insertion that is there already, and a deletion of what isn't, change nothing. A document that is
+    inserted with another text replaces the one before. Null and empty texts have no postings. An index without any
+    document drops no line.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, least_docs: int = 3, least: int = 20):
         self.spark, self.path, self.least_docs, self.least = spark, path or shared_path(spark), least_docs, least
 
-    def _write(self, rows: DataFrame) -> None:
-        rows.select("k1", "k2", "doc_id", F.col("change").cast("int")).write.mode("append").parquet(f"{self.path}/ledger")
-
-    def insert(self, docs: DataFrame) -> None:
-        self._write(postings(docs, self.least).dropDuplicates(["k1", "k2", "doc_id"]).withColumn("change", F.lit(1)))
-
-    def delete(self, ids: DataFrame) -> None:
-        """ids: (doc_id); documents that aren't there change nothing."""
-        self._write(self._held().join(ids.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("change", -F.col("n")))
+    def _read(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def alive(self) -> DataFrame:
-        """(k1, k2, doc_id) of documents that are in."""
-        return self._held().drop("n")
-
-    def _held(self) -> DataFrame:
-        """(k1, k2, doc_id, n) of documents that are in, n being how often they were inserted."""
-        ledger = self.spark.read.schema("k1 long, k2 long, doc_id long, change int").parquet(f"{self.path}/ledger")
-        return ledger.groupBy("k1", "k2", "doc_id").agg(F.sum("change").alias("n")).where("n > 0")
+        """(k1, k2, doc_id, tie) of documents that are in."""
+        ledger = self._read("ledger", "k1 long, k2 long, doc_id long, tie long, change int")
+        return ledger.groupBy(*KEY, "doc_id", "tie").agg(F.sum("change").alias("n")).where("n > 0").drop("n")
 
     def counts(self) -> DataFrame:
-        return reference_counts(self.alive(), 1)
+        """(k1, k2, refs): documents that hold a key, of keys that any holds."""
+        return self._read("counts", "k1 long, k2 long, change long").groupBy(*KEY).agg(F.sum("change").alias("refs")).where("refs > 0")
+
+    def filters(self) -> tuple[DataFrame, int]:
+        """The filters (shard, filter) of the keys in `least_docs` documents or more, and the number of shards."""
+        every = self._read("filters", "version long, n_shards int, shard int, filter binary")
+        last = every.agg(F.max(F.struct("version", "n_shards"))).first()[0]
+        if last is None:
+            return every.select("shard", "filter"), 1
+        return every.where((F.col("version") == last["version"]) & F.col("shard").isNotNull()).select("shard", "filter"), last["n_shards"]
+
+    def _change(self, came: DataFrame, went: DataFrame) -> None:
+        """Write postings that came and that went. The counts' change is a document's, whatever texts it has."""
+        changes = stored(came.withColumn("change", F.lit(1)).unionByName(went.withColumn("change", F.lit(-1))))
+        if changes.isEmpty():
+            return
+        touched = changes.select(*KEY, "doc_id").distinct()
+        held = self.alive().select(*KEY, "doc_id").distinct().join(touched.withColumnsRenamed({"k1": "j1", "k2": "j2", "doc_id": "d"}), (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+        before = stored(held)
+        changes.select(*KEY, "doc_id", "tie", F.col("change").cast("int").alias("change")).write.mode("append").parquet(f"{self.path}/ledger")
+        now = self.alive().select(*KEY, "doc_id").distinct().join(touched.withColumnsRenamed({"k1": "j1", "k2": "j2", "doc_id": "d"}), (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+        delta = now.withColumn("x", F.lit(1)).unionByName(before.withColumn("x", F.lit(-1))).groupBy(*KEY).agg(F.sum("x").alias("change")).where("change <> 0")
+        delta = stored(delta)
+        old = self.counts().join(delta.select(*KEY), KEY, "left_semi")
+        crossing = stored(delta.join(old, KEY, "left").select(*KEY, F.coalesce("refs", F.lit(0)).alias("was"), (F.coalesce("refs", F.lit(0)) + F.col("change")).alias("is")).where((F.col("was") >= self.least_docs) != (F.col("is") >= self.least_docs)))
+        delta.write.mode("append").parquet(f"{self.path}/counts")
+        own, n_shards = self.filters()
+        needed = shards_for(self.counts().where(F.col("refs") >= self.least_docs).count())
+        if needed > n_shards:  # too full: all anew, in twice as many shards at least
+            n_shards = max(needed, 2 * n_shards)
+            made = build_filters(self.counts().where(F.col("refs") >= self.least_docs), n_shards)
+        else:
+            made = update_filters(own, crossing.select(*KEY, (F.col("is") >= self.least_docs).alias("up")), n_shards)
+        version = (self._read("filters", "version long").agg(F.max("version")).first()[0] or 0) + 1
+        mark = self.spark.createDataFrame([(None, None)], "shard int, filter binary")  # a version may have no filter
+        stored(made).unionByName(mark).select(F.lit(version).cast("long").alias("version"), F.lit(n_shards).alias("n_shards"), "shard", "filter").write.mode("append").parquet(f"{self.path}/filters")
+
+    def _of(self, ids: DataFrame) -> DataFrame:
+        """Postings of the documents that have these ids."""
+        wanted = ids.select(F.col("doc_id").cast("long").alias("wanted")).distinct()
+        return self.alive().join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+
+    def insert(self, docs: DataFrame) -> None:
+        """Documents (doc_id, text); one that is in with another text is replaced."""
+        new, held = stored(postings(docs, self.least).distinct()), stored(self._of(docs))
+        self._change(_without(new, held), _without(held, new))
 
-    def filters(self, n_shards: int = 1) -> DataFrame:
-        return build_filters(self.counts().where(F.col("refs") >= self.least_docs), n_shards)
+    def delete(self, ids: DataFrame) -> None:
+        """ids: (doc_id); documents that aren't in change nothing."""
+        held = stored(self._of(ids))
+        self._change(held.limit(0), held)
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """As `line_dedup`, for documents that are in, by the state as it is now."""
-        return apply_drops(docs, find_drops(stored(self.alive()), self.least_docs), self.least)
+        filters, n_shards = self.filters()
+        hot = self.counts().where(F.col("refs") >= self.least_docs).select(*KEY)
+        keepers = self.alive().join(hot, KEY, "left_semi").groupBy(*KEY).agg(F.max("doc_id").alias("keeper"))
+        return apply_drops(docs, find_drops(stored(postings(docs, self.least)), stored(keepers), filters, n_shards), self.least)
+
+
+def _without(some: DataFrame, others: DataFrame) -> DataFrame:
+    """Postings of `some` that aren't in `others`."""
+    named = others.withColumnsRenamed({c: f"o_{c}" for c in others.columns})
+    same = (F.col("k1") == F.col("o_k1")) & (F.col("k2") == F.col("o_k2")) & F.col("doc_id").eqNullSafe(F.col("o_doc_id")) & (F.col("tie") == F.col("o_tie"))
+    return some.join(named, same, "left_anti")
