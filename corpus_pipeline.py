@@ -1,46 +1,62 @@
-"""The corpus pipeline: five stages from raw documents to token ids, each written as Parquet and read by the next."""
+"""The corpus pipeline: five stages from raw documents to token ids, each written as Parquet and read by the next.
+
+All stages take any number of rows, also none, and other columns than those of `documents`, which they leave out. A null
+text counts as empty, a null source is one of its own. Repeated rows are documents of their own until near duplicates go.
+"""
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, line_dedup, mixing, near_dup, toxicity
+from tickloom.llm import bpe, line_dedup, mixing, near_dup, queries, toxicity
 from tickloom.llm.runtime import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier marks as toxic go."""
+    """Documents that the classifier marks as toxic go. Without toxic examples all stay."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs.select(*COLUMNS), model).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in three documents or more stay in one of them. No document goes; n_chars follows the text."""
+    """Lines that stand in three documents or more stay in one of them. No document goes; n_chars follows the text, and a
+    null text becomes an empty one."""
     found = line_dedup.line_dedup(docs.select(*COLUMNS))
     return found.select("p.doc_id", F.col("kept_text").alias("text"), "p.lang", "p.source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: the one with the least id."""
+    """One document of each class of near duplicates stays: the one with the least id (of a class without any id, one of
+    its texts). Texts without words are one class."""
     return near_dup.first_of_classes(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes its first word: 0, 1 or 2 times."""
-    totals = mixing.mix(docs).totals().where("times > 0").select(F.col("id").alias("i"), F.col("tie").alias("t"), F.col("source").alias("s"), "times")
-    totals = totals.groupBy("i", "t", "s").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
-    on = F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("t")) & F.col("source").eqNullSafe(F.col("s"))
-    each = F.ceil(F.col("times") / F.col("rows")).cast("int")  # equal rows share what they were taken together
-    return docs.select(*COLUMNS).join(totals, on).withColumn("turn", F.explode(F.sequence(F.lit(1), each))).select(*COLUMNS)
+    """Each document as often as the mixture takes its first word: 0, 1 or 2 times, and then whole.
+
+    So documents stay whole: the words of a source come near its target, by the documents that a block's border cuts.
+    A document of which no copy begins in the mixture goes, and with it those without words. Rows with one id, text and
+    source share the times that they were taken together, none more than once more than another.
+    """
+    totals = mixing.mix(docs).totals().where("times > 0").groupBy(F.col("id").alias("i"), F.col("tie").alias("t"), F.col("source").alias("s")).agg(F.sum("times").alias("times"))
+    rows = docs.groupBy(*COLUMNS).agg(F.count("*").alias("rows")).withColumn("tie", F.xxhash64("text"))  # equal rows are counted first
+    alike = Window.partitionBy("doc_id", "tie", "source")
+    before = F.sum("rows").over(alike.orderBy("lang", "n_chars").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")
+    rows = rows.withColumns({"before": before, "all": F.sum("rows").over(alike)})
+    on = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")) & F.col("source").eqNullSafe(F.col("s"))
+    each, more = F.floor(F.col("times") / F.col("all")), F.col("times") % F.col("all")
+    copies = each * F.col("rows") + F.greatest(F.lit(0), F.least(F.col("rows"), more - F.col("before")))
+    taken = rows.join(totals, on).withColumn("copies", copies.cast("int")).where("copies > 0")
+    return taken.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and digests of them and of the text decoded from them."""
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids): each document's token ids, with digests of them and of the
+    text decoded from them."""
+    return bpe.round_trip(docs, queries.tokenizer("byte_bpe_multi_50k.tiktoken"), ids=True)
 
 
 STAGES = [
