@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import RiskParams
+from .metrics import running_total
 
 
 def position_size(balance: Column, price: Column, core: Column, p: RiskParams) -> tuple[Column, Column]:
@@ -62,20 +63,53 @@ def daily_pnl(trades: DataFrame, by: tuple[str, ...], order: tuple[str, ...], at
     return trades.withColumn("daily_pnl", F.sum(F.round("pnl", 2)).over(w))
 
 
+def drawdowns(trades: DataFrame, by: tuple[str, ...], order: tuple[str, ...], balance: float, at: str = "closed_at") -> DataFrame:
+    """`trades` with equity (the balance and all results so far, to 2 decimals), drawdown and weekly_drawdown: per cent
+    below the peak since the day, or the week, began. A period's peak begins with the equity that it starts from."""
+    pnl = F.round("pnl", 2).cast("decimal(28,2)")
+    rows = running_total(trades, pnl, "equity", by, order, time=at).withColumn("equity", (F.col("equity") + F.lit(balance)).cast("double"))
+    rows = rows.withColumn("_at_start", F.col("equity") - pnl.cast("double"))
+    for name, period in (("drawdown", F.to_date(at)), ("weekly_drawdown", F.to_date(F.date_trunc("week", at)))):
+        w = Window.partitionBy(*by, period).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        peak = F.greatest(F.max("equity").over(w), F.first("_at_start").over(w))
+        rows = rows.withColumn(name, F.when(peak > 0, (peak - F.col("equity")) / peak * 100).otherwise(0.0))
+    return rows.drop("_at_start")
+
+
 def breaker(curve: DataFrame, p: RiskParams, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """`curve` with tripped and trip_reason: latched from the first row on that breaks a limit.
 
-    Needs: drawdown (per cent of the peak), daily_pnl, losses_in_row.
+    Needs: drawdown and weekly_drawdown (per cent of the peak), daily_pnl, losses_in_row.
     """
     reason = (
-        F.when(F.col("drawdown") > p.max_daily_drawdown, "drawdown").when(F.col("daily_pnl") <= -p.max_daily_loss, "daily loss")
-        .when(F.col("losses_in_row") >= p.max_consecutive_losses, "consecutive losses")
+        F.when(F.col("drawdown") > p.max_daily_drawdown, "drawdown").when(F.col("weekly_drawdown") > p.max_weekly_drawdown, "weekly drawdown")
+        .when(F.col("daily_pnl") <= -p.max_daily_loss, "daily loss").when(F.col("losses_in_row") >= p.max_consecutive_losses, "consecutive losses")
     )
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     first = F.first(reason, ignorenulls=True).over(w)
     return curve.withColumn("trip_reason", F.coalesce(first, F.lit(""))).withColumn("tripped", F.col("trip_reason") != "")
 
 
+#: What a tripped breaker does with open positions; anything else counts as the first.
+ACTIONS = ("block_only", "tighten_stops", "close_all", "close_worst")
+
+
+def breaker_action(positions: DataFrame, action: str, key: str = "position_id", tighten_pct: float = 2.0) -> DataFrame:
+    """Open positions (key, entry, last, quantity, side, stop) with `close` and their new `stop`.
+
+    block_only leaves them as they are, tighten_stops puts each stop 2 per cent behind the price (to 2 decimals), close_all
+    closes all and close_worst the one with the least unrealised result; ties go to the smaller key.
+    """
+    price = F.coalesce("last", "entry")
+    if action == "tighten_stops":
+        return positions.withColumn("close", F.lit(False)).withColumn("stop", F.round(price * (1 - F.col("side") * (tighten_pct / 100)), 2))
+    if action == "close_worst":
+        pnl = unrealised(F.col("entry"), F.col("last"), F.col("quantity"), F.col("side"))
+        worst = positions.agg(F.min_by(key, F.struct(pnl, key)).alias("_worst"))  # one row
+        return positions.join(F.broadcast(worst)).withColumn("close", F.coalesce(F.col(key) == F.col("_worst"), F.lit(False))).drop("_worst")
+    return positions.withColumn("close", F.lit(action == "close_all"))
+
+
 def trailing_stop(entry: Column, best: Column, side: Column, pct: float) -> Column:
     """A stop behind the best price so far, never worse than one behind the entry."""
     far = F.when(side == 1, F.greatest(best, entry)).otherwise(F.least(best, entry))
@@ -84,3 +118,11 @@ def trailing_stop(entry: Column, best: Column, side: Column, pct: float) -> Colu
 
 def unrealised(entry: Column, last: Column, quantity: Column, side: Column) -> Column:
     return (F.coalesce(last, entry) - entry) * quantity * side
+
+
+def live_trailing_stop(stop: Column, last: Column, side: Column, pct: float) -> Column:
+    """The stop of an open position after a price: `pct` per cent behind it (1 at least, to 2 decimals), if that is
+    better than the one that stands."""
+    new = F.round(last * (1 - side * (max(pct, 1.0) / 100)), 2)
+    better = stop.isNull() | ((side == 1) & (new > stop)) | ((side == -1) & (new < stop))
+    return F.when(last.isNotNull() & better, new).otherwise(stop)

@@ -66,6 +66,16 @@ def parameter_sensitivity(runs: DataFrame, base: str, score: str, by: Sequence[s
     return runs.groupBy(*by).agg(F.least(value, F.lit(1.0)).alias("sensitivity"))
 
 
+def retire(least_sharpe: float = -1.0, least_win_rate: float = 30.0, most_drawdown: float = 30.0) -> Column:
+    """Whether a strategy's metrics (`metrics.backtest_metrics`) say that it should go: no trade, or a limit broken."""
+    return (F.col("total_trades") == 0) | (F.col("sharpe") < least_sharpe) | (F.col("win_rate") < least_win_rate) | (F.col("max_drawdown") > most_drawdown)
+
+
+def deployable(sharpe: float = 0.5, win_rate: float = 45.0) -> Column:
+    """Whether a new strategy's metrics are good enough to trade with."""
+    return (F.col("sharpe") > sharpe) & (F.col("win_rate") > win_rate)
+
+
 # --- genetic search -----------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,7 +144,14 @@ def deflated_sharpe(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", r(M.deflated_sharpe(F.col("s_acctbal") / 5000, F.lit(100))).alias("dsr"))
 
 
-@query("deflated_sharpe_p_value")
+_T = "(1.0::DOUBLE / (1 + 0.3275911::DOUBLE * x))"
+_TAIL = "0.0::DOUBLE"
+for _a in reversed(M.ERFC):
+    _TAIL = f"(({_TAIL} + {_a}::DOUBLE) * {_T})"
+
+
+@query("deflated_sharpe_p_value", f"""d AS (SELECT s_suppkey, greatest(CASE WHEN s_acctbal > 0 THEN s_acctbal / 5000 - sqrt(1 / 365.0::DOUBLE) * sqrt(2 * ln(100.0::DOUBLE)) ELSE 0 END, 0) / sqrt(1 / 365.0::DOUBLE) / sqrt(2.0::DOUBLE) AS x FROM supplier)
+SELECT s_suppkey, round({_TAIL} * exp(-x * x) * 0.5, 6) AS p_value FROM d""")
 def deflated_sharpe_p_value(t: Tables) -> DataFrame:
     dsr = M.deflated_sharpe(F.col("s_acctbal") / 5000, F.lit(100))
     return t.supplier.select("s_suppkey", r(M.deflated_p_value(dsr)).alias("p_value"))
@@ -192,19 +201,32 @@ def spearman_grid_top5(t: Tables) -> DataFrame:
     return found.select(r("wr").alias("wr"), "pf", "roc", "bal", r("rho").alias("rho"))
 
 
-@query("population_diversity", "SELECT round(avg(s), 6) AS mean, round(stddev_pop(s) / (abs(avg(s)) + 1e-9::DOUBLE), 6) AS diversity FROM (SELECT CASE WHEN c_acctbal > -900 THEN c_acctbal END AS s FROM customer)")
+#: The fitness of each strategy and symbol: the population of a search.
+_FITNESS = _CELLS.rstrip() + f""",
+fit AS (SELECT strategy, symbol, round(winning * 100.0::DOUBLE / greatest(trades, 1) * 0.15::DOUBLE + greatest(CASE WHEN gross_loss > 0 THEN least(gross_profit / gross_loss, 100) WHEN gross_profit > 0 THEN 100 ELSE 0.1 END, 0.1) * 5 + total_pnl / 10000000 * 50
+  - CASE WHEN trades > 0 THEN abs(CAST(long_trades AS DOUBLE) / trades - 0.5) * 2 ELSE 1 END * 10 - ({_PENALTY}) - CASE WHEN total_pnl < -50 THEN abs(total_pnl) * 0.3::DOUBLE ELSE 0 END - 4.0, 6) AS fitness FROM m)
+"""
+
+
+def _population(t: Tables) -> DataFrame:
+    c = F.col
+    score = M.fitness(c("trades"), c("winning"), c("gross_profit"), c("gross_loss"), c("total_pnl"), c("long_trades"), F.lit(4.0), balance=10_000_000)
+    return cells(t).select("strategy", "symbol", r(score).alias("fitness"))
+
+
+@query("population_diversity", _FITNESS + "SELECT round(avg(s), 4) AS mean, round(stddev_pop(s) / (abs(avg(s)) + 1e-9::DOUBLE), 4) AS diversity FROM (SELECT CASE WHEN fitness > -900 THEN fitness END AS s FROM fit)")
 def population_diversity(t: Tables) -> DataFrame:
-    return G.population_stats(t.customer, F.col("c_acctbal")).select(r("mean").alias("mean"), r("diversity").alias("diversity"))
+    return G.population_stats(_population(t), F.col("fitness")).select(r("mean", 4).alias("mean"), r("diversity", 4).alias("diversity"))
 
 
-@query("parameter_sensitivity", "SELECT c_nationkey, round(least(stddev_pop(c_acctbal) / greatest(abs(max(c_acctbal)), 1), 1), 6) AS sensitivity FROM customer GROUP BY c_nationkey")
+@query("parameter_sensitivity", _FITNESS + "SELECT strategy, round(least(stddev_pop(fitness) / greatest(abs(max(fitness)), 1), 1), 4) AS sensitivity FROM fit GROUP BY strategy")
 def parameter_sensitivity(t: Tables) -> DataFrame:
-    return G.parameter_sensitivity(t.customer, "c_acctbal", "c_acctbal", ["c_nationkey"]).select("c_nationkey", r("sensitivity").alias("sensitivity"))
+    return G.parameter_sensitivity(_population(t), "fitness", "fitness", ["strategy"]).select("strategy", r("sensitivity", 4).alias("sensitivity"))
 
 
-@query("fitness_top_k", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 8")
+@query("fitness_top_k", _FITNESS + "SELECT strategy, symbol, round(fitness, 3) AS fitness FROM fit ORDER BY fitness DESC, strategy, symbol LIMIT 8")
 def fitness_top_k(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").limit(8)
+    return _population(t).orderBy(F.desc("fitness"), "strategy", "symbol").limit(8).select("strategy", "symbol", r("fitness", 3).alias("fitness"))
 
 
 query("matrix_negative_cells", _CELLS + "SELECT strategy, symbol, round(total_pnl, 3) AS total_pnl FROM m WHERE total_pnl < -5")(lambda t: cells(t).where("total_pnl < -5").select("strategy", "symbol", r("total_pnl", 3).alias("total_pnl")))
@@ -214,12 +236,28 @@ query("matrix_gap_symbols", _CELLS + "SELECT symbol, arg_max(strategy, (total_pn
 query("strategy_positive_share", _CELLS + "SELECT strategy, round(count(*) FILTER (total_pnl > 0) / CAST(count(*) AS DOUBLE), 6) AS share FROM m GROUP BY strategy")(
     lambda t: cells(t).groupBy("strategy").agg(r(F.count_if(F.col("total_pnl") > 0) / F.count("*")).alias("share"))
 )
-query("retirement_candidates", _CELLS + "SELECT strategy, trades FROM u WHERE trades = 0 OR winning * 100.0::DOUBLE / trades < 54 OR pnl < 0")(
-    lambda t: rollup(t).where((F.col("trades") == 0) | (F.try_divide(F.col("winning") * 100.0, F.col("trades")) < 54) | (F.col("pnl") < 0)).select("strategy", "trades")
+#: Metrics of each strategy, from 10 million and the days' results.
+_RULES = PNL.strip() + """,
+q0 AS (SELECT strategy, CAST(closed_at AS DATE) AS day, sum(CAST(round(pnl, 2) AS DECIMAL(28,2))) AS pnl FROM p GROUP BY ALL),
+q1 AS (SELECT strategy, day, CAST(10000000 + sum(pnl) OVER (PARTITION BY strategy ORDER BY day ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS equity FROM q0),
+q2 AS (SELECT *, max(equity) OVER (PARTITION BY strategy ORDER BY day ROWS UNBOUNDED PRECEDING) AS peak, equity / nullif(lag(equity) OVER (PARTITION BY strategy ORDER BY day), 0) - 1 AS ret FROM q1),
+q3 AS (SELECT strategy, coalesce(max((peak - equity) / nullif(peak, 0) * 100), 0) AS max_drawdown, coalesce(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(365), 0) AS sharpe FROM q2 GROUP BY strategy),
+q AS (SELECT q3.*, total_trades, win_rate FROM q3 JOIN (SELECT strategy, count(*) AS total_trades, count(*) FILTER (pnl > 0) * 100.0::DOUBLE / count(*) AS win_rate FROM p GROUP BY strategy) USING (strategy))
+"""
+
+
+def _strategy_metrics(t: Tables) -> DataFrame:
+    closed = priced(t)
+    return M.backtest_metrics(closed, M.daily_equity(closed, ("strategy",), 10_000_000), ("strategy",))
+
+
+query("strategy_metrics", _RULES + "SELECT strategy, round(max_drawdown, 4) AS max_drawdown, round(sharpe, 4) AS sharpe, total_trades, round(win_rate, 4) AS win_rate FROM q")(
+    lambda t: _strategy_metrics(t).select("strategy", r("max_drawdown", 4).alias("max_drawdown"), r("sharpe", 4).alias("sharpe"), "total_trades", r("win_rate", 4).alias("win_rate"))
 )
-query("deploy_gate", _CELLS + "SELECT strategy FROM u WHERE winning * 100.0::DOUBLE / nullif(trades, 0) > 45 AND gain / nullif(loss, 0) > 0.5")(
-    lambda t: rollup(t).where((F.try_divide(F.col("winning") * 100.0, F.col("trades")) > 45) & (F.try_divide(F.col("gain"), F.col("loss")) > 0.5)).select("strategy")
+query("retirement_candidates", _RULES + "SELECT strategy, total_trades FROM q WHERE total_trades = 0 OR sharpe < -1 OR win_rate < 30 OR max_drawdown > 30")(
+    lambda t: _strategy_metrics(t).where(G.retire()).select("strategy", "total_trades")
 )
+query("deploy_gate", _RULES + "SELECT strategy FROM q WHERE sharpe > 0.5 AND win_rate > 45")(lambda t: _strategy_metrics(t).where(G.deployable()).select("strategy"))
 query("closed_trades_export", "SELECT trade_id, line, symbol, side, round(exit_price, 9) AS exit_price, opened_at FROM trades WHERE closed_at > opened_at")(
     lambda t: t.trades.where("closed_at > opened_at").select("trade_id", "line", "symbol", "side", r("exit_price", 9).alias("exit_price"), "opened_at")
 )
@@ -271,22 +309,47 @@ BY, ORDER = ("strategy",), ("closed_at", "trade_id", "line", "part_id", "quantit
 query("consecutive_losses", _STREAK + "SELECT strategy, trade_id, line, losses_in_row FROM s")(lambda t: K.streaks(priced(t), BY, ORDER).select("strategy", "trade_id", "line", "losses_in_row"))
 query("daily_pnl_running", _STREAK + "SELECT strategy, trade_id, line, round(daily_pnl, 2) AS daily_pnl FROM s")(lambda t: K.daily_pnl(priced(t), BY, ORDER).select("strategy", "trade_id", "line", r("daily_pnl", 2).alias("daily_pnl")))
 
-_TRIPS = _STREAK.rstrip() + """,
-c AS (SELECT *, CASE WHEN daily_pnl <= -500000 THEN 'daily loss' WHEN losses_in_row >= 12 THEN 'consecutive losses' END AS reason FROM s),
-g AS (SELECT *, coalesce(first_value(reason IGNORE NULLS) OVER (PARTITION BY strategy ORDER BY closed_at, trade_id, line, part_id, quantity, exit_price ROWS UNBOUNDED PRECEDING), '') AS trip_reason FROM c)
+_BY_TRADE = "closed_at, trade_id, line, part_id, quantity, exit_price"
+_TRIPS = _STREAK.rstrip() + f""",
+x0 AS (SELECT *, CAST(10000000 + sum(CAST(round(pnl, 2) AS DECIMAL(28,2))) OVER (PARTITION BY strategy ORDER BY {_BY_TRADE} ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS equity FROM s),
+x1 AS (SELECT *, equity - round(pnl, 2) AS before FROM x0),
+x2 AS (SELECT *, greatest(max(equity) OVER d, first_value(before) OVER d) AS day_peak, greatest(max(equity) OVER w, first_value(before) OVER w) AS week_peak FROM x1
+  WINDOW d AS (PARTITION BY strategy, CAST(closed_at AS DATE) ORDER BY {_BY_TRADE} ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY strategy, date_trunc('week', closed_at) ORDER BY {_BY_TRADE} ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, CASE WHEN (day_peak - equity) / day_peak * 100 > 4 THEN 'drawdown' WHEN (week_peak - equity) / week_peak * 100 > 6 THEN 'weekly drawdown' WHEN daily_pnl <= -500000 THEN 'daily loss' WHEN losses_in_row >= 12 THEN 'consecutive losses' END AS reason FROM x2),
+g AS (SELECT *, coalesce(first_value(reason IGNORE NULLS) OVER (PARTITION BY strategy ORDER BY {_BY_TRADE} ROWS UNBOUNDED PRECEDING), '') AS trip_reason FROM c)
 """
 
 
 def _breaker(t: Tables) -> DataFrame:
-    rows = K.daily_pnl(K.streaks(priced(t), BY, ORDER), BY, ORDER).withColumn("drawdown", F.lit(0.0))
-    return K.breaker(rows, RiskParams(max_daily_loss=500_000, max_consecutive_losses=12), BY, ORDER)
+    rows = K.drawdowns(K.daily_pnl(K.streaks(priced(t), BY, ORDER), BY, ORDER), BY, ORDER, 10_000_000)
+    return K.breaker(rows, RiskParams(max_daily_drawdown=4, max_weekly_drawdown=6, max_daily_loss=500_000, max_consecutive_losses=12), BY, ORDER)
 
 
 query("circuit_breaker_trips", _TRIPS + "SELECT strategy, count(*) FILTER (trip_reason <> '') AS blocked, max(trip_reason) AS reason, min(closed_at) FILTER (trip_reason <> '') AS tripped_at FROM g GROUP BY strategy")(
     lambda t: _breaker(t).groupBy("strategy").agg(F.count_if("tripped").alias("blocked"), F.max("trip_reason").alias("reason"), F.min(F.when(F.col("tripped"), F.col("closed_at"))).alias("tripped_at"))
 )
-query("breaker_action", _TRIPS + "SELECT strategy, trade_id, line, CASE trip_reason WHEN 'daily loss' THEN 'close_all' WHEN 'consecutive losses' THEN 'tighten_stops' ELSE 'none' END AS action FROM g")(
-    lambda t: _breaker(t).select("strategy", "trade_id", "line", F.when(F.col("trip_reason") == "daily loss", "close_all").when(F.col("trip_reason") == "consecutive losses", "tighten_stops").otherwise("none").alias("action"))
+_HELD = """l AS (SELECT symbol, arg_max(price, (ts, seq)) AS price FROM ticks GROUP BY symbol),
+h AS (SELECT e.event_id AS position_id, e.event_type AS symbol, e.value AS entry, l.price AS last, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS quantity, CASE WHEN e.event_id % 2 = 0 THEN 1 ELSE -1 END AS side, e.value / 2 AS stop FROM events e LEFT JOIN l ON e.event_type = l.symbol),
+u AS (SELECT *, (coalesce(last, entry) - entry) * quantity * side AS upnl FROM h)
+"""
+
+
+@query("breaker_action", _HELD + """SELECT action, symbol, CAST(count(*) FILTER (action = 'close_all' OR action = 'close_worst' AND position_id = (SELECT arg_min(position_id, (upnl, position_id)) FROM u)) AS BIGINT) AS closed,
+  round(max(CASE WHEN action = 'tighten_stops' THEN round(coalesce(last, entry) * (1 - side * 0.02::DOUBLE), 2) ELSE stop END), 4) AS highest_stop
+FROM u CROSS JOIN (SELECT unnest(['block_only', 'tighten_stops', 'close_all', 'close_worst']) AS action) GROUP BY ALL""")
+def breaker_action(t: Tables) -> DataFrame:
+    last = t.ticks.groupBy("symbol").agg(F.max_by("price", F.struct("ts", "seq")).alias("last"))
+    held = t.events.select(
+        F.col("event_id").alias("position_id"), F.col("event_type").alias("symbol"), F.col("value").alias("entry"), F.get_json_object("props", "$.k").cast("double").alias("quantity"),
+        F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("side"), (F.col("value") / 2).alias("stop"),
+    ).join(last, "symbol", "left")
+    done = [K.breaker_action(held, a).groupBy("symbol").agg(F.count_if("close").alias("closed"), r(F.max("stop"), 4).alias("highest_stop")).select(F.lit(a).alias("action"), "symbol", "closed", "highest_stop") for a in K.ACTIONS]
+    return reduce(DataFrame.unionByName, done)
+
+
+query("live_trailing_stop", _HELD + "SELECT position_id, round(CASE WHEN last IS NOT NULL AND (stop IS NULL OR side = 1 AND round(last * 0.985::DOUBLE, 2) > stop OR side = -1 AND round(last * 1.015::DOUBLE, 2) < stop) THEN round(last * (1 - side * 0.015::DOUBLE), 2) ELSE stop END, 6) AS stop FROM h")(
+    lambda t: t.events.join(t.ticks.groupBy("symbol").agg(F.max_by("price", F.struct("ts", "seq")).alias("last")), F.col("event_type") == F.col("symbol"), "left")
+    .select(F.col("event_id").alias("position_id"), r(K.live_trailing_stop(F.col("value") / 2, F.col("last"), F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1), 1.5)).alias("stop"))
 )
 query("max_hold_exit", "SELECT trade_id, line, date_diff('second', opened_at, closed_at) / 3600.0::DOUBLE >= 720 AS expired FROM trades")(
     lambda t: t.trades.select("trade_id", "line", (M.seconds_between(F.col("opened_at"), F.col("closed_at")) / 3600 >= 720).alias("expired"))

@@ -5,9 +5,10 @@ ticks come from events, bars from ticks, trades from line items, and equity from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.metrics import running_total
 from ..operators.resample import resample
 
 
@@ -45,12 +46,12 @@ class Tables:
     def equity(self) -> DataFrame:
         """(event_id, ts, equity): 100,000 and a running sum of each event's value over its type's mean.
 
-        One account has one curve, which is a sequence; many accounts run side by side.
+        Changes are decimals of 6 digits, so that sums don't depend on their order and can be made day by day.
         """
-        mean = F.avg("value").over(Window.partitionBy("event_type"))
-        order = Window.orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-        change = self.events.select("event_id", "ts", (F.col("value") - mean).alias("change"))
-        return change.select("event_id", "ts", F.round(100000 + F.sum("change").over(order), 3).alias("equity"))
+        mean = self.events.groupBy("event_type").agg(F.avg("value").alias("mean"))
+        change = self.events.join(mean, "event_type").select("event_id", "ts", F.round(F.col("value") - F.col("mean"), 6).cast("decimal(28,6)").alias("change"))
+        total = running_total(change, F.col("change"), "total", (), ("ts", "event_id"))
+        return total.select("event_id", "ts", F.round(F.col("total") + 100000, 3).cast("double").alias("equity"))
 
 
 #: The same views in SQL, for the oracles.
@@ -61,8 +62,8 @@ SQL = {
         l_extendedprice / nullif(l_quantity, 0) AS exit_price, l_quantity AS quantity,
         least(o_orderdate, l_shipdate) AS opened_at, greatest(o_orderdate, l_shipdate) AS closed_at
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
-    "equity": """SELECT event_id, ts, round(100000 + sum(change) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS equity
-        FROM (SELECT event_id, ts, value - avg(value) OVER (PARTITION BY event_type) AS change FROM events)""",
+    "equity": """SELECT event_id, ts, CAST(round(100000 + sum(change) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS DOUBLE) AS equity
+        FROM (SELECT event_id, ts, CAST(round(value - avg(value) OVER (PARTITION BY event_type), 6) AS DECIMAL(28,6)) AS change FROM events)""",
 }
 
 
