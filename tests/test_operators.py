@@ -8,8 +8,6 @@ import random
 from functools import partial
 
 import numpy as np
-from datetime import datetime, timedelta
-
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -275,9 +273,7 @@ def test_several_recursions_share_a_pass(spark):
 
 
 def test_indicator_configurations_as_users_write_them(spark):
-    from tickloom.operators import indicators as I
-
-    times = [datetime(2024, 1, 1) + timedelta(hours=i) for i in range(80)]
+    times = [DAY + dt.timedelta(hours=i) for i in range(80)]
     rows = [("x", t, t, 1.0 + i % 7, 2.0 + i % 7, 0.5 + i % 7, 1.0 + i % 5, 10.0) for i, t in enumerate(times)]
     bars = spark.createDataFrame(rows, "symbol string, bar_start timestamp_ntz, bar_end timestamp_ntz, open double, high double, low double, close double, volume double")
     wide = I.with_indicators(bars, {"bollinger": {"period": 20, "stddev": 3.0}}).orderBy("bar_start").collect()[-1]
@@ -289,3 +285,186 @@ def test_indicator_configurations_as_users_write_them(spark):
     fast = I.with_indicators(bars, {"ema": {"fast_period": 12, "period": 30}}).orderBy("bar_start").collect()[-1]
     alone = I.with_indicators(bars, {"ema": {"periods": [12, 30]}}).orderBy("bar_start").collect()[-1]
     assert (fast.ema_fast, fast.ema_slow) == (alone.ema_12, alone.ema_30)
+
+
+# --- simulation against an independent account ---------------------------------------------------------------
+
+
+def account(rows, strategies, balance=10_000.0, most=8):
+    """Trades of one run, position by position on a plain ledger; rows: dicts in time order."""
+    cash, held, out = balance, [], []
+    own = {s.name: s for s in strategies}
+    for ts in sorted({r["ts"] for r in rows}):
+        now = sorted((r for r in rows if r["ts"] == ts), key=lambda r: (r["strategy"], r["symbol"], r["tf"]))
+        at = {(r["strategy"], r["symbol"], r["tf"]): r for r in now}
+        for h in list(held):
+            r, s = at.get(h["id"]), own[h["id"][0]]
+            if r is None:
+                continue
+            x, d, word, price = r["close"], h["side"], None, r["close"]
+            h["seen"] = x
+            take = [(lv, p) for lv, p in h["goals"] if (x >= lv if d > 0 else x <= lv)]
+            if (x <= h["stop"]) if d > 0 else (x >= h["stop"]):
+                word, price = "stop_loss", h["stop"]
+            elif take:
+                word, price = f"tp_{int(take[0][1])}pct", take[0][0]
+            else:
+                h["best"] = max(h["best"], x) if d > 0 else min(h["best"], x)
+                trail = 1.5 if s.trailing_pct is None else s.trailing_pct
+                if trail:
+                    h["stop"] = h["best"] * (1 - d * trail / 100)
+                if s.max_hold_hours and ts - h["since"] >= dt.timedelta(hours=s.max_hold_hours):
+                    word = "max_hold"
+                elif s.use_indicator_exits and r["exit_long" if d > 0 else "exit_short"]:
+                    word = "indicator"
+            part = 1.0
+            if word is None and (pct := r["reduce_long" if d > 0 else "reduce_short"]) and h["cuts"] < 4:
+                word, part = "reduce", pct / 100 if h["paid"] * (1 - pct / 100) >= 10 else 1.0
+            if word:
+                q, paid = h["q"] * part, h["paid"] * part
+                cost = (h["entry"] + price) * q * (0.0004 + 0.00015)
+                pnl = (price - h["entry"]) * q * d - cost
+                cash += paid + pnl
+                out.append((h["id"][0], h["id"][1], d, price, q, pnl, word, h["since"], ts))
+                h["q"], h["paid"], h["cuts"] = h["q"] - q, h["paid"] - paid, h["cuts"] + 1
+                if part == 1.0:
+                    held.remove(h)
+        for r in now:
+            key, s, d, x = (r["strategy"], r["symbol"], r["tf"]), own[r["strategy"]], r["side"], r["close"]
+            if not d or any(h["id"][:2] == key[:2] for h in held):
+                continue
+            if len(held) >= most:
+                break
+            q = min(min(cash * 0.3 * 0.05, cash * 0.1) / x, cash * 0.01 / (x * 0.02))
+            if q <= 0 or q * x > cash * 0.95:
+                continue
+            cash -= q * x
+            stop = 2.0 if s.stop_pct is None else s.stop_pct
+            held.append({"id": key, "side": d, "q": q, "entry": x, "paid": q * x, "stop": x * (1 - d * max(stop, 0.5) / 100), "goals": [(x * (1 + d * p / 100), p) for p in (3.0, 5.0, 10.0)], "best": x, "since": ts, "seen": x, "cuts": 0})
+    for h in held:
+        cost = (h["entry"] + h["seen"]) * h["q"] * (0.0004 + 0.00015)
+        out.append((h["id"][0], h["id"][1], h["side"], h["seen"], h["q"], (h["seen"] - h["entry"]) * h["q"] * h["side"] - cost, "end_of_backtest", h["since"], ts))
+    return out
+
+
+def test_simulation_is_the_accounts(spark):
+    rng = random.Random(11)
+    strategies = [Strategy("a"), Strategy("b", stop_pct=1.0, trailing_pct=0.0, max_hold_hours=6.0), Strategy("c", trailing_pct=3.0, use_indicator_exits=False), Strategy("d", max_hold_hours=0.0, trailing_pct=0.0, stop_pct=50.0)]
+    rows = []
+    for run in ("one", "two"):
+        price = {x: 100.0 for x in "xyz"}
+        for i in range(120):
+            for x in "xyz":
+                price[x] *= 1 + rng.gauss(0, 0.012)
+                for s in "abcd":
+                    if rng.random() < 0.9:
+                        rows.append({"run_id": run, "strategy": s, "symbol": x, "tf": "1h", "ts": DAY + dt.timedelta(hours=i), "side": rng.choice([0, 0, 0, 1, -1]), "exit_long": rng.random() < 0.05, "exit_short": rng.random() < 0.05, "close": price[x], "reduce_long": rng.choice([None, None, None, 25.0, 60.0]), "reduce_short": rng.choice([None, None, None, 50.0, 99.0])})
+    signals = spark.createDataFrame(rows, "run_id string, strategy string, symbol string, tf string, ts timestamp_ntz, side int, exit_long boolean, exit_short boolean, close double, reduce_long double, reduce_short double")
+    got = {}
+    for r in Z.trades(Z.simulate(signals, strategies=strategies)).collect():
+        got.setdefault(r.run_id, []).append((r.strategy, r.symbol, r.side, r.exit_price, r.quantity, r.pnl, r.exit_reason, r.opened_at, r.closed_at))
+    for run in ("one", "two"):
+        want = account([r for r in rows if r["run_id"] == run], strategies)
+        key = lambda t: (t[8], t[7], t[0], t[1], t[6], -t[4])
+        assert len(want) > 60 and {w[6] for w in want} >= {"stop_loss", "tp_3pct", "max_hold", "indicator", "reduce", "end_of_backtest"}
+        for a, b in zip(sorted(got[run], key=key), sorted(want, key=key), strict=True):
+            assert a[:3] == b[:3] and a[6:] == b[6:] and a[3:6] == pytest.approx(b[3:6])
+
+
+# --- search on bars -----------------------------------------------------------------------------------------
+
+
+def test_genes_of_a_strategy_and_back():
+    s = Strategy("s", {"rsi": {"period": 10}, "bollinger": {"period": 30, "stddev": 2.5}, "obv": {}}, {"long": ("rsi < 30",), "short": ()}, {"long": ("rsi > 65",), "short": ()}, symbols=("x",))
+    back = G.encode(s).decode("s")
+    assert (back.indicators["rsi"], back.indicators["bollinger"], back.entry, back.exit, back.symbols) == ({"period": 10}, {"period": 30, "stddev": 2.5}, s.entry, s.exit, s.symbols) and "obv" in back.indicators
+    rng = random.Random(0)
+    for _ in range(30):
+        made = G.random_chromosome(rng).decode("r")
+        known = {"close", "volume", *I.plan_indicators(made.indicators).columns()}
+        texts = [t for own in (made.entry, made.exit) for side in own.values() for t in side]
+        assert texts and not C.problems(texts, known)
+
+
+def test_search_and_walk_forward_on_bars(spark, tmp_path):
+    rng = random.Random(1)
+    close = [100.0]
+    for _ in range(24 * 75):
+        close.append(close[-1] * (1 + rng.gauss(0, 0.01)))
+    rows = bars(spark, close)
+    params = G.SearchParams(population=3, generations=2, elites=1, immigrants=1, seed=3)
+    champion, history = G.evolve(G.random_chromosome, G.scorer(rows), params, G.POOLS)
+    assert len(history) == 2 and history[1] >= history[0] and all(h > -1000 for h in history)
+    assert champion.decode("x").entry
+    ends = spark.createDataFrame([(dt.datetime(2024, 1, 1), dt.datetime(2024, 3, 1))], "start timestamp_ntz, end timestamp_ntz")
+    windows = G.walk_forward_windows(ends, 1, 1, 1)
+    state, calls = str(tmp_path / "state"), []
+
+    def make(r):
+        calls.append(1)
+        return G.random_chromosome(r)
+
+    one_ = G.SearchParams(population=2, generations=1, elites=1, immigrants=0, seed=4)
+    first = G.walk_forward(rows, windows, make, state, one_, G.POOLS).collect()
+    assert len(first) == windows.count() == 1 and first[0].champion and calls
+    calls.clear()
+    again = G.walk_forward(rows, windows, make, state, one_, G.POOLS)
+    assert again.collect() == first and not calls  # finished windows are not searched again
+    assert G.walk_forward_report(again).first().windows == 1
+
+
+def test_strategy_files(tmp_path):
+    from tickloom.sources.strategies import StrategyFolder, file_name
+
+    folder = StrategyFolder(tmp_path / "s")
+    assert folder.names() == [] and folder.load_all() == []
+    s = Strategy("My Plan/2", {"rsi": {"period": 14}}, {"long": ("rsi < 35",), "short": ()}, {"long": ("rsi > 60",)}, {"long": (("rsi > 55", 30.0),)}, ("1h", "4h"), ("x",), stop_pct=1.5, use_indicator_exits=False, mode="trend")
+    folder.save(s)
+    folder.save(Strategy("测试 b", mode="range"))
+    assert folder.names() == ["my_plan_2", "测试_b"] and folder.load("my plan 2") == s and len(folder.load_all()) == 2
+    assert file_name("A  b/c!?d") == "a_b_c_d"
+    assert folder.delete("My Plan/2") and not folder.delete("My Plan/2") and folder.names() == ["测试_b"]
+    with pytest.raises(FileNotFoundError):
+        folder.load("nothing")
+
+
+def test_exports_and_back(spark, tmp_path):
+    from tickloom.sources import files as E
+
+    rows = spark.createDataFrame([(2, 'a "b", c'), (1, None), (3, "Zed")], "id int, text string")
+    E.write_csv(rows, str(tmp_path / "csv"), ["id"])
+    assert E.read_csv(spark, str(tmp_path / "csv"), "id int, text string").orderBy("id").collect() == rows.orderBy("id").collect()
+    E.write_csv(rows, str(tmp_path / "found"), search="zE")
+    assert [r.id for r in E.read_csv(spark, str(tmp_path / "found"), "id int, text string").collect()] == [3]
+    E.write_json(rows, str(tmp_path / "json"))
+    assert E.read_json(spark, str(tmp_path / "json"), "id int, text string").orderBy("id").collect() == rows.orderBy("id").collect()
+    b = bars(spark, range(1, 40))
+    E.write_training_set(b.select("symbol", "bar_start", "close"), b.select("symbol", "bar_start", X.binary().alias("label")), str(tmp_path / "train"))
+    assert E.read_training_set(spark, str(tmp_path / "train")).where("label IS NULL").count() == 0
+
+
+def test_bursts_fire_as_one_by_one(spark):
+    rng = random.Random(2)
+    times = sorted(rng.uniform(0, 20_000) for _ in range(300))
+    want, last = [], None
+    for t in times:
+        if last is None or round(t, 6) - last >= 90:
+            last = round(t, 6)
+            want.append(last)
+    rows = spark.createDataFrame([("r", DAY + dt.timedelta(seconds=round(t, 6)), 90.0) for t in times], "name string, ts timestamp_ntz, cooldown_seconds double")
+    got = sorted((r.ts - DAY).total_seconds() for r in A.fired(rows).collect())
+    assert got == pytest.approx(want)
+    assert A.fired(rows.limit(0)).count() == 0
+
+
+def test_drawdowns_and_actions(spark):
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    rows = spark.createDataFrame([("s", 1, 100.0, at(1, 1)), ("s", 2, -60.0, at(1, 2)), ("s", 3, -20.0, at(2, 1)), ("s", 4, 10.0, at(9, 1))], "strategy string, n int, pnl double, closed_at timestamp_ntz")
+    got = K.drawdowns(rows, ("strategy",), ("closed_at", "n"), 1000.0).orderBy("n").collect()
+    assert [r.equity for r in got] == [1100, 1040, 1020, 1030]
+    assert [r.drawdown for r in got] == pytest.approx([0, 60 / 11, 20 / 10.4, 0]) and [r.weekly_drawdown for r in got] == pytest.approx([0, 60 / 11, 80 / 11, 0])
+    held = spark.createDataFrame([(1, 100.0, 90.0, 1.0, 1, 80.0), (2, 100.0, None, 1.0, -1, 120.0), (3, 100.0, 110.0, 2.0, -1, 120.0)], "position_id int, entry double, last double, quantity double, side int, stop double")
+    act = lambda a: [(r.close, r.stop) for r in K.breaker_action(held, a).orderBy("position_id").collect()]
+    assert act("block_only") == [(False, 80), (False, 120), (False, 120)] and [c for c, _ in act("close_all")] == [True] * 3
+    assert act("close_worst") == [(False, 80), (False, 120), (True, 120)] and act("tighten_stops") == [(False, 88.2), (False, 102), (False, 112.2)]
+    assert K.breaker_action(held.limit(0), "close_worst").count() == 0

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RULE = "name string, event_type string, condition map<string,string>, level string, cooldown_seconds double, enabled boolean, description string"
@@ -26,6 +28,30 @@ def cooldown(times: Column, seconds: Column) -> Column:
     return F.aggregate(times, start, step, lambda a: a.fired)
 
 
+def fired(matched: DataFrame) -> DataFrame:
+    """(name, ts) of the matches (name, ts, cooldown_seconds) that fire.
+
+    After a pause of at least the cooldown a match fires whatever was before, so a rule's matches fall apart into bursts
+    that don't depend on each other. A burst is gone through with one search for each match that fires, over its times
+    as numbers; matches of one microsecond count as one.
+    """
+    by = Window.partitionBy("name").orderBy("_us")
+    rows = matched.groupBy("name", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us")).agg(F.first("cooldown_seconds").alias("c"))
+    begins = F.coalesce(F.col("_us") - F.lag("_us").over(by) >= F.col("c") * 1e6, F.lit(True))
+    bursts = rows.withColumn("_burst", F.sum(begins.cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        times, pause = np.sort(table.column("_us").to_numpy()), float(table.column("c")[0].as_py()) * 1e6
+        at, out = 0, []
+        while at < len(times):
+            out.append(int(times[at]))
+            at = max(at + 1, int(np.searchsorted(times, times[at] + pause)))
+        return pa.table({"name": pa.array([key[0].as_py()] * len(out), pa.string()), "_us": pa.array(out, pa.int64())})
+
+    found = bursts.groupBy("name", "_burst").applyInArrow(run, "name string, _us long")
+    return found.select("name", F.timestamp_micros("_us").cast("timestamp_ntz").alias("ts"))
+
+
 def message(text: Column, detail: Column, rule: Column) -> Column:
     """The first of them that isn't empty, 200 characters at most."""
     return F.left(F.coalesce(F.nullif(text, F.lit("")), F.nullif(detail, F.lit("")), rule), F.lit(200))

@@ -79,10 +79,11 @@ def drawdowns(trades: DataFrame, by: tuple[str, ...], order: tuple[str, ...], ba
 def breaker(curve: DataFrame, p: RiskParams, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """`curve` with tripped and trip_reason: latched from the first row on that breaks a limit.
 
-    Needs: drawdown and weekly_drawdown (per cent of the peak), daily_pnl, losses_in_row.
+    Needs: drawdown (per cent of the peak), daily_pnl, losses_in_row; weekly_drawdown counts if it is there.
     """
+    weekly = F.col("weekly_drawdown") > p.max_weekly_drawdown if "weekly_drawdown" in curve.columns else F.lit(False)
     reason = (
-        F.when(F.col("drawdown") > p.max_daily_drawdown, "drawdown").when(F.col("weekly_drawdown") > p.max_weekly_drawdown, "weekly drawdown")
+        F.when(F.col("drawdown") > p.max_daily_drawdown, "drawdown").when(weekly, "weekly drawdown")
         .when(F.col("daily_pnl") <= -p.max_daily_loss, "daily loss").when(F.col("losses_in_row") >= p.max_consecutive_losses, "consecutive losses")
     )
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -6,15 +6,22 @@ job however large its population.
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.store import stored
 from ..schema import Strategy
-from .metrics import average_rank, pearson
+from .conditions import ENTRY_POOL, EXIT_POOL, names_in
+from .indicators import plan_indicators
+from .metrics import average_rank, backtest_metrics, fitness_single, pearson
+from .signals import signal_matrix
+from .simulate import equity, simulate, trades
 
 
 def walk_forward_windows(ends: DataFrame, train: int, validate: int, step: int) -> DataFrame:
@@ -123,6 +130,108 @@ class Chromosome:
         return sum(len(t) for _, t in self.conditions), len({g.name.split(".")[0] for g in self.genes if "." in g.name}), len(self.genes)
 
 
+# The parameters of indicators that a search varies: lowest, highest, whole numbers or not.
+GENES = {
+    "rsi.period": (5, 28, True), "macd.fast": (6, 20, True), "macd.slow": (18, 40, True), "macd.signal": (5, 15, True),
+    "bollinger.period": (10, 40, True), "bollinger.stddev": (1.0, 3.5, False), "adx.period": (7, 28, True), "ema.period": (5, 50, True),
+    "atr.period": (7, 28, True), "stoch.k_period": (5, 21, True), "stoch.d_period": (3, 9, True), "cci.period": (7, 28, True),
+    "sma.period": (10, 100, True),
+}
+#: Values of parameters that a strategy leaves out.
+USUAL = {"rsi.period": 14, "macd.fast": 12, "macd.slow": 26, "macd.signal": 9, "bollinger.period": 20, "bollinger.stddev": 2.0, "adx.period": 14, "ema.period": 9, "atr.period": 14, "stoch.k_period": 14, "stoch.d_period": 3, "cci.period": 14, "sma.period": 50}
+#: Indicators without a parameter.
+BARE = ("obv",)
+POOLS = {f"{kind}.{side}": pool[side] for kind, pool in (("entry", ENTRY_POOL), ("exit", EXIT_POOL)) for side in ("long", "short")}
+
+
+def encode(strategy: Strategy) -> Chromosome:
+    """The genes of a strategy: `decode` gives back its indicators' varied parameters and its conditions."""
+    genes = []
+    for name, (low, high, whole) in GENES.items():
+        kind, _, parameter = name.partition(".")
+        if kind in strategy.indicators:
+            value = strategy.indicators[kind].get(parameter, USUAL[name])
+            genes.append(Gene(name, value, low, high, whole=whole))
+    bare = [Gene(f"{k}.on", 1, 1, 1, whole=True) for k in BARE if k in strategy.indicators]
+    slots = tuple((f"{kind}.{side}", tuple(own.get(side, ()))) for kind, own in (("entry", strategy.entry), ("exit", strategy.exit)) for side in ("long", "short"))
+    return Chromosome((*genes, *bare), slots, strategy)
+
+
+def random_chromosome(rng: random.Random, template: Strategy | None = None, share: float = 0.5, conditions: tuple[int, int] = (1, 3)) -> Chromosome:
+    """Indicators with a chance of `share` each (one at least), parameters within their bounds, and conditions of the
+    published predicates whose columns are there; a side without any gets one on the close and a default average."""
+    kinds = [*dict.fromkeys(n.partition(".")[0] for n in GENES), *BARE]
+    on = [k for k in kinds if rng.random() < share] or [rng.choice(kinds)]
+    genes = tuple(Gene(n, rng.randint(low, high) if whole else rng.uniform(low, high), low, high, whole=whole) for n, (low, high, whole) in GENES.items() if n.partition(".")[0] in on)
+    genes += tuple(Gene(f"{k}.on", 1, 1, 1, whole=True) for k in BARE if k in on)
+    found = Chromosome(genes, (), template or Strategy("candidate"))
+    known = {"close", "volume", *plan_indicators(found.decode("x").indicators).columns()}
+    slots = []
+    for slot, pool in POOLS.items():
+        usable = [t for t in pool if names_in(t) <= known]
+        n = min(len(usable), rng.randint(*conditions))
+        slots.append((slot, tuple(rng.sample(usable, n)) or (("close > ema_fast" if slot.endswith("long") else "close < ema_fast"),)))
+    return replace(found, conditions=tuple(slots))
+
+
+def evaluate(bars: DataFrame, strategies: Sequence[Strategy], interval: str = "1h", balance: float = 10_000.0, complexity: Mapping[str, float] | None = None) -> DataFrame:
+    """(run_id, fitness and all metrics) of each strategy as a run of its own: signals, simulation and metrics of a whole
+    population in one job. A strategy that has no bar has no row."""
+    own = [(s.name, float((complexity or {}).get(s.name, 0.0))) for s in strategies]
+    signals = signal_matrix(bars, strategies, interval).withColumn("run_id", F.col("strategy"))
+    done = stored(simulate(signals, balance, strategies=strategies))
+    found = backtest_metrics(trades(done), equity(done))
+    weights = bars.sparkSession.createDataFrame(own, "run_id string, complexity double")  # one row for each strategy
+    c = F.col
+    score = fitness_single(c("sharpe"), c("win_rate"), c("profit_factor"), c("max_drawdown"), c("total_trades"), c("total_return"), c("complexity"))
+    return found.join(F.broadcast(weights), "run_id").withColumn("fitness", score)
+
+
+def scorer(bars: DataFrame, interval: str = "1h", missing: float = -1000.0) -> Callable[[list[Chromosome]], list[float]]:
+    """For `evolve`: the fitness of a population on these bars; the driver gets one number for each individual."""
+
+    def score(people: list[Chromosome]) -> list[float]:
+        strategies, weight = [], {}
+        for i, person in enumerate(people):
+            conditions, indicators, parameters = person.size()
+            strategies.append(replace(person.decode(f"c{i}"), timeframes=(interval,)))
+            weight[f"c{i}"] = conditions * 0.8 + indicators * 1.2 + parameters * 0.3
+        got = {r["run_id"]: r["fitness"] for r in evaluate(bars, strategies, interval, complexity=weight).select("run_id", "fitness").collect()}
+        return [got.get(f"c{i}", missing) for i in range(len(people))]
+
+    return score
+
+
+def walk_forward(bars: DataFrame, windows: DataFrame, make: Callable[[random.Random], Chromosome], state: str, params: SearchParams | None = None, pools: Mapping[str, Sequence[str]] | None = None, interval: str = "1h") -> DataFrame:
+    """(window, train_start, train_end, val_start, val_end, train_sharpe, val_sharpe, val_win_rate, val_total_return, champion)
+    of each window: a search on its training bars, and the champion's metrics on its validation bars, ends exclusive.
+
+    Finished windows are rows of `state`, a folder of the shared store; a run that was broken off goes on with the others.
+    Windows are a few rows of configuration. A champion without trades has zeros.
+    """
+    spark = bars.sparkSession
+    schema = "window int, train_start timestamp_ntz, train_end timestamp_ntz, val_start timestamp_ntz, val_end timestamp_ntz, train_sharpe double, val_sharpe double, val_win_rate double, val_total_return double, champion string"
+    try:
+        done = {r["window"] for r in spark.read.schema(schema).parquet(state).select("window").collect()}
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        done = set()
+    between = lambda a, b: bars.where((F.col("bar_start") >= F.lit(a)) & (F.col("bar_start") < F.lit(b)))
+    for i, w in enumerate(windows.orderBy("train_start").collect()):
+        if i in done:
+            continue
+        train, check = stored(between(w["train_start"], w["train_end"])), between(w["val_start"], w["val_end"])
+        champion, _ = evolve(make, scorer(train, interval), params, pools)
+        strategy = replace(champion.decode("champion"), timeframes=(interval,))
+        seen = [evaluate(rows, [strategy], interval).select("sharpe", "win_rate", "total_return").first() for rows in (train, check)]
+        values = [[0.0, 0.0, 0.0] if r is None else [*r] for r in seen]
+        named = json.dumps({"indicators": strategy.indicators, "entry": strategy.entry, "exit": strategy.exit}, sort_keys=True)
+        row = (i, w["train_start"], w["train_end"], w["val_start"], w["val_end"], values[0][0], *values[1], named)
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(state)
+    return spark.read.schema(schema).parquet(state)
+
+
 @dataclass(frozen=True)
 class SearchParams:
     population: int = 80

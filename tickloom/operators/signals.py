@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rolling as W
+from ..functions.store import stored
 from ..schema import SignalWeights, Strategy, minutes
 from .conditions import combine, compile_condition
 from .indicators import with_indicators
@@ -38,10 +39,15 @@ def signal_matrix(bars: DataFrame, strategies: Sequence[Strategy], interval: str
     """(strategy, symbol, tf, ts, side, exit_long, exit_short, close) for all bars and enabled strategies.
 
     Indicators are computed once for each distinct configuration. The strategies of a configuration are an array of
-    structs over the same row, so bars are read once, however many strategies there are.
+    structs over the same row; where there are several configurations, the bars are stored first, so that ticks are
+    resampled once. If any strategy has reduce conditions, there are reduce_long and reduce_short, too: the percentage of
+    the first of a side's conditions that holds, else null.
     """
-    parts = []
-    for group in group_by_indicators(s for s in strategies if s.enabled and interval in s.timeframes).values():
+    parts, chosen = [], [s for s in strategies if s.enabled and interval in s.timeframes]
+    groups, reducing = group_by_indicators(chosen), any(s.reduce for s in chosen)
+    bars = stored(bars) if len(groups) > 1 else bars
+    extra = ("reduce_long", "reduce_short") if reducing else ()
+    for group in groups.values():
         frame = with_indicators(bars, group[0].indicators)
         known = frame.columns
         each = []
@@ -51,15 +57,22 @@ def signal_matrix(bars: DataFrame, strategies: Sequence[Strategy], interval: str
                 F.lit(s.name).alias("strategy"), allowed.alias("allowed"),
                 side(combine(s.entry.get("long", ()), known, how), combine(s.entry.get("short", ()), known, how)).alias("side"),
                 combine(s.exit.get("long", ()), known, "or").alias("exit_long"), combine(s.exit.get("short", ()), known, "or").alias("exit_short"),
+                *[first_share(s.reduce.get(side_, ()), known).alias(f"reduce_{side_}") for side_ in ("long", "short") if reducing],
             ))
         # Conditions may hold window functions, which can't stand below a generator: name them first.
         rows = frame.withColumn("_signals", F.array(*each)).select("symbol", "bar_end", "close", F.explode("_signals").alias("s"))
-        parts.append(rows.where("s.allowed").select("s.strategy", "symbol", F.lit(interval).alias("tf"), F.col("bar_end").alias("ts"), "s.side", "s.exit_long", "s.exit_short", "close"))
+        parts.append(rows.where("s.allowed").select("s.strategy", "symbol", F.lit(interval).alias("tf"), F.col("bar_end").alias("ts"), "s.side", "s.exit_long", "s.exit_short", "close", *[f"s.{c}" for c in extra]))
     if not parts:
         return bars.select(F.lit("").alias("strategy"), "symbol", F.lit(interval).alias("tf"), F.col("bar_end").alias("ts"), F.lit(0).alias("side"), F.lit(False).alias("exit_long"), F.lit(False).alias("exit_short"), "close").limit(0)
     return reduce(DataFrame.unionByName, parts)
 
 
+def first_share(conditions: Sequence[tuple[str, float]], columns: Iterable[str]) -> Column:
+    """The percentage of the first of (condition, percentage) that holds; null if none does."""
+    known = [*columns]
+    return F.coalesce(F.lit(None).cast("double"), *[F.when(compile_condition(text, known), F.lit(float(share))) for text, share in conditions])
+
+
 def fuse(indicator: Column, ml: Column, news: Column, weights: SignalWeights | None = None, ml_weight: Column | None = None) -> Column:
     """The weighted mean of an indicator side, a probability (as 2p - 1) and a sentiment."""
     w = weights or SignalWeights()

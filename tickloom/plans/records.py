@@ -78,9 +78,8 @@ b AS (SELECT epoch_us(created_at) / 1000000 AS s, row_number() OVER (ORDER BY cr
 g AS (SELECT i, s, true AS fires, s AS last FROM b WHERE i = 1 UNION ALL SELECT b.i, b.s, b.s - g.last >= 300, CASE WHEN b.s - g.last >= 300 THEN b.s ELSE g.last END FROM g JOIN b ON b.i = g.i + 1)
 SELECT 'breach' AS name, count(*) FILTER (fires) AS fired FROM g""")
 def alert_cooldown(t: Tables) -> DataFrame:
-    seconds = F.unix_micros(F.col("created_at").cast("timestamp")) / 1_000_000
-    times = _matched(t).where("name = 'breach'").groupBy("name").agg(F.array_sort(F.collect_list(seconds)).alias("times"), F.first("cooldown_seconds").alias("c"))
-    return times.select("name", F.size(A.cooldown(F.col("times"), F.col("c"))).cast("long").alias("fired"))
+    rows = _matched(t).where("name = 'breach'").select("name", F.col("created_at").alias("ts"), "cooldown_seconds")
+    return A.fired(rows).groupBy("name").agg(F.count("*").alias("fired"))
 
 
 query("alert_message", _ALERTS + "SELECT id, left(coalesce(nullif(CASE WHEN id % 3 = 0 THEN '' ELSE message END, ''), nullif(symbol, ''), 'rule'), 200) AS message FROM a")(
