@@ -8,6 +8,7 @@ schedule holds the sources in proportion, and slots and blocks can be joined. Ev
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from math import isqrt
 
@@ -18,17 +19,17 @@ from .runtime import quoted, stored
 
 #: Slots that the schedule aims at for each source; the block size follows from the words to take.
 SLOTS_EACH = 4096
-#: Smallest block, in words.
-LEAST_BLOCK = 16
+#: Smallest and largest block, in words: with more words there are more slots.
+LEAST_BLOCK, MOST_BLOCK = 16, 1 << 20
 #: Slots that are ranked together.
-STRETCH = 1 << 16
+STRETCH = 1 << 12
 #: Points are 62-bit integers, exact at any i; the step is the golden ratio's fraction of the range.
 BITS = 62
 STEP = (isqrt(5 << 2 * BITS) - (1 << BITS)) // 2
 #: The range is cut into this many cells, by which slots and shares are joined.
 CELL_BITS = 16
-#: Hexadecimal digits of the shuffle key that name a bin of a source's line.
-BIN_DIGITS = 3
+#: Documents of a bin of a source's line, about; bins are named by leading hexadecimal digits of the shuffle key.
+BIN = 1 << 14
 
 
 def word_count(text: Column) -> Column:
@@ -66,11 +67,14 @@ def shuffled_line(docs: DataFrame, key: str, text: str, source: str) -> DataFram
 
     A lane stands for a source, null among them. The order is by md5 of the id, then the id, then the text's hash.
     Sizes are summed in bins of the leading digits of the md5, then over a source's bins, so that no task holds a
-    source.
+    source. (Rows of one id are in one bin.) The rows without texts are stored, for texts are dear to read and bins
+    follow the number of rows.
     """
     lane = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     rows = docs.select(quoted(key).alias("id"), F.xxhash64(quoted(text)).alias("tie"), quoted(source).alias("source"), word_count(quoted(text)).alias("size")).withColumn("lane", lane)
-    rows = rows.withColumn("draw", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))).withColumn("bin", F.substring("draw", 1, BIN_DIGITS))
+    rows = stored(rows.withColumn("draw", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    digits = max(1, math.ceil(math.log(max(1, rows.count() / BIN), 16)))
+    rows = rows.withColumn("bin", F.substring("draw", 1, digits))
     bins = rows.groupBy("lane", "bin").agg(F.sum("size").alias("in_bin"))
     before = F.sum("in_bin").over(Window.partitionBy("lane").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_bin")
     inside = F.sum("size").over(Window.partitionBy("lane", "bin").orderBy("draw", "id", "tie").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
@@ -120,7 +124,7 @@ class Mixture:
         A source whose slots are used up before its target is reached (the sequence misses a share by a few slots)
         has the missing ones behind all others; one with a few slots more leaves them unused. The last is cut short.
         """
-        drawn = schedule(self.plan, self.n_slots)
+        drawn = stored(schedule(self.plan, self.n_slots))
         own = drawn.groupBy("lane").agg(F.count("*").alias("own"))
         late = self.plan.join(own, "lane", "left").where(F.col("need") > F.coalesce("own", F.lit(0)))
         late = late.select("lane", F.explode(F.sequence(F.coalesce("own", F.lit(0).cast("long")), F.col("need") - 1)).alias("r"))
@@ -166,7 +170,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     sizes = lined.groupBy("lane", "source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, share, most).withColumn("take", F.floor("target"))
     words, n = lined.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_distinct("lane")).first()
-    block = max(LEAST_BLOCK, int(words * share) // (SLOTS_EACH * max(1, n)))
+    block = min(MOST_BLOCK, max(LEAST_BLOCK, int(words * share) // (SLOTS_EACH * max(1, n))))
     n_blocks = F.ceil(F.col("source_size") / F.lit(block))
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("take") / F.col("source_size"))).otherwise(0)
     need = rounds * n_blocks + F.ceil((F.col("take") - rounds * F.col("source_size")) / F.lit(block))
