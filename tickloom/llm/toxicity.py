@@ -1,6 +1,7 @@
 """Operator 6: toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier is trained in numpy from confirmed toxic texts (P) and texts without any label (U), by the risk
+A linear classifier is trained in numpy from confirmed toxic texts (P) and a sample of all texts (U), labelled or not,
+by the risk
 
     prior * E_P[loss(f)] + max(0, E_U[loss(-f)] - prior * E_P[loss(-f)])
 
@@ -128,11 +129,26 @@ def nnpu(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, n_cols: int, to
     return w
 
 
+def document_frequencies(texts: DataFrame, known: np.ndarray) -> tuple[int, dict[int, int]]:
+    """(number of texts, number of texts that have each known feature), over all rows; the driver gets one row for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(len(known), np.int64), 0
+        for batch in batches:
+            for i, j, data, off in K.chunks(batch.column(0), CHUNK):
+                seen += np.bincount(counted(data, off, known)[1].astype(np.int64), minlength=len(known))
+                n += j - i
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(known.view(np.int64), 0)), pa.array(np.append(np.zeros(len(known), bool), True)), pa.array(np.append(seen, n))], names=["feature", "total", "n"])
+
+    found = texts.mapInArrow(run, "feature long, total boolean, n long").groupBy("feature", "total").agg(F.sum("n").alias("n")).collect()
+    return sum(r["n"] for r in found if r["total"]), {r["feature"]: r["n"] for r in found if not r["total"]}
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model | None:
     """A model from the rows outside the held-out fold; None if none of them is confirmed toxic.
 
     The rows are sorted, so that the same data give the same model. The class prior is the share of toxic rows among
-    the labelled ones, or what the best features' frequencies in U leave room for, if that is less.
+    the labelled ones, or what the best features' frequencies in all documents leave room for, if that is less.
     The driver takes MOST_TOXIC + MOST_UNLABELLED rows of counts of MOST_FEATURES features at most, and two sums.
     Feature frequencies are counted in Spark. Null labels and ids are passed over.
     """
@@ -170,9 +186,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     best = seen.where("p >= 2").orderBy(F.desc(F.abs(share_p - share_u) / spread), "feature").limit(n_features)
     picked = best.select("feature", "p", "u").collect()
     known = np.sort(np.array([r["feature"] for r in picked], np.int64).view(np.uint64))
-    # A share s of P and t of U have a feature; t is at least prior * s, so t / s bounds the prior from above.
-    bounds = [(r["u"] + 2 * r["u"] ** 0.5 + 1) / max(1, len(u)) * len(p) / r["p"] for r in picked if r["p"] >= max(10, len(p) / 20)]
-    prior = max(min([prior, *bounds]), 1e-3)
+    # A share s of P and t of all documents have a feature; t is at least prior * s, so t / s bounds the prior from above.
+    often = {r["feature"]: r["p"] for r in picked if r["p"] >= max(10, len(p) / 20)}
+    if often:
+        outside = docs.where(~held_out(quoted(key))).select(quoted(text).alias("text"))
+        n_docs, in_docs = document_frequencies(outside, np.sort(np.array([*often], np.int64).view(np.uint64)))
+        bounds = [(n + 2 * n**0.5 + 1) / max(1, n_docs) * len(p) / often[f] for f, n in in_docs.items()]
+        prior = max(min([prior, *bounds]), 1e-3)
     table = sample.mapInArrow(count(known, True), "kind int, n_words long, features array<int>, counts array<int>").orderBy("kind", "n_words", "features", "counts").toArrow()
     if not table.num_rows:
         return None
