@@ -468,3 +468,21 @@ def test_drawdowns_and_actions(spark):
     assert act("block_only") == [(False, 80), (False, 120), (False, 120)] and [c for c, _ in act("close_all")] == [True] * 3
     assert act("close_worst") == [(False, 80), (False, 120), (True, 120)] and act("tighten_stops") == [(False, 88.2), (False, 102), (False, 112.2)]
     assert K.breaker_action(held.limit(0), "close_worst").count() == 0
+
+
+def test_segments_of_a_series_are_the_series(spark):
+    rng, close = random.Random(12), {"a": [100.0], "b": [5.0]}
+    for name in close:
+        for _ in range(9000 if name == "a" else 50):
+            close[name].append(close[name][-1] * (1 + rng.gauss(0, 0.01)))
+    rows = bars(spark, close["a"], "a").unionByName(bars(spark, close["b"], "b"))
+    configs = {"rsi": {"period": 14}, "macd": {}, "bollinger": {"period": 20}, "adx": {"period": 14}, "atr": {}, "stoch": {}, "cci": {}, "obv": {}, "ema": {"periods": [10, 30]}}
+    key = lambda r: (r.symbol, r.bar_start)
+    want = sorted(I.with_indicators(rows, configs).collect(), key=key)
+    got = sorted(I.with_indicators(rows, configs, segment=3200).select(*want[0].asDict()).collect(), key=key)
+    assert len(got) == len(want) == 9052
+    for a, b in zip(got, want, strict=True):
+        assert [x is None for x in a] == [x is None for x in b]
+        assert [x for x in a if isinstance(x, float)] == pytest.approx([x for x in b if isinstance(x, float)], rel=1e-9, abs=1e-9)
+    with pytest.raises(ValueError, match="rows or more"):
+        I.with_indicators(rows, configs, segment=100)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import recursive as R
 from ..functions import rolling as W
+from .metrics import running_total
 
 BAR_COLUMNS = ("open", "high", "low", "close", "volume")
 
@@ -172,11 +173,51 @@ def plan_indicators(configs: Mapping[str, Any]) -> Plan:
     return plan
 
 
-def with_indicators(bars: DataFrame, configs: Mapping[str, Any]) -> DataFrame:
-    """`bars` with the configured indicator columns."""
+def with_indicators(bars: DataFrame, configs: Mapping[str, Any], segment: int | None = None) -> DataFrame:
+    """`bars` with the configured indicator columns.
+
+    A series is computed by one task, unless `segment` says after how many rows it is to be cut (`in_segments`).
+    """
+    if segment:
+        whole = {k: c for k, c in configs.items() if isinstance(c, Mapping) and str(c.get("type", k)).lower() in CUMULATIVE}
+        rest = {k: c for k, c in configs.items() if k not in whole}
+        out = in_segments(bars, lambda rows: with_indicators(rows, rest), segment, halo(plan_indicators(rest)))
+        return with_indicators(out, whole) if whole else out
     plan = plan_indicators(configs)
     out = R.with_recursions(bars, plan.recursions)
     for stage in plan.stages:
         if stage:
             out = out.withColumns(stage)
     return out.drop("_fast_k", "_obv_step", "_typical")
+
+
+#: Kinds that add up a whole series: they can't be computed from a part of it.
+CUMULATIVE = ("obv",)
+
+
+def halo(plan: Plan) -> int:
+    """Rows before a segment after which it doesn't matter where its averages began.
+
+    What an average keeps of its start falls below a double's last digit in less than 40 times its period, also where
+    averages are averaged again; window frames reach back by fewer rows.
+    """
+    periods = [sum(getattr(r.f, "keywords", {}).values()) for r in plan.recursions]
+    return 60 * max([1, *periods]) + 200
+
+
+def in_segments(bars: DataFrame, compute: Callable[[DataFrame], DataFrame], size: int, before: int, by: str = "symbol", time: str = "bar_start") -> DataFrame:
+    """compute(bars), each series cut into segments of `size` rows that are computed side by side.
+
+    A segment is a series of its own, with the `before` rows ahead of it, which are left out of the result. Rows are
+    numbered by counts of days, so no task holds a series. compute: a function of frames and averages along `time`
+    within `by`, that keeps all columns and needs no more than `before` rows.
+    """
+    if size < before:
+        raise ValueError(f"segments must have {before} rows or more")
+    place = running_total(bars, F.lit(1), "_place", (by,), (time,), time).withColumn("_place", F.col("_place") - 1)
+    own = F.floor(F.col("_place") / size)
+    ahead = F.col("_place") % size >= size - before
+    rows = place.withColumn("_own", own).withColumn("_segment", F.explode(F.when(ahead, F.array(own, own + 1)).otherwise(F.array(own))))
+    rows = rows.withColumns({"_series": F.col(by), by: F.concat_ws("\0", by, "_segment")})
+    done = compute(rows.drop("_place")).where("_segment = _own")
+    return done.withColumn(by, F.col("_series")).drop("_series", "_segment", "_own")
