@@ -11,7 +11,7 @@ from functools import cache
 import corpus_pipeline as P
 import duckdb
 import numpy as np
-from tests.llm.helpers import empty
+from tests.llm.helpers import SCHEMA, clashing, empty
 from tests.llm.test_operators import brute_classes, brute_lines, library, texts  # noqa: F401
 from tickloom.llm import kernels as K
 from tickloom.llm import mixing, toxicity
@@ -45,17 +45,40 @@ def test_stages(spark):
 
 def test_run_gives_the_last_stages_rows(spark):
     got = P.run(spark, ROOT)
-    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 0
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"] and got.count() > 0
 
 
 def test_empty_documents(spark):
     docs = empty(spark)
-    for name, stage in P.STAGES:
-        if name != "toxicity":
-            docs = stored(stage(spark, docs, ROOT))
+    for _, stage in P.STAGES:
+        docs = stored(stage(spark, docs, ROOT))
     assert docs.count() == 0
 
 
+def test_stages_on_awkward_rows(spark):
+    docs = clashing(spark, ["id", "tie", "score", "p", "times", "rows", "copies"])
+    for name, stage in P.STAGES:
+        got = stage(spark, docs, ROOT).collect()
+        assert len(got) > 0 and (name == "mixing" or name == "near_dedup" or len(got) == docs.count())
+
+
+def test_equal_rows_share_what_they_were_taken(spark):
+    """Two equal rows of 100 words and one of the same id and text that differs elsewhere."""
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (1, text, "de", "a", 1)] + [(i, " ".join(f"x{j}" for j in range(i)), "en", "b" if i % 3 else "c", 1) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    times = Counter()
+    for r in mixing.mix(docs).totals().collect():
+        times[r.id] += r.times
+    got = Counter((r.doc_id, r.lang) for r in P.mixing_stage(spark, docs, ROOT).collect())
+    by_id = Counter()
+    for (i, _), n in got.items():
+        by_id[i] += n
+    assert by_id == Counter({k: v for k, v in times.items() if v})
+    base = times[1] // 3
+    assert base <= got[1, "de"] <= base + 1 and 2 * base <= got[1, "en"] <= 2 * base + 2
+
+
 def test_toxicity_stage_drops_what_scores_high(spark):
     """Scores by plain loops from the model's weights; and most of what is labelled toxic goes."""
     docs, labels = spark.read.parquet(f"{ROOT}/documents.parquet"), spark.read.parquet(f"{ROOT}/labels.parquet")
@@ -92,4 +115,6 @@ def test_mixing_stage_takes_words_as_the_sql(spark):
 def test_encode_stage_has_the_librarys_ids(spark, library):  # noqa: F811
     docs = spark.read.parquet(f"{ROOT}/documents.parquet")
     want = sorted((r.doc_id, hashlib.sha256(np.array(library.encode_ordinary(r.text or ""), "<u4").tobytes()).hexdigest()) for r in docs.collect())
-    assert sorted((r.doc_id, r.ids_sha256) for r in P.encode_stage(spark, docs, ROOT).collect()) == want
+    got = P.encode_stage(spark, docs, ROOT).collect()
+    assert sorted((r.doc_id, r.ids_sha256) for r in got) == want
+    assert all(hashlib.sha256(np.array(r.token_ids, "<u4").tobytes()).hexdigest() == r.ids_sha256 and len(r.token_ids) == r.n_tokens for r in got)

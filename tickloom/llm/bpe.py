@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from . import kernels as K
 from .runtime import quoted
@@ -408,13 +409,17 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     return docs.select(*map(quoted, kept)).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of each row: digests of the ids and of the text decoded from them.
+def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of each row: digests of the ids and of the text decoded from them;
+    with `ids` the ids themselves, too (token_ids).
 
     A null text counts as empty. Repeated rows give repeated results; other columns are not read. The ids are
-    digested where they are made, so that they don't travel between processes.
+    digested where they are made.
     """
     schema = docs.select(quoted(key)).withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")}).schema
+    if ids:
+        schema = schema.add("token_ids", ArrayType(IntegerType()))
+    wanted = ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pool, at = prefix_encoder(vocabulary)
@@ -424,6 +429,7 @@ def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str
                 back, end = decode_ids(ids, to, pool, at)
                 packed, back = memoryview(ids.astype("<u4").tobytes()), memoryview(back.tobytes())
                 digests = [[hashlib.sha256(m[a:b]).hexdigest() for a, b in zip(p[:-1], p[1:], strict=True)] for m, p in ((packed, (4 * to).tolist()), (back, end.tolist()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(to), pa.int64()), *map(pa.array, digests)], names=schema.names)
+                lists = [pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(ids, pa.int32()))] if wanted else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(to), pa.int64()), *map(pa.array, digests), *lists], names=schema.names)
 
     return docs.select(quoted(key), quoted(text)).mapInArrow(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,21 +15,42 @@ GROUP_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share; a temporary one only on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+#: Tables that `stored` has written and nobody has released.
+_TABLES: list[str] = []
+
+
 def stored(df: DataFrame, fmt: str = "parquet", **options) -> DataFrame:
-    """Cut the lineage: write `df` as a table in the shared folder and read it back."""
+    """Cut the lineage: write `df` as a table in the shared folder and read it back. It stays until it is released."""
     spark, path = df.sparkSession, shared_path(df.sparkSession)
+    _TABLES.append(path)
     df.write.format(fmt).options(**options).save(path)
     return spark.read.schema(df.schema).format(fmt).load(path)
 
 
+def tables() -> list[str]:
+    """The paths of stored tables, in the order of their writing."""
+    return [*_TABLES]
+
+
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete stored tables that no result needs any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in _TABLES:
+            _TABLES.remove(path)
+
+
 def shared_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
 
