@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, line_dedup, mixing, near_dup, queries, toxicity
-from tickloom.llm.runtime import stored
+from tickloom.llm.runtime import release, stored, tables
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -72,7 +72,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`. What a stage has written for itself, and its input, go once its result stands."""
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
+        before = {*tables()} - {*done}
         docs = stored(stage(spark, docs, sf_dir))
+        own = [t for t in tables() if t not in before]
+        release(spark, own[:-1])
+        done = own[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)
