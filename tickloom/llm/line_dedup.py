@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .cuckoo import CuckooFilter
-from .runtime import payload, quoted, shared_path, stored
+from .runtime import payload, quoted, shared_path, shuffle_partitions, stored, text_bytes
 
 STRIP = bytes([0x20, *range(0x09, 0x0E)])
 #: Keys of one filter shard (2.7 MB), and postings that meet it in one task.
@@ -149,11 +149,14 @@ def _cut(schema_names: list[str], least: int) -> Callable:
 def apply_drops(docs: DataFrame, drops: DataFrame, least: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` as a struct `p`, with n_lines (before), n_dropped and kept_text; drops: (k1, k2, doc_id, tie).
 
-    A row's drops are at most its own lines: rows of one id with different texts have lists of their own.
+    A row's drops are at most its own lines: rows of one id with different texts have lists of their own. Rows and
+    drops meet by a 64-bit hash of both; should two documents share it, they share their lists, which matters only if
+    one keeps a line that the other loses.
     """
-    each = drops.groupBy(F.col("doc_id").alias("of"), F.col("tie").alias("of_tie")).agg(F.collect_set(F.array(*KEY)).alias("drops"))
-    rows = docs.select(payload(docs).alias("p"), quoted(text).alias("text"), quoted(key).cast("long").alias("id"), tie(quoted(text)).alias("tie"))
-    joined = rows.join(each, F.col("id").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("of_tie")), "left").select("p", "text", "drops")
+    parts = shuffle_partitions(docs.sparkSession, text_bytes(docs, text))
+    each = drops.groupBy(F.xxhash64("doc_id", "tie").alias("of")).agg(F.collect_set(F.array(*KEY)).alias("drops")).repartition(parts, "of")
+    rows = docs.select(payload(docs).alias("p"), quoted(text).alias("text"), F.xxhash64(quoted(key).cast("long"), tie(quoted(text))).alias("row")).repartition(parts, "row")
+    joined = rows.join(each, F.col("row") == F.col("of"), "left").select("p", "text", "drops")
     schema = docs.select(payload(docs).alias("p")).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
     return joined.mapInArrow(_cut(schema.names, least), schema)
 
