@@ -20,7 +20,7 @@ from .runtime import quoted, stored
 from .token_files import library_encoder
 
 #: Lengths are summed in ranges of this many before the suffix sums, so that no task sees all distinct lengths.
-RANGE = 1024
+RANGE = 128
 
 
 def token_lengths(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
