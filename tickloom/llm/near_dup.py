@@ -5,11 +5,13 @@ connected components. Exact copies are one node from the start. Plan:
 
 1. Each text gets a DartMinHash signature of 125 coordinates, in 25 bands of 5; a pair at 0.8 shares no band with a
    chance of 5 in 100,000.
-2. In every band's bucket each node is compared with one hub, exactly, by its shingle set; so the work is linear in
-   the bucket. Links give components.
+2. In every band's bucket each node is compared with a hub, exactly, by its shingle set; so the work is linear in
+   the bucket. A bucket is dealt into parts, each with a hub of its own, and those are compared with the bucket's:
+   no task holds a bucket, however many near copies there are. Links give components.
 3. What a hub can't show is looked for in the buckets that still hold several components: there all pairs across
-   components are compared, in tiles of bounded size, and a tile gives back a spanning forest only. So no link
-   between different texts that share a bucket is lost, and no group is written out as pairs.
+   components are compared, in tiles of bounded size, and a tile gives back a spanning forest only. So a link between
+   different texts that share a bucket is lost only if their signatures agree in less than HOPE of the coordinates,
+   which at 0.8 has a chance of 1 in 1,000,000,000; and no group is written out as pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -29,6 +31,8 @@ SHINGLE, BANDS, ROWS = 5, 25, 5
 SIMILARITY = 0.8
 #: Members of a bucket on each side of a tile.
 TILE = 512
+#: Nodes for each part that a bucket is dealt into, and the least number of parts.
+PART, PARTS = 1 << 20, 16
 #: Signatures that agree in less than this share are not compared exactly: 6 standard errors below 0.8.
 HOPE = 0.58
 #: Text bytes whose shingles are made at once.
@@ -199,17 +203,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     the sets in either case. The order of rows is not kept.
     """
     signed = stored(sign(docs, key, text, weights))
-    nodes = signed.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands"), F.max("marks").alias("marks"))
+    nodes = signed.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands"), F.max("marks").alias("marks"), F.count("*").alias("n"))
     nodes = stored(nodes)
-    buckets = nodes.select("a", "b", F.explode("bands").alias("band"))
+    n_parts = max(PARTS, nodes.count() // PART)
+    part = F.pmod(F.xxhash64("a", "b"), F.lit(n_parts)).cast("int")
     me = F.struct("a", "b")
-    hubs = buckets.groupBy("band").agg(F.min(me).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    hubs = stored(hubs)
-    starred = buckets.join(hubs, "band").where(me != F.col("hub"))
-    pairs = stored(starred.select(F.col("hub.a").alias("xa"), F.col("hub.b").alias("xb"), F.col("a").alias("ya"), F.col("b").alias("yb")).distinct())
+    buckets = nodes.select("a", "b", part.alias("part"), F.explode("bands").alias("band"))
+    own = buckets.select("band", me.alias("me"), F.min(me).over(Window.partitionBy("band", "part")).alias("hub"))
+    own = stored(own.where("me <> hub").select("band", "me", "hub").unionByName(own.where("me = hub").select("band", "me", F.min("me").over(Window.partitionBy("band")).alias("hub")).where("me <> hub")))
+    pairs = stored(own.select(F.col("hub.a").alias("xa"), F.col("hub.b").alias("xb"), F.col("me.a").alias("ya"), F.col("me.b").alias("yb")).distinct())
     # Texts of the nodes in question, one row each: the join is on the node and the id that it got first.
     asked = pairs.select(F.col("xa").alias("a"), F.col("xb").alias("b")).unionByName(pairs.select(F.col("ya").alias("a"), F.col("yb").alias("b"))).distinct()
-    asked = asked.join(nodes.select("a", "b", F.col("doc_id").alias("rep")), ["a", "b"])
+    asked = stored(nodes.drop("n").withColumnRenamed("doc_id", "rep").join(asked, ["a", "b"]))
     rows = docs.select(*node(quoted(text)), quoted(key).alias("rep"), F.coalesce(quoted(text), F.lit("")).alias("text"))
     same_id = F.col("d.rep").eqNullSafe(F.col("q.rep"))
     texts = rows.alias("d").join(asked.alias("q"), (F.col("d.a") == F.col("q.a")) & (F.col("d.b") == F.col("q.b")) & same_id).select("d.a", "d.b", "d.text")
@@ -219,16 +224,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     links = stored(verify(with_both, similarity))
     classes = components(links)
 
-    # Buckets with several components: all pairs across them, but for those in the bucket's largest component.
+    # Buckets with several components: all pairs across them, but for those in the bucket's largest component. A bucket
+    # of two is done. Only nodes that met another one can be in such a bucket.
     none = [F.coalesce(F.col("ca"), F.col("a")).alias("ca"), F.coalesce(F.col("cb"), F.col("b")).alias("cb")]
-    held = buckets.join(hubs.where("n > 2").select("band"), "band").join(classes, ["a", "b"], "left").select("band", "a", "b", F.xxhash64(*none).alias("comp"))
+    held = asked.join(classes, ["a", "b"], "left").select("a", "b", F.xxhash64(*none).alias("comp"), part.alias("part"), F.explode("bands").alias("band"))
     held = stored(held)
     sizes = held.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("major"), F.sum("n").alias("all"), F.count("*").alias("n_comp")).where("n_comp > 1")
-    # A bucket of one component and its hub's failures is done if all of them were compared: hub alone against others.
-    open_ = open_.select("band", F.col("major.comp").alias("major"), (F.col("all") - F.col("major.n")).alias("minor"), "all")
+    open_ = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("major"), F.sum("n").alias("all"), F.count("*").alias("n_comp")).where("n_comp > 1 AND all > 2")
+    open_ = stored(open_.select("band", F.col("major.comp").alias("major"), (F.col("all") - F.col("major.n")).alias("minor"), "all"))
     tiles_left, tiles_right = F.ceil(F.col("minor") / TILE).cast("int"), F.ceil(F.col("all") / TILE).cast("int")
-    members = held.join(open_, "band").withColumns({"nl": tiles_left, "nr": tiles_right})
+    each = open_.join(held.select("band", "part").distinct(), "band")  # a row for each part, so that members don't meet by band alone
+    members = held.join(each, ["band", "part"]).withColumns({"nl": tiles_left, "nr": tiles_right})
     slot = lambda n: F.pmod(F.xxhash64("a", "b"), n).cast("int")
     right = members.withColumns({"tr": slot(F.col("nr")), "tl": F.explode(F.sequence(F.lit(0), F.col("nl") - 1)), "left": F.lit(False)})
     left = members.where("comp != major").withColumns({"tl": slot(F.col("nl")), "tr": F.explode(F.sequence(F.lit(0), F.col("nr") - 1)), "left": F.lit(True)})
@@ -239,9 +245,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     if more.limit(1).count():
         classes = components(links.unionByName(more))
 
-    joined = signed.select("a", "b", "doc_id").join(classes, ["a", "b"], "left").select("doc_id", "a", "b", *none)
-    heads = joined.groupBy("ca", "cb").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return joined.join(heads, ["ca", "cb"]).select("doc_id", "a", "b", "ca", "cb", "class_id", "class_size")
+    # Heads of classes of several texts, a row for each part, so that no large class meets at one place; then all rows.
+    own = nodes.select("a", "b", F.col("doc_id").alias("least"), "n")
+    members = own.join(classes, ["a", "b"]).withColumn("part", part)
+    heads = members.groupBy("ca", "cb").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
+    heads = heads.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    named = members.join(heads, ["ca", "cb", "part"]).select("a", "b", "ca", "cb", "class_id", "class_size")
+    alone = F.col("ca").isNull()
+    each = own.join(named, ["a", "b"], "left").select("a", "b", *none, F.when(alone, F.col("least")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("n")).otherwise(F.col("class_size")).alias("class_size"))
+    return signed.select("doc_id", "a", "b").join(each, ["a", "b"]).select("doc_id", "a", "b", "ca", "cb", "class_id", "class_size")
 
 
 def first_of_classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
