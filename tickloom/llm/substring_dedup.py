@@ -31,7 +31,8 @@ def _windows(data: np.ndarray, off: np.ndarray, k: int, n_buckets: int) -> tuple
     starts, ends, first = K.spans(data, off)
     words = K.span_hash(data, starts, ends)
     at, _ = K.windows(words, first, k)
-    return K.rabin_karp(words, at, k), (K.rabin_karp(words, at, k, K.BASE_B) >> K.U64(20)) % K.U64(n_buckets)
+    other = K.rabin_karp(K.span_hash(data, starts, ends, seed=1), at, k, K.BASE_B)  # of other hashes of the words
+    return K.rabin_karp(words, at, k), (other >> K.U64(20)) % K.U64(n_buckets)
 
 
 def _list_windows(k: int, n_buckets: int) -> Callable:
@@ -51,7 +52,7 @@ def _list_windows(k: int, n_buckets: int) -> Callable:
             rows["bucket"].append(int(bucket[a]))
             rows["once"].append(own[new & ~again].tobytes())
             rows["many"].append(own[new & again].tobytes())
-        return pa.table({"bucket": pa.array(rows["bucket"], pa.int64()), "g": pa.array([key[0].as_py()] * len(rows["bucket"]), pa.int64()), "once": pa.array(rows["once"], pa.binary()), "many": pa.array(rows["many"], pa.binary())})
+        return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "g": pa.array([key[0].as_py()] * len(rows["bucket"]), pa.int32()), "once": pa.array(rows["once"], pa.binary()), "many": pa.array(rows["many"], pa.binary())})
 
     return run
 
@@ -131,11 +132,13 @@ def substring_dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text
     n_groups = max(1, math.ceil(total / GROUP_BYTES))
     n_buckets = max(16, math.ceil(total * 1.5 / BUCKET_BYTES))  # a window begins every 5 or 6 bytes
     parts = shuffle_partitions(docs.sparkSession, total, GROUP_BYTES * 2)
+    bucket_parts = shuffle_partitions(docs.sparkSession, math.ceil(total * 1.5), BUCKET_BYTES * 2)
     body = F.coalesce(quoted(text), F.lit(""))
-    # By id and text together, so that copies under different ids spread over all groups.
-    group = F.pmod(F.xxhash64(body, quoted(key)), F.lit(n_groups)).cast("long")
-    rows = docs.select(payload(docs).alias("p"), body.alias("text"), group.alias("g")).repartition(parts, "g")
-    listed = rows.groupBy("g").applyInArrow(_list_windows(window, n_buckets), "bucket long, g long, once binary, many binary")
-    flags = listed.groupBy("bucket").applyInArrow(_repeated, "g long, hashes binary")
+    # By id and text together, so that copies under different ids spread over all groups. Groups and buckets are dealt
+    # out by their numbers: by a hash, some tasks would get several times as many as others.
+    group = F.pmod(F.xxhash64(body, quoted(key)), F.lit(n_groups)).cast("int")
+    rows = docs.select(payload(docs).alias("p"), body.alias("text"), group.alias("g")).repartitionById(parts, "g")
+    listed = rows.groupBy("g").applyInArrow(_list_windows(window, n_buckets), "bucket int, g int, once binary, many binary")
+    flags = listed.repartitionById(bucket_parts, "bucket").groupBy("bucket").applyInArrow(_repeated, "g int, hashes binary")
     schema = docs.select(payload(docs).alias("p")).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "removed": F.lit(None).cast("array<bigint>"), "kept_text": F.lit("")}).schema
-    return rows.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(_cut(window), schema)
+    return rows.groupBy("g").cogroup(flags.repartitionById(parts, "g").groupBy("g")).applyInArrow(_cut(window), schema)
