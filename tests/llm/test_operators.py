@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -664,5 +665,178 @@ def test_decoder_passes_over_ac_codes():
     bits = code["d", 3] + "101" + code["a", 0x12] + "10" + code["a", 0xF0] + code["a", 0x00] + code["d", 0] + code["a", 0x00] + code["d", 3] + "010" + code["a", 0x00]
     bits += "1" * (-len(bits) % 8)
     data = np.frombuffer(int(bits, 2).to_bytes(len(bits) // 8, "big"), np.uint8)
-    samples, _ = jpeg.decode_segments(data, np.array([0]), np.array([3]), (dc, ac, 8, 3))
+    samples, _ = jpeg.decode_segments(data, np.array([0]), np.array([3]), ((dc, ac, 8),))
     assert samples.tolist() == [133, 133, 128]
+
+
+def colour_image(luma, chroma, width, height, restart):
+    """A 4:2:0 image bit by bit: luma and two chroma planes of block values 0..255, quantised by 8."""
+    dc, ac = jpeg.huffman(jpeg.DC_BITS, jpeg.DC_VALUES), jpeg.huffman(jpeg.AC_BITS, jpeg.AC_VALUES)
+    code = {v: f"{c:0{n}b}" for v, c, n in dc}
+    end = f"{ac[0][1]:0{ac[0][2]}b}"
+    rows, columns = -(-height // 16), -(-width // 16)
+    body, bits, before = b"", "", [0, 0, 0]
+    for unit in range(rows * columns):
+        if unit and restart and unit % restart == 0:
+            bits += "1" * (-len(bits) % 8)
+            body += int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0") + bytes([0xFF, 0xD0 + (unit // restart - 1) % 8])
+            bits, before = "", [0, 0, 0]
+        y, x = divmod(unit, columns)
+        for part, value in [(0, luma[2 * y + b][2 * x + a]) for b in (0, 1) for a in (0, 1)] + [(1, chroma[0][y][x]), (2, chroma[1][y][x])]:
+            diff = value - 128 - before[part]
+            before[part] = value - 128
+            size = abs(diff).bit_length()
+            bits += code[size] + (f"{diff if diff > 0 else diff + (1 << size) - 1:0{size}b}" if size else "") + end
+    bits += "1" * (-len(bits) % 8)
+    body += int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+    seg = lambda kind, data: bytes([0xFF, kind]) + (len(data) + 2).to_bytes(2, "big") + data
+    head = b"\xff\xd8" + seg(0xDB, bytes([0, *[8] * 64])) + seg(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    head += seg(0xC4, bytes([0x00, *jpeg.DC_BITS, *jpeg.DC_VALUES])) + seg(0xC4, bytes([0x10, *jpeg.AC_BITS, *jpeg.AC_VALUES])) + (seg(0xDD, restart.to_bytes(2, "big")) if restart else b"")
+    return head + seg(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])) + body + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("width", "height", "restart"), [(40, 24, 0), (64, 48, 3), (9, 70, 1)])
+def test_jpeg_luminance_of_colour_images(width, height, restart):
+    rng = random.Random(width)
+    rows, columns = -(-height // 16), -(-width // 16)
+    plane = lambda r, c: [[rng.randrange(256) for _ in range(c)] for _ in range(r)]
+    luma, chroma = plane(2 * rows, 2 * columns), (plane(rows, columns), plane(rows, columns))
+    ((w, h, samples),) = jpeg.thumbnails([colour_image(luma, chroma, width, height, restart)])
+    assert (w, h) == (width, height)
+    assert samples == bytes(v for row in luma[: -(-height // 8)] for v in row[: -(-width // 8)])
+    assert jpeg.feature(w, h, samples).startswith(f"{width}x{height}:")
+
+
+def test_jpeg_read_bit_by_bit():
+    """The writer's images by a decoder of its own: one bit after the other, as the standard's flow charts go."""
+    rng = np.random.default_rng(7)
+    payload = np.concatenate([rng.integers(0, 256, 640), np.zeros(64), np.full(64, 255)]).astype(np.uint8)
+    (image,) = jpeg.encode_payloads(payload, np.array([0, len(payload)]))
+    dc = {f"{c:0{n}b}": v for v, c, n in jpeg.huffman(jpeg.DC_BITS, jpeg.DC_VALUES)}
+    scan = image[image.index(b"\xff\xda") :]
+    scan = scan[2 + int.from_bytes(scan[2:4], "big") : -2]
+    out = []
+    for i, part in enumerate(re.split(rb"\xff[\xd0-\xd7]", scan)):
+        bits, at, value = "".join(f"{b:08b}" for b in part.replace(b"\xff\0", b"\xff")), 0, 0
+        for _ in range(64):
+            n = next(n for n in range(1, 17) if bits[at : at + n] in dc)
+            size = dc[bits[at : at + n]]
+            extra = bits[at + n : at + n + size]
+            value += 0 if not size else int(extra, 2) if extra[0] == "1" else int(extra, 2) - (1 << size) + 1
+            out.append(value + 128)
+            at += n + size
+            assert bits[at] == "0"  # end of block
+            at += 1
+        assert set(bits[at:]) <= {"1"} and len(bits) - at < 8
+    assert bytes(out) == payload.tobytes()
+
+
+# --- what the registered queries add ------------------------------------------------------------------------
+
+
+def test_orc_footers_prune(spark, tmp_path):
+    """Written files carry Bloom filters and statistics of doc_id, and a filter on an id reads one file's stripe."""
+    from pyarrow import orc
+
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text number "), F.col("id").cast("string")).alias("text"))
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(df, path, JSON)
+    files = sorted((tmp_path / "tokens").glob("part-*.orc"))
+    assert len(files) >= 2
+    before = -1
+    for f in files:
+        held = orc.ORCFile(str(f))
+        ids = held.read(columns=["doc_id"]).column("doc_id").to_pylist()
+        assert ids == sorted(ids) and ids[0] > before and held.row_index_stride == 2000 and held.nstripes >= 1
+        before = ids[-1]
+        assert held.stripe_statistics_length > 0 if hasattr(held, "stripe_statistics_length") else True
+    plan = token_files.read_tokens(spark, path).where("doc_id = 77")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,77)]" in plan
+    reader = spark._jvm.org.apache.orc.OrcFile.createReader(spark._jvm.org.apache.hadoop.fs.Path(str(files[0])), spark._jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    stripe = reader.getStripes().get(0)
+    footer = reader.rows().readStripeFooter(stripe)
+    kinds = [str(s.getKind()) for s in footer.getStreamsList() if s.getColumn() == 1]
+    assert "BLOOM_FILTER_UTF8" in kinds and "ROW_INDEX" in kinds
+    statistics = reader.getStripeStatistics().get(0).getColumnStatistics()[1]
+    assert statistics.getMinimum() == 0 and statistics.getMaximum() == orc.ORCFile(str(files[0])).read(columns=["doc_id"]).column("doc_id").to_pylist()[-1]
+    encodings = [str(footer.getColumns(i).getKind()) for i in range(footer.getColumnsCount())]
+    assert "DIRECT_V2" in encodings  # run lengths of integers
+
+
+def test_risk_is_the_definitions():
+    """Gradient of the corrected risk by differences of its definition, at a random point, on both sides of zero."""
+    rng = np.random.default_rng(3)
+    n, m = 40, 6
+    x = rng.normal(size=(n, m))
+    toxic = np.arange(n) < 12
+    soft = lambda z: np.log1p(np.exp(-z))
+
+    def parts(w, prior):
+        f = x @ w
+        return prior * soft(f[toxic]).mean(), soft(-f[~toxic]).mean() - prior * soft(-f[toxic]).mean()
+
+    rows, cols = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+    for prior in (0.05, 0.9):
+        start = np.zeros(m)
+        start[-1] = np.log(prior / (1 - prior))
+        positive, hidden = parts(start, prior)
+        target = (lambda w: sum(parts(w, prior))) if hidden >= 0 else (lambda w: -parts(w, prior)[1])
+        gradient = np.array([(target(start + h) - target(start - h)) / 2e-6 for h in np.eye(m) * 1e-6])
+        moved = toxicity.nnpu(rows, cols, x.ravel(), m, toxic, prior, steps=1, rate=0.01)
+        assert np.allclose(np.sign(start - moved), np.sign(gradient)) and np.allclose(np.abs(start - moved), 0.01, atol=1e-5)
+
+
+ROOT = "/root/testdata/sf0.001"
+
+
+def test_registered_queries_are_brute_force(spark, library):
+    """op3, op4, op5, op7 and op10 as registered, on the whole small table."""
+    from tokenizers import Tokenizer
+
+    from tickloom.llm import queries
+
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{ROOT}/documents.parquet").collect())
+    t, found = Tokenizer.from_file(JSON), queries.queries()
+    ids = {d: t.encode(x, add_special_tokens=False).ids for d, x in docs}
+    lengths = Counter(map(len, ids.values()))
+    assert {r.n_tokens: r.n_docs for r in found["op3_token_counts"](spark, ROOT).collect()} == dict(lengths)
+    for r in found["op4_byte_bpe"](spark, ROOT).collect():
+        text = dict(docs)[r.doc_id]
+        assert (r.ids_sha256, r.decoded_sha256) == (sha(np.array(library.encode_ordinary(text), "<u4").tobytes()), sha(text.encode()))
+    classes = dict(brute_classes_by_id(docs))
+    assert {r.doc_id: (r.class_id, r.class_size) for r in found["op5_near_duplicates"](spark, ROOT).collect()} == classes
+    at = 0
+    for r in found["op7_token_files"](spark, ROOT).orderBy("doc_id").collect():
+        own = [*ids[r.doc_id], 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+        at += len(own)
+    for r in found["op10_jpeg"](spark, ROOT).collect():
+        data = dict(docs)[r.doc_id].encode()
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), sha(payload), zlib.crc32(payload[-64:]))
+    for r in found["op6_toxicity"](spark, ROOT).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1
+
+
+def brute_classes_by_id(rows, least=0.8):
+    """(id, (least id of the class, size)) of each row, by plain sets."""
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    top = [*range(len(rows))]
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (a or b) and min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) >= least * len(a | b):
+                top[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(rows[i][0])
+    return [(d, (min(g), len(g))) for g in groups.values() for d in g]

@@ -4,8 +4,9 @@ A payload is stored losslessly as an image in which every block of 8 x 8 samples
 coefficient, quantised by 8, is that value less 128 exactly, and its AC coefficients are zero. Blocks stand in rows
 of 64 with a restart marker after each row, so that a scan can be decoded with all rows of many images side by side.
 
-The reader parses the markers, Huffman-decodes the scan by the tables that it finds, and rebuilds the DC-only
-luminance thumbnail: one sample for each block. Features are the dimensions and two hashes of the thumbnail.
+The reader takes baseline images in general, grey ones and colour ones with any sampling of the chroma: it parses the
+markers, Huffman-decodes the scan by the tables that it finds, and rebuilds the DC-only luminance thumbnail: one sample
+for each luminance block. Features are the dimensions and two hashes of the thumbnail.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ ROW = 64
 #: Rows of blocks in one image: 65,535 samples is the format's limit. A longer payload is a chain of images.
 MOST_ROWS = 8191
 QUANT = 8
+#: Coded bytes that are decoded side by side.
+SIDE_BY_SIDE = 2 << 20
 
 # Fixed values of the standard: the luminance DC code lengths (count of codes of 1..16 bits, then the categories).
 DC_BITS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
@@ -101,8 +104,12 @@ def encode_rows(payload: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def encode_payloads(payload: np.ndarray, off: np.ndarray) -> list[bytes]:
     """A JPEG (or a chain of them) of each payload; sizes are positive multiples of 64."""
-    coded, at = encode_rows(payload)
-    coded = coded.tobytes()
+    parts, at = [], [np.zeros(1, np.int64)]
+    for lo in range(0, len(payload), ROW * MOST_ROWS):  # rows are coded by themselves, so a long text goes piece by piece
+        bits, ends = encode_rows(payload[lo : lo + ROW * MOST_ROWS])
+        parts.append(bits.tobytes())
+        at.append(at[-1][-1] + ends[1:])
+    coded, at = b"".join(parts), np.concatenate(at)
     out = []
     for a, b in zip((off[:-1] // ROW).tolist(), (off[1:] // ROW).tolist(), strict=True):
         images = []
@@ -145,21 +152,42 @@ class Header:
                     body = body[17 + sum(bits) :]
             elif kind == 0xC0:
                 precision, self.height, self.width, n = unpack_from(">BHHB", body)
-                if precision != 8 or n != 1:
-                    raise ValueError("only 8-bit luminance is read")
-                self.quant_id = body[8]
+                if precision != 8:
+                    raise ValueError("baseline has 8-bit samples")
+                self.parts = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)}
             elif 0xC1 <= kind <= 0xCF and kind not in (0xC8, 0xCC):
                 raise ValueError("not a baseline image")
             elif kind == 0xDD:
                 (self.interval,) = unpack_from(">H", body)
             elif kind == 0xDA:
-                self.dc, self.ac = self.tables[body[2] >> 4], self.tables[0x10 | body[2] & 15]
-                self.scan = at
+                self._begin(body, at)
                 return
 
+    def _begin(self, body: bytes, at: int) -> None:
+        """The scan: its components, and the block pattern of a unit (several blocks where components are interleaved)."""
+        told = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
+        if [c for c, _ in told] != [*self.parts]:
+            raise ValueError("only scans of all components together are read")
+        self.scan = at
+        self.coding = tuple((tuple(self.tables[t >> 4]), tuple(self.tables[0x10 | t & 15]), self.quant[self.parts[c][2]][0]) for c, t in told)
+        size = [self.parts[c][:2] for c, _ in told]
+        if len(size) == 1:  # blocks of a single component follow each other row by row, whatever its sampling says
+            size = [(1, 1)]
+        self.wide, self.high = size[0]
+        if (self.wide, self.high) != (max(h for h, _ in size), max(v for _, v in size)):
+            raise ValueError("luminance must have the finest sampling")
+        self.pattern = tuple(i for i, (h, v) in enumerate(size) for _ in range(h * v))
+        self.columns, self.rows = -(-self.width // (8 * self.wide)), -(-self.height // (8 * self.high))  # of units
+
     def key(self) -> tuple:
         """Images of one key are decoded together."""
-        return tuple(self.dc), tuple(self.ac), self.quant[self.quant_id][0], self.interval or (-(-self.width // 8)) * (-(-self.height // 8))
+        return self.coding, self.pattern, self.interval or self.columns * self.rows
+
+    def luminance(self, samples: np.ndarray) -> np.ndarray:
+        """The luminance blocks' samples row by row, from all blocks in the order of the scan."""
+        own = samples.reshape(self.rows, self.columns, len(self.pattern))[:, :, : self.wide * self.high]
+        grid = own.reshape(self.rows, self.columns, self.high, self.wide).transpose(0, 2, 1, 3).reshape(self.rows * self.high, self.columns * self.wide)
+        return grid[: -(-self.height // 8), : -(-self.width // 8)]
 
 
 def _lookup(table: tuple[tuple[int, int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,14 +199,13 @@ def _lookup(table: tuple[tuple[int, int, int], ...]) -> tuple[np.ndarray, np.nda
     return value, length
 
 
-def decode_segments(data: np.ndarray, at: np.ndarray, n_blocks: np.ndarray, key: tuple) -> tuple[np.ndarray, np.ndarray]:
+def decode_segments(data: np.ndarray, at: np.ndarray, n_blocks: np.ndarray, coding: tuple, pattern: tuple[int, ...] = (0,)) -> tuple[np.ndarray, np.ndarray]:
     """DC samples of all restart segments, block by block for all segments at once.
 
-    data: unstuffed bytes; segment i begins at byte at[i] and has n_blocks[i] blocks. Returns samples and offsets.
+    data: unstuffed bytes; segment i begins at byte at[i] and has n_blocks[i] blocks, whose components follow `pattern`
+    again and again; coding: (DC table, AC table, DC quantiser) of each component. Returns samples and offsets.
     """
-    dc, dc_len = _lookup(key[0])
-    ac, ac_len = _lookup(key[1])
-    quant = key[2]
+    looked = [(_lookup(dc), _lookup(ac), quant) for dc, ac, quant in coding]
     words = np.append(data, np.zeros(8, np.uint8)).astype(np.uint64)
     window = words[:-3] << K.U64(24) | words[1:-2] << K.U64(16) | words[2:-1] << K.U64(8) | words[3:]
     window = window.astype(np.int64)
@@ -186,7 +213,7 @@ def decode_segments(data: np.ndarray, at: np.ndarray, n_blocks: np.ndarray, key:
     off = np.append(0, np.cumsum(n_blocks))
     out = np.zeros(int(off[-1]), np.uint8)
     bit, left = 8 * at[order].astype(np.int64), n_blocks[order]
-    base, value = off[:-1][order], np.zeros(len(order), np.int64)
+    base, values = off[:-1][order], np.zeros((len(coding), len(order)), np.int64)
     last = len(window) - 1
 
     def peek(n: int) -> np.ndarray:
@@ -196,6 +223,8 @@ def decode_segments(data: np.ndarray, at: np.ndarray, n_blocks: np.ndarray, key:
 
     for k in range(int(left[0]) if len(left) else 0):
         n = int(np.searchsorted(-left, -k, side="left"))  # segments with more than k blocks
+        part = pattern[k % len(pattern)]
+        ((dc, dc_len), (ac, ac_len), quant), value = looked[part], values[part]
         bits = peek(n)
         size, length = dc[bits], dc_len[bits]
         if not length.all():
@@ -218,6 +247,19 @@ def decode_segments(data: np.ndarray, at: np.ndarray, n_blocks: np.ndarray, key:
     return out, off
 
 
+def _slices(segments: list[tuple[int, bytes, int]]) -> Iterator[list[tuple[int, bytes, int]]]:
+    """Runs of segments of about SIDE_BY_SIDE coded bytes: these are decoded together."""
+    run, size = [], 0
+    for s in segments:
+        run.append(s)
+        size += len(s[1])
+        if size >= SIDE_BY_SIDE:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def thumbnails(images: list[bytes]) -> list[tuple[int, int, bytes]]:
     """(width, height, samples) of each media value; a chain's images stand below each other."""
     parsed: list[tuple[int, Header, int, int]] = []
@@ -226,32 +268,33 @@ def thumbnails(images: list[bytes]) -> list[tuple[int, int, bytes]]:
         at = 0
         while at < len(data):
             head = Header(data, at)
-            body = np.frombuffer(data, np.uint8)
-            marks = np.flatnonzero(body[head.scan : -1] == 0xFF) + head.scan
+            end = data.find(b"\xff\xd9", head.scan)  # coded bytes never look like a marker
+            if end < 0:
+                raise ValueError("no end of image")
+            body = np.frombuffer(data, np.uint8, end + 2 - head.scan, head.scan)
+            marks = np.flatnonzero(body[:-1] == 0xFF)
             kind = body[marks + 1]
-            stops = marks[(kind >= 0xD0) & (kind <= 0xD9)]
-            end = int(stops[body[stops + 1] == 0xD9][0])
-            stops = stops[stops <= end]
-            n = (-(-head.width // 8)) * (-(-head.height // 8))
-            key = head.key()
+            stops = marks[(kind >= 0xD0) & (kind <= 0xD9)] + head.scan
+            n, key = head.columns * head.rows, head.key()
             starts = [head.scan, *(stops[:-1] + 2).tolist()]
             for s, (a, b) in enumerate(zip(starts, stops.tolist(), strict=True)):
-                groups.setdefault(key, []).append((len(parsed), data[a:b].replace(b"\xff\x00", b"\xff"), min(key[3], n - s * key[3])))
+                groups.setdefault(key, []).append((len(parsed), data[a:b].replace(b"\xff\x00", b"\xff"), min(key[2], n - s * key[2]) * len(head.pattern)))
             parsed.append((i, head, n, 0))
             at = end + 2
     samples: list[list[bytes]] = [[] for _ in parsed]
-    for key, segments in groups.items():
-        coded = np.frombuffer(b"".join(s for _, s, _ in segments), np.uint8)
-        at = np.append(0, np.cumsum([len(s) for _, s, _ in segments]))[:-1]
-        out, off = decode_segments(coded, at, np.array([n for *_, n in segments]), key)
-        out = out.tobytes()
-        for (image, _, _), a, b in zip(segments, off[:-1].tolist(), off[1:].tolist(), strict=True):
-            samples[image].append(out[a:b])
+    for key, every in groups.items():
+        for segments in _slices(every):
+            coded = np.frombuffer(b"".join(s for _, s, _ in segments), np.uint8)
+            at = np.append(0, np.cumsum([len(s) for _, s, _ in segments]))[:-1]
+            out, off = decode_segments(coded, at, np.array([n for *_, n in segments]), *key[:2])
+            out = out.tobytes()
+            for (image, _, _), a, b in zip(segments, off[:-1].tolist(), off[1:].tolist(), strict=True):
+                samples[image].append(out[a:b])
     result: list[list] = [[0, 0, []] for _ in images]
     for (i, head, _, _), own in zip(parsed, samples, strict=True):
         result[i][0] = head.width
         result[i][1] += head.height
-        result[i][2] += own
+        result[i][2].append(b"".join(own) if head.pattern == (0,) else head.luminance(np.frombuffer(b"".join(own), np.uint8)).tobytes())
     return [(w, h, b"".join(own)) for w, h, own in result]
 
 
