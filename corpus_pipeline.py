@@ -6,7 +6,10 @@ text counts as empty, a null source is one of its own. Repeated rows are documen
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, line_dedup, mixing, near_dup, queries, toxicity
@@ -42,17 +45,25 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     source share the times that they were taken together, none more than once more than another.
     """
     totals = mixing.mix(docs).totals().where("times > 0").groupBy(F.col("id").alias("i"), F.col("tie").alias("t"), F.col("source").alias("s")).agg(F.sum("times").alias("times"))
-    rows = docs.groupBy(*COLUMNS).agg(F.count("*").alias("rows")).withColumn("tie", F.xxhash64("text"))  # equal rows are counted first
-    alike = Window.partitionBy("doc_id", "tie", "source")
-    before = F.sum("rows").over(alike.orderBy("lang", "n_chars").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")
-    rows = rows.withColumns({"before": before, "all": F.sum("rows").over(alike)})
-    on = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")) & F.col("source").eqNullSafe(F.col("s"))
+    # Shares are made without texts. Rows that are equal in all are one row of their table, and are made one where they are.
+    told = docs.select(F.col("doc_id").alias("i2"), F.xxhash64("text").alias("t2"), F.col("source").alias("s2"), F.col("lang").alias("l2"), F.col("n_chars").alias("n2"))
+    told = told.groupBy(*told.columns).agg(F.count("*").alias("rows"))
+    alike = Window.partitionBy("i2", "t2", "s2")
+    before = F.sum("rows").over(alike.orderBy("l2", "n2").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")
+    told = told.withColumns({"before": before, "all": F.sum("rows").over(alike)})
     each, more = F.floor(F.col("times") / F.col("all")), F.col("times") % F.col("all")
     copies = each * F.col("rows") + F.greatest(F.lit(0), F.least(F.col("rows"), more - F.col("before")))
-    taken = rows.join(totals, on).withColumn("copies", copies.cast("int")).where("copies > 0")
+    shares = told.join(totals, _same({"i2": "i", "t2": "t", "s2": "s"})).select("i2", "t2", "s2", "l2", "n2", "rows", copies.cast("int").alias("copies")).where("copies > 0")
+    own = docs.select(*COLUMNS, F.xxhash64("text").alias("tie")).join(shares, _same({"doc_id": "i2", "tie": "t2", "source": "s2", "lang": "l2", "n_chars": "n2"})).select(*COLUMNS, "rows", "copies")
+    taken = own.where("rows = 1").unionByName(own.where("rows > 1").dropDuplicates([*COLUMNS]))
     return taken.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
+def _same(names: dict[str, str]) -> Column:
+    """Columns that are equal, null to null."""
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in names.items()])
+
+
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids): each document's token ids, with digests of them and of the
     text decoded from them."""
