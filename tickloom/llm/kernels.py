@@ -111,22 +111,30 @@ def eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
 
 
+def _keys(seed: int) -> np.ndarray:
+    """Three keys of a seed, the last two odd."""
+    return mix64(U64(0x9E3779B97F4A7C15) * (np.arange(1, 4, dtype=U64) + U64(3 * seed))) | np.array([0, 1, 1], U64)
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, words: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, eight bytes at a time; another seed gives an independent one.
 
-    `words`: eights(data), where it is at hand.
+    The bytes go through a mixer that the seed keys, and the length is mixed in last: spans that collide under one seed
+    differ under another, and spans of one length up to 8 bytes never collide. `words`: eights(data), where it is at hand.
     """
     if not len(starts):
         return np.zeros(0, U64)
     if words is None:
         words = eights(data)
     size = ends - starts
-    out = mix64((words[starts] & _LOW[np.minimum(size, 8)]) + (size + (seed << 32)).astype(U64) * U64(0x9E3779B97F4A7C15))
+    first, step, length = _keys(seed)
+    out = mix64((words[starts] & _LOW[np.minimum(size, 8)]) ^ first)
     more, at = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
     while len(more):
         left = size[more] - at
-        out[more] = mix64(out[more] * U64(0xD6E8FEB86659FD93) ^ (words[starts[more] + at] & _LOW[np.minimum(left, 8)]))
+        out[more] = mix64(out[more] * step ^ (words[starts[more] + at] & _LOW[np.minimum(left, 8)]))
         more, at = more[left > 8], at + 8
+    out = mix64(out + size.astype(U64) * length)
     for i in np.flatnonzero(size > LONG_SPAN):
         out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(4, "little")).digest(), "little")
     return out
