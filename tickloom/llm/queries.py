@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg, line_dedup, mixing, near_dup, substring_dedup, token_counts, token_files, top_k, toxicity
+from . import bpe, centroids, jpeg, line_dedup, mixing, near_dup, spelling, substring_dedup, token_counts, token_files, top_k, toxicity, url_filter
 from .runtime import shared_path
 
 
+#: One of so many runs of letters is misspelt in op12, and the rules of op13.
+MISSPELT = 31
+RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -74,8 +79,24 @@ def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = centroids.labelled(vectors, centroids.k_means(vectors), columns=["vec_id"])
+    return found.select("p.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.misspelt(spelling.runs(table(spark, sf_dir, "documents")), MISSPELT)
+    return spelling.spelling_variants(spelling.counted(found))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.url_filter(pages, RULES).select("p.page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_top_k, op2_substring_dedup, op3_token_counts, op4_byte_bpe, op5_near_duplicates, op6_toxicity, op7_token_files, op8_line_dedup, op9_mixing, op10_jpeg)
+    found = (op1_top_k, op2_substring_dedup, op3_token_counts, op4_byte_bpe, op5_near_duplicates, op6_toxicity, op7_token_files, op8_line_dedup, op9_mixing, op10_jpeg, op11_centroids, op12_spelling_variants, op13_url_filter)
     return {f.__name__: f for f in found}
 
 
@@ -154,5 +175,75 @@ FROM f
 """
 
 
+
+def _op11_sql() -> str:
+    rounds = [f"""
+a{i} AS MATERIALIZED (
+  SELECT pos, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.pos, m.c, CAST(list_sum(list_transform(list_zip(v.q, m.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, m{i} m)
+  GROUP BY pos)""" + ("" if i == centroids.ROUNDS else f""",
+s{i} AS (
+  SELECT c, j, floor_of(s, n) AS f FROM (
+    SELECT c, j, CAST(sum(x) AS BIGINT) AS s, CAST(count(*) AS BIGINT) AS n FROM (SELECT a.c, unnest(q) AS x, unnest(range(1, {centroids.DIMS + 1})) AS j FROM v JOIN a{i} a USING (pos)) GROUP BY c, j)),
+m{i + 1} AS MATERIALIZED (
+  SELECT m.c, coalesce(g.q, m.q) AS q FROM m{i} m LEFT JOIN (SELECT c, list(f ORDER BY j) AS q FROM s{i} GROUP BY c) g USING (c))""").replace("floor_of(s, n)", "(s - ((s % n) + n) % n) // n") for i in range(centroids.ROUNDS + 1)]
+    last = centroids.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS pos, vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE len(embedding) = {centroids.DIMS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+m0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (
+    SELECT q, sha256('{centroids.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM v ORDER BY h, q LIMIT {centroids.K})),
+{",".join(rounds)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.q, ',')) AS centroid_sha256
+FROM v JOIN a{last} a USING (pos) JOIN m{last} m ON a.c = m.c
+"""
+
+
+# The table of crc32 is made from its polynomial; a word's remainders without one letter tell which words are near.
+OP12_SQL = r"""
+WITH RECURSIVE t AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+o AS MATERIALIZED (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents) GROUP BY 1, 2),
+h AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(b)), lambda i: CAST(('0x' || substr(hex(b), 2 * i + 1, 2)) AS BIGINT))),
+                                 lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT run, n, encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS b FROM o), t),
+w AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (
+  SELECT a.word, b.word AS other, b.n FROM d a JOIN d b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, encode(other))) AS best, max(n) AS best_n FROM p GROUP BY word),
+f AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n FROM w LEFT JOIN b USING (word)),
+r AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, r.root FROM f JOIN r ON f.form = r.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN r USING (word)
+"""
+
+OP13_SQL = r"""
+WITH r (host, path, verdict) AS (VALUES """ + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES) + r"""),
+u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS pos FROM pages),
+m AS (
+  SELECT u.pos, arg_max({'rule': r.host || r.path, 'verdict': r.verdict}, (length(r.host || r.path), length(r.host))) AS b
+  FROM u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY u.pos)
+SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (pos)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+    return {
+        "op1_top_k": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL, "op11_centroids": _op11_sql(),
+        "op12_spelling_variants": OP12_SQL, "op13_url_filter": OP13_SQL,
+    }

@@ -69,6 +69,18 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def payload(docs: DataFrame) -> Column:
-    """All columns of `docs` as one struct, so that none can clash with an operator's own."""
-    return F.struct(*[quoted(c) for c in docs.columns])
+def payload(docs: DataFrame, columns: Iterable[str] | None = None) -> Column:
+    """Columns of `docs` (None: all) as one struct, so that none can clash with an operator's own."""
+    return F.struct(*[quoted(c) for c in (docs.columns if columns is None else columns)])
+
+
+def shared_file(spark: SparkSession, data: bytes) -> tuple[str, str]:
+    """(name, path) of a new file of the shared folder with these bytes. It stays until it is released."""
+    path = shared_path(spark)
+    _TABLES.append(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    for i in range(0, len(data), 1 << 20):
+        out.write(bytearray(data[i : i + (1 << 20)]))
+    out.close()
+    return path.rpartition("/")[2], path
