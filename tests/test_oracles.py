@@ -7,7 +7,7 @@ import os
 import pytest
 
 from tests.oracle import connect, rows_of, rows_of_sql
-from tickloom.plans import backtest, features, indicators, market, records  # noqa: F401
+from tickloom.plans import backtest, features, indicators, learning, market, records  # noqa: F401
 from tickloom.plans.registry import ORACLES, QUERIES
 
 ROOT = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
