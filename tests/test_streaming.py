@@ -83,13 +83,8 @@ def test_cooldown_state(spark, tmp_path):
     assert sorted((r.ts - t).total_seconds() for r in got.collect()) == [0, 300, 601]
 
 
-def test_breaker_and_sentiment_state(spark, tmp_path):
-    path, t = str(tmp_path / "b"), dt.datetime(2024, 1, 1)
-    schema = "account string, ts timestamp, equity double, pnl double"
-    for i, (equity, pnl) in enumerate([(10000.0, 0.0), (9400.0, -600.0), (9300.0, -100.0)]):
-        spark.createDataFrame([("a", t + dt.timedelta(hours=i), equity, pnl)], schema).coalesce(1).write.mode("append").parquet(path)
-    got = _stateful(spark, L.trips(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)), "trips", tmp_path)
-    assert [r.reason for r in got.collect()] == ["drawdown"]
+def test_sentiment_state(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
     path2, schema2 = str(tmp_path / "s"), "symbol string, ts timestamp, sentiment double"
     spark.createDataFrame([("x", t, 1.0), ("x", t + dt.timedelta(hours=1), 0.0)], schema2).coalesce(1).write.parquet(path2)
     got = _stateful(spark, L.live_sentiment(spark.readStream.schema(schema2).parquet(path2)), "sentiments", tmp_path)

@@ -1,4 +1,5 @@
-"""The operators on live data: resampling with watermarks, alert cooldown, sentiment and breaker state.
+"""The operators on live data: resampling with watermarks, alert cooldown and sentiment state; guards of an account are in
+`guards`.
 
 Sources deliver `timestamp`; watermarks don't take timestamps without time zone, so `events` casts.
 """
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..schema import KLINE_MESSAGE, RiskParams, duration
+from ..schema import KLINE_MESSAGE, duration
 
 TICKS = "symbol string, ts timestamp, price double, volume double, seq bigint"
 
@@ -52,7 +53,8 @@ def sessions(ticks: DataFrame, gap: str = "30 minutes", late: str = "10 minutes"
 
 
 class _Fold(StatefulProcessor):
-    """A fold over each key's rows in the order of `ts`, its state a row of doubles."""
+    """A fold over each key's rows, its state a row of doubles: in the order of `ts` within a micro-batch, and at once, so a row
+    that comes in a later micro-batch than a later one is folded behind it. `guards` waits, and keeps the order."""
 
     columns: tuple[str, ...]
 
@@ -104,33 +106,6 @@ class Sentiment(_Fold):
         return (values[0],)
 
 
-class Breaker(_Fold):
-    """Peak equity, the day's result and losses in a row of an account; the first broken limit trips it for good."""
-
-    columns = ("peak", "day", "day_pnl", "losses", "tripped")
-    output = ["account", "ts", "reason"]
-
-    def __init__(self, params: RiskParams | None = None):
-        self.p = params or RiskParams()
-
-    def step(self, values, row):
-        peak, day, day_pnl, losses, tripped = values
-        pnl, today = round(row.pnl, 2), float(row.ts.toordinal())
-        peak = max(peak or 0.0, row.equity)
-        day_pnl = pnl if day != today else day_pnl + pnl
-        losses = (losses or 0.0) + 1 if pnl < 0 else 0.0
-        reason = None
-        if not tripped:
-            if peak > 0 and (peak - row.equity) / peak * 100 > self.p.max_daily_drawdown:
-                reason = "drawdown"
-            elif day_pnl <= -self.p.max_daily_loss:
-                reason = "daily loss"
-            elif losses >= self.p.max_consecutive_losses:
-                reason = "consecutive losses"
-        values[:] = [peak, today, day_pnl, losses, 1.0 if reason or tripped else 0.0]
-        return (reason,) if reason else None
-
-
 def _stateful(rows: DataFrame, key: str, processor: _Fold, schema: str) -> DataFrame:
     return rows.groupBy(key).transformWithStateInPandas(processor, schema, outputMode="Append", timeMode="None")
 
@@ -144,11 +119,6 @@ def live_sentiment(articles: DataFrame, alpha: float = 0.3) -> DataFrame:
     return _stateful(articles.select("symbol", "ts", "sentiment"), "symbol", Sentiment(alpha), "symbol string, ts timestamp, sentiment double")
 
 
-def trips(results: DataFrame, params: RiskParams | None = None) -> DataFrame:
-    """(account, ts, reason) of the accounts (account, ts, equity, pnl) whose breaker trips."""
-    return _stateful(results.select("account", "ts", "equity", "pnl"), "account", Breaker(params), "account string, ts timestamp, reason string")
-
-
 def upsert_bars(root: str):
     """A foreachBatch function that merges finished bars into a store, the last of a key winning.
 
