@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import random
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Generator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
@@ -266,14 +266,15 @@ def mutate(c: Chromosome, rng: random.Random, rate: float, pools: Mapping[str, S
     return replace(c, genes=genes, conditions=tuple(slots))
 
 
-def evolve(make: Callable[[random.Random], Chromosome], evaluate: Callable[[list[Chromosome]], list[float]], params: SearchParams | None = None, pools: Mapping[str, Sequence[str]] | None = None) -> tuple[Chromosome, list[float]]:
-    """(champion, best score of each generation). `evaluate` scores a whole population in one call."""
+def evolution(make: Callable[[random.Random], Chromosome], params: SearchParams | None = None, pools: Mapping[str, Sequence[str]] | None = None) -> Generator[list[Chromosome], list[float], tuple[Chromosome, list[float]]]:
+    """A search step by step: it yields a population, is sent its scores, and returns (champion, best score of each generation).
+    What it yields depends on the seed and on the scores alone."""
     p, pools = params or SearchParams(), pools or {}
     rng = random.Random(p.seed)
     people = [make(rng) for _ in range(p.population)]
     champion, best, history, idle = people[0], float("-inf"), [], 0
     for _ in range(p.generations):
-        scored = sorted(zip(evaluate(people), range(len(people)), strict=True), key=lambda x: (-x[0], x[1]))
+        scored = sorted(zip((yield people), range(len(people)), strict=True), key=lambda x: (-x[0], x[1]))
         ranked = [people[i] for _, i in scored]
         history.append(scored[0][0])
         if scored[0][0] > best:
@@ -292,3 +293,14 @@ def evolve(make: Callable[[random.Random], Chromosome], evaluate: Callable[[list
             child = cross(pick(), pick(), rng, pools) if rng.random() < p.crossover else pick()
             people.append(mutate(child, rng, p.mutation, pools))
     return champion, history
+
+
+def evolve(make: Callable[[random.Random], Chromosome], evaluate: Callable[[list[Chromosome]], list[float]], params: SearchParams | None = None, pools: Mapping[str, Sequence[str]] | None = None) -> tuple[Chromosome, list[float]]:
+    """(champion, best score of each generation). `evaluate` scores a whole population in one call."""
+    search = evolution(make, params, pools)
+    people = next(search)
+    while True:
+        try:
+            people = search.send(evaluate(people))
+        except StopIteration as end:
+            return end.value

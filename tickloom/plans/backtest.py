@@ -175,6 +175,17 @@ def wf_report(t: Tables) -> DataFrame:
     return found.select("run", "windows", *[r(c).alias(c) for c in ("mean_val", "std_val", "min_val", "max_val", "efficiency", "positive_pct", "correlation")], "best_window")
 
 
+@query("calibration_stage2", _WINDOWS.rstrip() + """,
+e AS (SELECT run, avg(val_sharpe) / nullif(stddev_samp(val_sharpe), 0) AS efficiency FROM w GROUP BY run),
+b AS (SELECT run, efficiency FROM e WHERE efficiency > 0 ORDER BY round(efficiency, 9) DESC, run LIMIT 1)
+SELECT CAST(coalesce((SELECT run FROM b), 1) AS INTEGER) AS rank, round(coalesce((SELECT efficiency FROM b), 0), 6)::DOUBLE AS efficiency, (SELECT count(*) FROM b) > 0 AS chosen""")
+def calibration_stage2(t: Tables) -> DataFrame:
+    """The choice among combinations of weights, here nations, by their walk-forward windows."""
+    from ..operators.campaign import choose
+
+    return choose(_windows(t).withColumn("rank", F.col("run").cast("int"))).withColumn("efficiency", r("efficiency"))
+
+
 #: A fixed grid of weights, as large as the calibration's: 8 x 6 x 8 x 7 combinations.
 _GRID = (("wr", [0.05 * i for i in range(1, 9)]), ("pf", [1.0 * i for i in range(1, 7)]), ("roc", [10.0 * i for i in range(1, 9)]), ("bal", [2.0 * i for i in range(7)]))
 _SCORES = PNL.strip() + """,
