@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .cuckoo import CuckooFilter
-from .runtime import payload, quoted, shared_path, shuffle_partitions, stored, text_bytes
+from .runtime import payload, quoted, release, shared_path, shuffle_partitions, stored, text_bytes
 
 STRIP = bytes([0x20, *range(0x09, 0x0E)])
 #: Keys of one filter shard (2.7 MB), and postings that meet it in one task.
@@ -170,13 +170,21 @@ def find_drops(rows: DataFrame, hot: DataFrame, filters: DataFrame, n_shards: in
 
     rows: stored postings; hot: (k1, k2, keeper); filters: of the hot keys, and perhaps more. What passes the filters
     is confirmed by the exact table. A hot key's postings are many: they are dealt out by document as well, and its one
-    row in the table goes to each part.
+    row in the table goes to those parts that hold one of them.
     """
     n = rows.count()
     parts = max(1, math.ceil(n / PROBED))
     maybe = probe(rows, filters, n_shards, n).withColumn("part", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(parts)))
-    exact = hot.select(*KEY, "keeper").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    return maybe.join(exact, [*KEY, "part"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select(*KEY, "doc_id", "tie")
+    if parts > 1:
+        maybe = stored(maybe)
+    return confirmed(maybe, hot).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select(*KEY, "doc_id", "tie")
+
+
+def confirmed(maybe: DataFrame, hot: DataFrame) -> DataFrame:
+    """`maybe` (k1, k2, part ...) with the keeper of its key, of the keys that are hot."""
+    held = maybe.select(*KEY, "part").distinct()  # no more rows than postings, and for each part one
+    exact = held.join(hot.select(*KEY, "keeper"), [*KEY])
+    return maybe.join(exact, [*KEY, "part"])
 
 
 def line_dedup(docs: DataFrame, least_docs: int = 3, least: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,7 +202,10 @@ def line_dedup(docs: DataFrame, least_docs: int = 3, least: int = 20, key: str =
 
 class LineIndex:
     """Incremental state in a folder, all of it Spark tables: `ledger`, postings with +1 where they came and -1 where
-    they went; `counts`, changes of the reference counts; and `filters`, a version after each change.
+    they went; `counts`, changes of the reference counts; and `filters`, all anew after each change.
+
+    Each call writes a version of all three, and then one row to `commits`, which makes it count; readers see committed
+    versions only. So a call that broke off has changed nothing, can be repeated, and is then written over.
 
     A document is known by its id; rows of one id are one document, and a null id is one, too. All calls can be
     repeated: an insertion that is there already, and a deletion of what isn't, change nothing. A document that is
@@ -213,48 +224,64 @@ class LineIndex:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def committed(self) -> tuple[int, int]:
+        """The last version that counts (0 before the first) and its number of shards."""
+        last = self._read("commits", "version long, n_shards int").agg(F.max(F.struct("version", "n_shards"))).first()[0]
+        return (0, 1) if last is None else (last["version"], last["n_shards"])
+
+    def ledger(self) -> DataFrame:
+        rows = self._read("ledger", "k1 long, k2 long, doc_id long, tie long, change int, version long")
+        return rows.where(F.col("version") <= self.committed()[0]).drop("version")
+
     def alive(self) -> DataFrame:
         """(k1, k2, doc_id, tie) of documents that are in."""
-        ledger = self._read("ledger", "k1 long, k2 long, doc_id long, tie long, change int")
-        return ledger.groupBy(*KEY, "doc_id", "tie").agg(F.sum("change").alias("n")).where("n > 0").drop("n")
+        return _alive(self.ledger())
 
     def counts(self) -> DataFrame:
         """(k1, k2, refs): documents that hold a key, of keys that any holds."""
-        return self._read("counts", "k1 long, k2 long, change long").groupBy(*KEY).agg(F.sum("change").alias("refs")).where("refs > 0")
+        rows = self._read("counts", "k1 long, k2 long, change long, version long").where(F.col("version") <= self.committed()[0])
+        return rows.groupBy(*KEY).agg(F.sum("change").alias("refs")).where("refs > 0")
 
     def filters(self) -> tuple[DataFrame, int]:
         """The filters (shard, filter) of the keys in `least_docs` documents or more, and the number of shards."""
-        every = self._read("filters", "version long, n_shards int, shard int, filter binary")
-        last = every.agg(F.max(F.struct("version", "n_shards"))).first()[0]
-        if last is None:
-            return every.select("shard", "filter"), 1
-        return every.where((F.col("version") == last["version"]) & F.col("shard").isNotNull()).select("shard", "filter"), last["n_shards"]
+        version, n_shards = self.committed()
+        rows = self._read("filters", "shard int, filter binary, version long")
+        return rows.where(F.col("version") == version).select("shard", "filter"), n_shards
 
     def _change(self, came: DataFrame, went: DataFrame) -> None:
         """Write postings that came and that went. The counts' change is a document's, whatever texts it has."""
-        changes = stored(came.withColumn("change", F.lit(1)).unionByName(went.withColumn("change", F.lit(-1))))
+        changes = stored(came.withColumn("change", F.lit(1)).unionByName(went.withColumn("change", F.lit(-1))).select(*KEY, "doc_id", "tie", "change"))
         if changes.isEmpty():
             return
-        touched = changes.select(*KEY, "doc_id").distinct()
-        held = self.alive().select(*KEY, "doc_id").distinct().join(touched.withColumnsRenamed({"k1": "j1", "k2": "j2", "doc_id": "d"}), (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-        before = stored(held)
-        changes.select(*KEY, "doc_id", "tie", F.col("change").cast("int").alias("change")).write.mode("append").parquet(f"{self.path}/ledger")
-        now = self.alive().select(*KEY, "doc_id").distinct().join(touched.withColumnsRenamed({"k1": "j1", "k2": "j2", "doc_id": "d"}), (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-        delta = now.withColumn("x", F.lit(1)).unionByName(before.withColumn("x", F.lit(-1))).groupBy(*KEY).agg(F.sum("x").alias("change")).where("change <> 0")
-        delta = stored(delta)
+        touched = changes.select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), F.col("doc_id").alias("d")).distinct()
+        same = (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & F.col("doc_id").eqNullSafe(F.col("d"))
+        before = stored(self.ledger().join(touched, same, "left_semi"))
+        holders = lambda rows, x: _alive(rows).select(*KEY, "doc_id").distinct().withColumn("x", F.lit(x))
+        both = holders(before.unionByName(changes), 1).unionByName(holders(before, -1))
+        delta = stored(both.groupBy(*KEY).agg(F.sum("x").alias("change")).where("change <> 0"))
         old = self.counts().join(delta.select(*KEY), KEY, "left_semi")
-        crossing = stored(delta.join(old, KEY, "left").select(*KEY, F.coalesce("refs", F.lit(0)).alias("was"), (F.coalesce("refs", F.lit(0)) + F.col("change")).alias("is")).where((F.col("was") >= self.least_docs) != (F.col("is") >= self.least_docs)))
-        delta.write.mode("append").parquet(f"{self.path}/counts")
-        own, n_shards = self.filters()
-        needed = shards_for(self.counts().where(F.col("refs") >= self.least_docs).count())
+        was = F.coalesce("refs", F.lit(0))
+        crossing = delta.join(old, KEY, "left").select(*KEY, was.alias("was"), (was + F.col("change")).alias("is"))
+        crossing = stored(crossing.where((F.col("was") >= self.least_docs) != (F.col("is") >= self.least_docs)))
+        version, n_shards = self.committed()
+        own, _ = self.filters()
+        up = F.col("is") >= self.least_docs
+        hot = self.counts().where(F.col("refs") >= self.least_docs).select(*KEY)
+        gain, loss = crossing.agg(F.count_if(up), F.count_if(~up)).first()
+        needed = shards_for(hot.count() + gain - loss)
         if needed > n_shards:  # too full: all anew, in twice as many shards at least
             n_shards = max(needed, 2 * n_shards)
-            made = build_filters(self.counts().where(F.col("refs") >= self.least_docs), n_shards)
+            made = build_filters(hot.join(crossing.where(~up), KEY, "left_anti").unionByName(crossing.where(up).select(*KEY)), n_shards)
         else:
-            made = update_filters(own, crossing.select(*KEY, (F.col("is") >= self.least_docs).alias("up")), n_shards)
-        version = (self._read("filters", "version long").agg(F.max("version")).first()[0] or 0) + 1
-        mark = self.spark.createDataFrame([(None, None)], "shard int, filter binary")  # a version may have no filter
-        stored(made).unionByName(mark).select(F.lit(version).cast("long").alias("version"), F.lit(n_shards).alias("n_shards"), "shard", "filter").write.mode("append").parquet(f"{self.path}/filters")
+            made = update_filters(own, crossing.select(*KEY, up.alias("up")), n_shards)
+        version += 1
+        for name, rows in (("ledger", changes), ("counts", delta), ("filters", made)):
+            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/version={version}")
+        self._commit(version, n_shards)
+        release(self.spark, [f"{self.path}/filters/version={version - 2}"])  # readers may still hold the last one
+
+    def _commit(self, version: int, n_shards: int) -> None:
+        self.spark.createDataFrame([(version, n_shards)], "version long, n_shards int").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
     def _of(self, ids: DataFrame) -> DataFrame:
         """Postings of the documents that have these ids."""
@@ -279,6 +306,10 @@ class LineIndex:
         return apply_drops(docs, find_drops(stored(postings(docs, self.least)), stored(keepers), filters, n_shards), self.least)
 
 
+def _alive(ledger: DataFrame) -> DataFrame:
+    return ledger.groupBy(*KEY, "doc_id", "tie").agg(F.sum("change").alias("n")).where("n > 0").drop("n")
+
+
 def _without(some: DataFrame, others: DataFrame) -> DataFrame:
     """Postings of `some` that aren't in `others`."""
     named = others.withColumnsRenamed({c: f"o_{c}" for c in others.columns})

@@ -245,11 +245,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     if more.limit(1).count():
         classes = components(links.unionByName(more))
 
-    # Heads of classes of several texts, a row for each part, so that no large class meets at one place; then all rows.
+    # Heads of classes of several texts, a row for each part with members, so that no large class meets at one place; then all rows.
     own = nodes.select("a", "b", F.col("doc_id").alias("least"), "n")
     members = own.join(classes, ["a", "b"]).withColumn("part", part)
     heads = members.groupBy("ca", "cb").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    heads = heads.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    heads = members.select("ca", "cb", "part").distinct().join(heads, ["ca", "cb"])  # where it has members
     named = members.join(heads, ["ca", "cb", "part"]).select("a", "b", "ca", "cb", "class_id", "class_size")
     alone = F.col("ca").isNull()
     each = own.join(named, ["a", "b"], "left").select("a", "b", *none, F.when(alone, F.col("least")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("n")).otherwise(F.col("class_size")).alias("class_size"))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import kernels as K
 from .runtime import quoted
@@ -150,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     The rows are sorted, so that the same data give the same model. The class prior is the share of toxic rows among
     the labelled ones, or what the best features' frequencies in all documents leave room for, if that is less.
     The driver takes MOST_TOXIC + MOST_UNLABELLED rows of counts of MOST_FEATURES features at most, and two sums.
-    Feature frequencies are counted in Spark. Null labels and ids are passed over.
+    Feature frequencies are counted in Spark. Null labels and ids are passed over. Of rows that share an id one is taken, so
+    that no repeated id makes the sample larger; ids of labels and documents have one type.
     """
     known_labels = labels.where(~held_out(quoted(key)) & quoted(key).isNotNull() & quoted(toxic).isNotNull()).groupBy(quoted(key).alias("id")).agg(F.max(quoted(toxic)).alias("y"))
     n, n_toxic = known_labels.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("y") == 1, 1)), F.lit(0))).first()
@@ -162,8 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     ids = docs.select(quoted(key).alias("id")).where(~held_out(F.col("id")) & F.col("id").isNotNull()).distinct()
     u = [r["id"] for r in ids.orderBy(draw, "id").limit(MOST_UNLABELLED).collect()]
     spark = docs.sparkSession
-    chosen = spark.createDataFrame([(int(i), 1) for i in p] + [(int(i), 0) for i in u], "id long, kind int")
-    sample = docs.select(quoted(key).alias("id"), quoted(text).alias("text")).join(F.broadcast(chosen), "id").select("kind", "text")
+    chosen = spark.createDataFrame([(i, 1) for i in p] + [(i, 0) for i in u], StructType([StructField("id", docs.schema[key].dataType), StructField("kind", IntegerType())]))
+    sample = docs.select(quoted(key).alias("id"), quoted(text).alias("text")).join(F.broadcast(chosen), "id")
+    sample = sample.groupBy("kind", "id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("kind", "t.text")  # one row of an id
 
     def count(known: np.ndarray | None, levels: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
