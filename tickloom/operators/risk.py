@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import RiskParams
-from .metrics import running_total
 
 
 def position_size(balance: Column, price: Column, core: Column, p: RiskParams) -> tuple[Column, Column]:
@@ -48,13 +50,48 @@ def check(orders: DataFrame, p: RiskParams) -> DataFrame:
     })
 
 
-def streaks(trades: DataFrame, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """`trades` with losses_in_row: losses up to and with a trade since the last one without loss (to 2 decimals)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    loss = F.when(F.round("pnl", 2) < 0, 1).otherwise(0)
-    out = trades.withColumn("_loss", loss).withColumn("_run", F.sum(1 - F.col("_loss")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*by, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("losses_in_row", F.sum("_loss").over(inside)).drop("_loss", "_run")
+def account_curve(trades: DataFrame, by: tuple[str, ...], order: tuple[str, ...], balance: float = 0.0, at: str = "closed_at") -> DataFrame:
+    """`trades` with equity (the balance and all results so far), drawdown and weekly_drawdown (per cent below the peak since
+    the day, or the week, began; a period's peak begins with the equity that it starts from), daily_pnl (the day's results so
+    far) and losses_in_row (since the last trade without loss). Results count to 2 decimals, a missing one as 0.
+
+    It goes in two levels: inside each day of an account, and over the accounts' days, of which a row each is made. So no
+    task holds an account's trades, and rows are shuffled by account and day only.
+    """
+    day, c = [*by, "_day"], F.col
+    rows = trades.withColumns({"_day": F.to_date(at), "_pnl": F.coalesce(F.round("pnl", 2), F.lit(0.0)).cast("decimal(28,2)")})
+    inside = Window.partitionBy(*day).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_n": F.row_number().over(inside), "_sum": F.sum("_pnl").over(upto)})
+    rows = rows.withColumns({"_top": F.max("_sum").over(upto), "_won": F.max(F.when(c("_pnl") >= 0, c("_n"))).over(upto)})
+    days = rows.groupBy(*day).agg(F.sum("_pnl").alias("_total"), F.max("_sum").alias("_most"), F.count("*").alias("_all"), F.max("_won").alias("_last"))
+    along = Window.partitionBy(*by).orderBy("_day")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumns({
+        "_start": F.coalesce(F.sum("_total").over(before), F.lit(0)) + F.lit(balance).cast("decimal(28,2)"), "_tail": c("_all") - F.coalesce("_last", F.lit(0)),
+        # Days without any trade but losses go on with the day before them.
+        "_block": F.count("_last").over(along.rowsBetween(Window.unboundedPreceding, 0)), "_week": F.date_trunc("week", "_day"),
+    })
+    lost = F.sum("_tail").over(Window.partitionBy(*by, "_block").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0))
+    week = Window.partitionBy(*by, "_week").orderBy("_day")
+    days = days.withColumn("_lost", lost).withColumns({
+        "_losses": F.coalesce(F.lag("_lost").over(along), F.lit(0)),
+        "_peak": F.greatest(F.first("_start").over(week), F.max(c("_start") + c("_most")).over(week.rowsBetween(Window.unboundedPreceding, -1))),
+    })
+    days = days.select(*[c(x).alias(f"_k{i}") for i, x in enumerate(day)], "_start", "_losses", "_peak")
+    joined = rows.join(days, reduce(and_, [c(x).eqNullSafe(c(f"_k{i}")) for i, x in enumerate(day)]))
+    equity, day_peak = c("_start") + c("_sum"), F.greatest(c("_start"), c("_start") + c("_top"))
+    below = lambda peak: F.when(peak > 0, (peak.cast("double") - equity.cast("double")) / peak.cast("double") * 100).otherwise(0.0)
+    joined = joined.withColumns({
+        "equity": equity.cast("double"), "drawdown": below(day_peak), "weekly_drawdown": below(F.greatest("_peak", day_peak)), "daily_pnl": c("_sum").cast("double"),
+        "losses_in_row": (c("_n") - F.coalesce("_won", F.lit(0)) + F.when(c("_won").isNull(), c("_losses")).otherwise(0)).cast("long"),
+    })
+    return joined.drop("_day", "_pnl", "_n", "_sum", "_top", "_won", "_start", "_losses", "_peak", *[f"_k{i}" for i in range(len(day))])
+
+
+def streaks(trades: DataFrame, by: tuple[str, ...], order: tuple[str, ...], at: str = "closed_at") -> DataFrame:
+    """`trades` with losses_in_row (`account_curve`)."""
+    return account_curve(trades, by, order, at=at).select(*trades.columns, "losses_in_row")
 
 
 def daily_pnl(trades: DataFrame, by: tuple[str, ...], order: tuple[str, ...], at: str = "closed_at") -> DataFrame:
@@ -64,31 +101,28 @@ def daily_pnl(trades: DataFrame, by: tuple[str, ...], order: tuple[str, ...], at
 
 
 def drawdowns(trades: DataFrame, by: tuple[str, ...], order: tuple[str, ...], balance: float, at: str = "closed_at") -> DataFrame:
-    """`trades` with equity (the balance and all results so far, to 2 decimals), drawdown and weekly_drawdown: per cent
-    below the peak since the day, or the week, began. A period's peak begins with the equity that it starts from."""
-    pnl = F.round("pnl", 2).cast("decimal(28,2)")
-    rows = running_total(trades, pnl, "equity", by, order, time=at).withColumn("equity", (F.col("equity") + F.lit(balance)).cast("double"))
-    rows = rows.withColumn("_at_start", F.col("equity") - pnl.cast("double"))
-    for name, period in (("drawdown", F.to_date(at)), ("weekly_drawdown", F.to_date(F.date_trunc("week", at)))):
-        w = Window.partitionBy(*by, period).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        peak = F.greatest(F.max("equity").over(w), F.first("_at_start").over(w))
-        rows = rows.withColumn(name, F.when(peak > 0, (peak - F.col("equity")) / peak * 100).otherwise(0.0))
-    return rows.drop("_at_start")
+    """`trades` with equity, drawdown and weekly_drawdown (`account_curve`)."""
+    return account_curve(trades, by, order, balance, at).select(*trades.columns, "equity", "drawdown", "weekly_drawdown")
 
 
 def breaker(curve: DataFrame, p: RiskParams, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """`curve` with tripped and trip_reason: latched from the first row on that breaks a limit.
 
-    Needs: drawdown (per cent of the peak), daily_pnl, losses_in_row; weekly_drawdown counts if it is there.
+    Needs: drawdown (per cent of the peak), daily_pnl, losses_in_row; weekly_drawdown counts if it is there. The first such
+    row of each account is an aggregate, and joined back; rows of equal order trip together.
     """
     weekly = F.col("weekly_drawdown") > p.max_weekly_drawdown if "weekly_drawdown" in curve.columns else F.lit(False)
     reason = (
         F.when(F.col("drawdown") > p.max_daily_drawdown, "drawdown").when(weekly, "weekly drawdown")
         .when(F.col("daily_pnl") <= -p.max_daily_loss, "daily loss").when(F.col("losses_in_row") >= p.max_consecutive_losses, "consecutive losses")
     )
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    first = F.first(reason, ignorenulls=True).over(w)
-    return curve.withColumn("trip_reason", F.coalesce(first, F.lit(""))).withColumn("tripped", F.col("trip_reason") != "")
+    place = F.struct(*[F.col(c) for c in order])
+    first = curve.withColumn("_reason", reason).where(F.col("_reason").isNotNull()).groupBy(*by).agg(F.min(F.struct(place.alias("at"), F.col("_reason").alias("reason"))).alias("_first"))
+    first = first.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_first")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)] or [F.lit(True)]
+    joined = curve.join(first, reduce(and_, same), "left")
+    tripped = F.coalesce(place >= F.col("_first.at"), F.lit(False))
+    return joined.withColumn("tripped", tripped).withColumn("trip_reason", F.when(F.col("tripped"), F.col("_first.reason")).otherwise("")).drop("_first", *[f"_k{i}" for i in range(len(by))])
 
 
 #: What a tripped breaker does with open positions; anything else counts as the first.

@@ -332,7 +332,7 @@ g AS (SELECT *, coalesce(first_value(reason IGNORE NULLS) OVER (PARTITION BY str
 
 
 def _breaker(t: Tables) -> DataFrame:
-    rows = K.drawdowns(K.daily_pnl(K.streaks(priced(t), BY, ORDER), BY, ORDER), BY, ORDER, 10_000_000)
+    rows = K.account_curve(priced(t), BY, ORDER, 10_000_000)
     return K.breaker(rows, RiskParams(max_daily_drawdown=4, max_weekly_drawdown=6, max_daily_loss=500_000, max_consecutive_losses=12), BY, ORDER)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rolling as W
+from ..operators import features as X
+from ..operators import heads as H
 from ..operators import series_models as SM
 from ..sources.domain import Tables
 from . import sqlparts as Q
@@ -63,3 +65,15 @@ def models_overdue(t: Tables) -> DataFrame:
     now = rows.agg(F.date_sub(F.to_date(F.max("bar_end")), 3).cast("string")).first()[0]
     trained = SM.daily_models(rows, ["symbol"], ["ret_5"]).where((F.col("valid_from") <= F.lit(now).cast("timestamp_ntz")) & (F.length("symbol") % 2 == 0))
     return SM.overdue(rows, trained, ["symbol"], now)
+
+
+@query("patch_head_direction")
+def patch_head_direction(t: Tables) -> DataFrame:
+    """A head over the last 32 bars, trained on which barrier comes first, and its direction on all bars that have as many before them."""
+    names = ("ret_1", "close_position", "high_low_range")
+    rows = X.clean(X.raw_features(t.bars("1h")), names).withColumn("label", X.triple_barrier(24, 0.5, 0.5, timeout=H.NEITHER))
+    rows = X.sequences(rows, names, 32, "label")
+    head = H.train(rows, 32, len(names), rounds=8, rate=0.05)
+    if head is None:
+        return rows.select("symbol", "bar_start", F.lit(0).alias("direction"), F.lit(0.0).alias("confidence")).limit(0)
+    return H.directed(H.predict(rows, head), head).select("symbol", "bar_start", "direction", r("confidence", 4).alias("confidence"))
