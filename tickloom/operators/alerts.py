@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 RULE = "name string, event_type string, condition map<string,string>, level string, cooldown_seconds double, enabled boolean, description string"
 
 
+#: Levels from the least to the greatest priority; others come before them all.
+LEVELS = ("info", "warning", "critical")
+
+
+def priority(level: Column | str) -> Column:
+    """3 for critical alerts, 2 for warnings, 1 for information, 0 for anything else."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, LEVELS)), F.col(level) if isinstance(level, str) else level).cast("int"), F.lit(0))
+
+
 def match(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Events (type, data map, ...) with each enabled rule of their type (or of any) all whose fields they have.
 

@@ -27,6 +27,13 @@ def config_hash(config: Mapping) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
+def config_hash_of(config: Column) -> Column:
+    """`config_hash` of a map column with text keys and whole numbers, or null for a null map: rows with equal configurations
+    share a computation. Keys are written as they are, so they may hold no quotes, backslashes or control characters."""
+    entries = F.transform(F.array_sort(F.map_entries(config)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), F.coalesce(e["value"].cast("string"), F.lit("null"))))
+    return F.left(F.sha2(F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}")), 256), F.lit(16))
+
+
 def group_by_indicators(strategies: Iterable[Strategy]) -> dict[str, list[Strategy]]:
     """Strategies with equal indicator configurations, which share one computation."""
     out: dict[str, list[Strategy]] = {}

@@ -400,3 +400,28 @@ def simulate_metrics(t: Tables) -> DataFrame:
 
     done = stored(simulated(t))
     return M.backtest_metrics(X.trades(done), X.equity(done))
+
+
+# --- comparison of runs -------------------------------------------------------------------------------------
+
+
+def _other_run(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The trades, by the month that they were opened in, and those of a second run, which lacks some, repeats some and differs in some."""
+    own = t.trades.select("strategy", "symbol", "side", F.date_trunc("month", "opened_at").cast("timestamp_ntz").alias("opened_at"), "trade_id", "line", "entry_price", "quantity")
+    other = own.where(F.col("trade_id") % 7 != 0).withColumn("entry_price", F.when(F.col("trade_id") % 5 == 0, F.col("entry_price") + 3).otherwise(F.col("entry_price") + 1))
+    return own, other.unionByName(other.where(F.col("trade_id") % 11 == 0))
+
+
+@query("trade_matching", """a AS (SELECT strategy, symbol, side, CAST(date_trunc('month', opened_at) AS TIMESTAMP) AS opened_at, trade_id, line, entry_price, quantity FROM trades),
+o AS (SELECT * REPLACE (entry_price + CASE WHEN trade_id % 5 = 0 THEN 3 ELSE 1 END AS entry_price) FROM a WHERE trade_id % 7 <> 0),
+b AS (SELECT * FROM o UNION ALL SELECT * FROM o WHERE trade_id % 11 = 0),
+x AS (SELECT *, row_number() OVER (PARTITION BY strategy, symbol, side, opened_at ORDER BY trade_id, line, entry_price, quantity) AS n FROM a),
+y AS (SELECT *, row_number() OVER (PARTITION BY strategy, symbol, side, opened_at ORDER BY trade_id, line, entry_price, quantity) AS n FROM b)
+SELECT strategy, symbol, side, opened_at, CAST(n AS INTEGER) AS ordinal, CASE WHEN y.quantity IS NULL THEN 'left' WHEN x.quantity IS NULL THEN 'right' WHEN abs(x.entry_price - y.entry_price) <= 2 AND abs(x.quantity - y.quantity) <= 0.5 THEN 'same' ELSE 'different' END AS status,
+  round(x.entry_price, 4) AS entry_left, round(y.entry_price, 4) AS entry_right FROM x FULL JOIN y USING (strategy, symbol, side, opened_at, n)""")
+def trade_matching(t: Tables) -> DataFrame:
+    from ..operators.compare import match_trades
+
+    own, other = _other_run(t)
+    found = match_trades(own, other, {"entry_price": 2.0, "quantity": 0.5}, order=("trade_id", "line"))
+    return found.select("strategy", "symbol", "side", "opened_at", "ordinal", "status", r("entry_price_left", 4).alias("entry_left"), r("entry_price_right", 4).alias("entry_right"))

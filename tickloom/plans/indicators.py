@@ -257,10 +257,14 @@ def strategy_catalog(t: Tables) -> DataFrame:
     return made.select("name", "enabled", F.size("symbols").alias("n_symbols"), F.size("timeframes").alias("n_timeframes"))
 
 
-@query("config_hash", "SELECT left(sha256('{\"a\": 1, \"b\": [1, 2], \"k\": ' || k || '}'), 16) AS hash, count(*) AS n FROM (SELECT event_id % 5 AS k FROM events) GROUP BY k")
+@query("config_hash", """c AS (SELECT p_partkey, '{"fast": ' || p_size % 6 || ', "period": ' || p_size % 4 || CASE WHEN p_partkey % 2 = 0 THEN ', "slow": ' || (20 + p_size % 3) ELSE '' END || '}' AS text FROM part)
+SELECT left(sha256(text), 16) AS hash, count(*) AS strategies, min(p_partkey) AS first FROM c GROUP BY text""")
 def config_hash(t: Tables) -> DataFrame:
-    text = F.concat(F.lit('{"a": 1, "b": [1, 2], "k": '), (F.col("event_id") % 5).cast("string"), F.lit("}"))
-    return t.events.groupBy(F.left(F.sha2(text, 256), F.lit(16)).alias("hash")).agg(F.count("*").alias("n"))
+    """Strategies, here parts, by their indicators' configuration: those of one hash share a computation."""
+    size, entry = F.col("p_size"), lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("int").alias("value"))
+    slow = F.when(F.col("p_partkey") % 2 == 0, F.array(entry("slow", 20 + size % 3))).otherwise(F.array().cast("array<struct<key:string,value:int>>"))
+    config = F.map_from_entries(F.concat(F.array(entry("period", size % 4), entry("fast", size % 6)), slow))
+    return t.part.groupBy(S.config_hash_of(config).alias("hash")).agg(F.count("*").alias("strategies"), F.min("p_partkey").alias("first"))
 
 
 @query("primary_timeframe", "SELECT '1h' AS primary_tf")

@@ -54,7 +54,11 @@ SELECT task, CAST(date_diff('second', date_trunc('second', last), date_trunc('se
 )
 query("paginate", _ALERTS + "SELECT id, created_at FROM a ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 40")(lambda t: S.page(alerts(t), 3, 20, [F.desc("created_at"), F.desc("id")]).select("id", "created_at"))
 query("page_count", _ALERTS + "SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM a")(lambda t: S.page_count(alerts(t), 20))
-query("priority_sort", "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 100")(lambda t: t.part.select("p_partkey", "p_size").orderBy(F.desc("p_size"), "p_partkey").limit(100))
+#: What comes first in a list by priority.
+_PRIORITY = "CASE level WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 WHEN 'info' THEN 1 ELSE 0 END"
+query("priority_sort", _ALERTS + f"SELECT id, level, {_PRIORITY} AS priority, created_at FROM a ORDER BY priority DESC, created_at DESC, id DESC LIMIT 100")(
+    lambda t: alerts(t).withColumn("priority", A.priority("level")).orderBy(F.desc("priority"), F.desc("created_at"), F.desc("id")).limit(100).select("id", "level", "priority", "created_at")
+)
 
 _RULES = [
     ("breach", "click", {"level": "critical"}, "critical", 300.0, True, ""),
@@ -169,3 +173,34 @@ def table_schema(t: Tables) -> DataFrame:
 
 
 del W, Window
+
+
+# --- typed events -------------------------------------------------------------------------------------------
+
+#: Events of the bus: the table's as signals, predictions, ticks and some that can't be taken.
+_BUS = """e AS (SELECT event_id AS id, ts, CASE event_id % 5 WHEN 0 THEN 'market.tick' WHEN 1 THEN 'ml.prediction' WHEN 2 THEN 'strategy.signal' WHEN 3 THEN 'no.type' ELSE 'position.update' END AS type,
+  CASE event_id % 7 WHEN 0 THEN 'not json' WHEN 1 THEN '[1, 2]' WHEN 2 THEN NULL ELSE CAST(json_object('symbol', event_type, 'price', value, 'confidence', CASE WHEN event_id % 11 = 0 THEN NULL ELSE 0.25 END, 'side', CASE WHEN event_id % 2 = 0 THEN 'long' END) AS VARCHAR) END AS payload FROM events),
+b AS (SELECT *, json_valid(payload) AS ok, CASE WHEN json_valid(payload) THEN payload END AS j FROM e),
+p AS (SELECT *, CASE WHEN type = 'no.type' THEN 'type' WHEN payload IS NOT NULL AND NOT ok THEN 'json' WHEN payload IS NOT NULL AND json_type(j) <> 'OBJECT' THEN 'object'
+  WHEN payload IS NULL OR j ->> 'symbol' IS NULL THEN 'symbol' WHEN type = 'market.tick' AND j ->> 'price' IS NULL THEN 'price' WHEN type = 'ml.prediction' AND j ->> 'confidence' IS NULL THEN 'confidence' WHEN type = 'strategy.signal' AND j ->> 'side' IS NULL THEN 'side' END AS problem FROM b)
+"""
+
+
+def _bus(t: Tables) -> DataFrame:
+    from ..streaming.bus import typed
+
+    i, names = F.col("event_id"), ("market.tick", "ml.prediction", "strategy.signal", "no.type", "position.update")
+    body = F.to_json(F.struct(F.col("event_type").alias("symbol"), F.col("value").alias("price"), F.when(i % 11 != 0, 0.25).alias("confidence"), F.when(i % 2 == 0, "long").alias("side")))
+    payload = F.when(i % 7 == 0, "not json").when(i % 7 == 1, "[1, 2]").when(i % 7 != 2, body)
+    kind = F.get(F.array(*map(F.lit, names)), (i % 5).cast("int"))
+    return typed(t.events.select(i.alias("id"), "ts", kind.alias("type"), payload.alias("payload")))
+
+
+query("event_problems", _BUS + "SELECT id, type, problem FROM p")(lambda t: _bus(t).select("id", "type", "problem"))
+
+
+@query("event_view", _BUS + "SELECT ts, j ->> 'symbol' AS symbol, round(CAST(j ->> 'price' AS DOUBLE), 6) AS price FROM p WHERE problem IS NULL AND type = 'market.tick'")
+def event_view(t: Tables) -> DataFrame:
+    from ..streaming.bus import view
+
+    return view(_bus(t), "market.tick").select("ts", "symbol", r("price").alias("price"))
