@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .dart_minhash import signatures
-from .runtime import payload, quoted, stored
+from .runtime import payload, quoted, small_batches, stored
 
 SHINGLE, BANDS, ROWS = 5, 25, 5
 SIMILARITY = 0.8
@@ -202,6 +202,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     has a null class_id. With weights="count" the signature weighs a shingle by its occurrences; links are decided by
     the sets in either case. The order of rows is not kept.
     """
+    small_batches(docs.sparkSession)
     signed = stored(sign(docs, key, text, weights))
     nodes = signed.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands"), F.max("marks").alias("marks"), F.count("*").alias("n"))
     nodes = stored(nodes)

@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 GROUP_BYTES = 8 << 20
 
 
+#: Bytes of the Arrow batches that Python workers of text operators are sent: several of one are held at a time.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches have BATCH_BYTES at most (one row may have more)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

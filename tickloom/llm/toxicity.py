@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import kernels as K
-from .runtime import quoted
+from .runtime import quoted, small_batches
 
 #: Bounds of the training sample, in documents; taken in the order of a hash of the id.
 MOST_TOXIC, MOST_UNLABELLED = 4000, 8000
@@ -154,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     Feature frequencies are counted in Spark. Null labels and ids are passed over. Of rows that share an id one is taken, so
     that no repeated id makes the sample larger; ids of labels and documents have one type.
     """
+    small_batches(docs.sparkSession)
     known_labels = labels.where(~held_out(quoted(key)) & quoted(key).isNotNull() & quoted(toxic).isNotNull()).groupBy(quoted(key).alias("id")).agg(F.max(quoted(toxic)).alias("y"))
     n, n_toxic = known_labels.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("y") == 1, 1)), F.lit(0))).first()
     if not n_toxic:
@@ -224,6 +225,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     Null and empty texts are scored as texts without words. Rows stay where they are.
     """
     kept = [c for c in docs.columns if c != "score"]
+    small_batches(docs.sparkSession)
     if model is None:
         return docs.select(*map(quoted, kept), F.lit(0.0).alias("score"))
     schema = docs.select(*map(quoted, kept)).withColumn("score", F.lit(0.0)).schema
