@@ -1,8 +1,8 @@
-"""Recursive smoothing: one pass over each series, for what window frames can't express.
+"""Recursive smoothing, for what window frames can't express.
 
-All recursions that a plan needs on a series are computed in the same pass, so the series is dealt out and sorted
-once. A series must fit an executor (five years of minutes are 2.6 million rows, 150 MB); many series run side by
-side. Missing values come in and go out as null.
+All recursions that a plan needs on a series are computed together. Those that are averages (with a program) go in
+segments of a week, so that a series is dealt out to many tasks (`segments`); others take a series in one pass, which must
+fit an executor. Missing values come in and go out as null.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .segments import Program, Smooth, path, with_programs
+
 
 def smooth(x: np.ndarray, n: int, alpha: float, start: int = 0) -> np.ndarray:
     """The mean of x[start : start + n] at its last row, then e + alpha * (x - e); NaN before."""
@@ -23,12 +25,8 @@ def smooth(x: np.ndarray, n: int, alpha: float, start: int = 0) -> np.ndarray:
     at = start + n - 1
     if len(x) <= at or n < 1:
         return out
-    values = x.tolist()
-    e = sum(values[start : at + 1]) / n
-    out[at] = e
-    for i in range(at + 1, len(values)):
-        e += alpha * (values[i] - e)
-        out[i] = e
+    out[at] = x[start : at + 1].sum() / n
+    out[at + 1 :] = path(x[at + 1 :], alpha, out[at])
     return out
 
 
@@ -47,12 +45,9 @@ def ewm(x: np.ndarray, span: float) -> np.ndarray:
 
 def decayed(x: np.ndarray, alpha: float) -> np.ndarray:
     """Starts at 0 before the first value; a missing value changes nothing."""
-    e, out = 0.0, np.empty(len(x))
-    for i, v in enumerate(x.tolist()):
-        if v == v:
-            e += alpha * (v - e)
-        out[i] = e
-    return out
+    there = ~np.isnan(x)
+    values = np.append(0.0, path(x[there], alpha, 0.0))
+    return values[np.cumsum(there)]
 
 
 def differences(x: np.ndarray) -> np.ndarray:
@@ -94,17 +89,85 @@ def adx(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int) -> np.ndar
     return wilder(dx, n, n)
 
 
+# --- the same as programs: what is averaged, and how ---------------------------------------------------------
+
+
+def _stepped(columns: dict[str, np.ndarray], before: dict[str, float], name: str) -> np.ndarray:
+    """A column one row earlier."""
+    x = columns[name]
+    return np.append(before[name], x[:-1]) if len(x) else x
+
+
+def _ranges(columns: dict[str, np.ndarray], before: dict[str, float]) -> np.ndarray:
+    high, low, close = columns["high"], columns["low"], _stepped(columns, before, "close")
+    return np.maximum(high - low, np.maximum(np.abs(high - close), np.abs(low - close)))
+
+
+def ema_program(source: str, n: int) -> Program:
+    return Program(lambda c, b: [c[source]], (Smooth(n, 2 / (n + 1)),), lambda a, s, place: [a[0]])
+
+
+def ewm_program(source: str, span: float) -> Program:
+    return Program(lambda c, b: [c[source]], (Smooth(1, 2 / (span + 1)),), lambda a, s, place: [a[0]])
+
+
+def rsi_program(source: str, n: int) -> Program:
+    def first(c, b):
+        d = c[source] - _stepped(c, b, source)
+        return [np.maximum(d, 0), np.maximum(-d, 0)]
+
+    def result(a, s, place):
+        total = a[0] + a[1]
+        return [np.where(total == 0, 0.0, 100 * a[0] / np.where(total == 0, 1, total))]
+
+    return Program(first, (Smooth(n, 1 / n, 1),) * 2, result)
+
+
+def macd_program(source: str, fast: int, slow: int, signal: int) -> Program:
+    def line(a, place):
+        return [np.where(place < slow - 1, np.nan, a[0] - a[1])]
+
+    def result(a, s, place):
+        (own,) = line(a, place)
+        return [own, s[0], own - s[0]]
+
+    smooths = Smooth(fast, 2 / (fast + 1), slow - fast), Smooth(slow, 2 / (slow + 1))
+    return Program(lambda c, b: [c[source], c[source]], smooths, result, line, (Smooth(signal, 2 / (signal + 1), slow - 1),))
+
+
+def atr_program(n: int) -> Program:
+    return Program(lambda c, b: [_ranges(c, b)], (Smooth(n, 1 / n, 1),), lambda a, s, place: [a[0]])
+
+
+def adx_program(n: int) -> Program:
+    def first(c, b):
+        up, down = c["high"] - _stepped(c, b, "high"), _stepped(c, b, "low") - c["low"]
+        return [_ranges(c, b), np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)]
+
+    def strength(a, place):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            p, m = a[1] / a[0], a[2] / a[0]
+            return [np.where(p + m == 0, 0.0, 100 * np.abs(p - m) / (p + m))]
+
+    return Program(first, (Smooth(n, 1 / n, 1),) * 3, lambda a, s, place: [s[0]], strength, (Smooth(n, 1 / n, n),))
+
+
 @dataclass(frozen=True)
 class Recursion:
-    """outputs = f(*inputs) over a series in time order."""
+    """outputs = f(*inputs) over a series in time order; `program`: the same in segments, if it is there."""
 
     outputs: tuple[str, ...]
     inputs: tuple[str, ...]
     f: Callable[..., np.ndarray | tuple[np.ndarray, ...]]
+    program: Program | None = None
 
 
 def with_recursions(df: DataFrame, recursions: Sequence[Recursion], keys: Sequence[str] = ("symbol",), time: Sequence[str] = ("bar_start",)) -> DataFrame:
     """`df` and the outputs, each series computed in the order of `time`."""
+    dealt = [r for r in recursions if r.program is not None] if len(time) == 1 else []
+    if dealt:
+        df = with_programs(df, [(r.outputs, r.inputs, r.program) for r in dealt], keys, time[0])
+    recursions = [r for r in recursions if r not in dealt]
     if not recursions:
         return df
     names = [o for r in recursions for o in r.outputs]

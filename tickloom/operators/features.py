@@ -35,7 +35,7 @@ def sign(c: Column) -> Column:
 
 def raw_features(bars: DataFrame, time: str = "bar_start") -> DataFrame:
     """`bars` with the 37 features, null where they are not defined."""
-    recursions = [R.Recursion((f"_ewm{n}",), ("close",), partial(R.ewm, span=n)) for n in (20, 50)]
+    recursions = [R.Recursion((f"_ewm{n}",), ("close",), partial(R.ewm, span=n), R.ewm_program("close", n)) for n in (20, 50)]
     out = R.with_recursions(with_indicators(bars, BASE), recursions)
     by, c, v, lag = W.ordered(), F.col("close"), F.col("volume"), lambda x, n: F.lag(x, n).over(W.ordered())
     high, low = F.col("high"), F.col("low")

@@ -62,12 +62,13 @@ def _source(cfg: Mapping) -> str:
 
 
 def _rsi(plan: Plan, cfg: Mapping) -> None:
-    plan.recursions.append(R.Recursion(("rsi",), (_source(cfg),), partial(R.rsi, n=_period(cfg))))
+    plan.recursions.append(R.Recursion(("rsi",), (_source(cfg),), partial(R.rsi, n=_period(cfg)), R.rsi_program(_source(cfg), _period(cfg))))
 
 
 def _macd(plan: Plan, cfg: Mapping) -> None:
     fast, slow, signal = (_period(cfg, n, _key(cfg, k, f"{k}_period")) for k, n in (("fast", 12), ("slow", 26), ("signal", 9)))
-    plan.recursions.append(R.Recursion(("macd", "macd_signal", "macd_histogram"), (_source(cfg),), partial(R.macd, fast=min(fast, slow), slow=slow, signal=signal)))
+    own = {"fast": min(fast, slow), "slow": slow, "signal": signal}
+    plan.recursions.append(R.Recursion(("macd", "macd_signal", "macd_histogram"), (_source(cfg),), partial(R.macd, **own), R.macd_program(_source(cfg), **own)))
 
 
 def _bollinger(plan: Plan, cfg: Mapping) -> None:
@@ -83,7 +84,7 @@ def _ema(plan: Plan, cfg: Mapping) -> None:
     """{fast_period, slow_period}: ema_fast and ema_slow, the slow one from `period` if it is missing (21 if that is the
     default); or {periods: [...]}: one for each; or {period}. `fast` and `slow` are other names of the first two."""
     source, period = _source(cfg), _period(cfg)
-    add = lambda name, n: plan.recursions.append(R.Recursion((name,), (source,), partial(R.ema, n=n)))
+    add = lambda name, n: plan.recursions.append(R.Recursion((name,), (source,), partial(R.ema, n=n), R.ema_program(source, n)))
     fast, slow = _key(cfg, "fast_period", "fast"), _key(cfg, "slow_period", "slow")
     if cfg.get(fast) or cfg.get(slow):
         add("ema_fast", _period(cfg, 9, fast))
@@ -101,11 +102,11 @@ def _sma(plan: Plan, cfg: Mapping) -> None:
 
 
 def _atr(plan: Plan, cfg: Mapping) -> None:
-    plan.recursions.append(R.Recursion(("atr",), ("high", "low", "close"), partial(R.atr, n=_period(cfg))))
+    plan.recursions.append(R.Recursion(("atr",), ("high", "low", "close"), partial(R.atr, n=_period(cfg)), R.atr_program(_period(cfg))))
 
 
 def _adx(plan: Plan, cfg: Mapping) -> None:
-    plan.recursions.append(R.Recursion(("adx",), ("high", "low", "close"), partial(R.adx, n=_period(cfg))))
+    plan.recursions.append(R.Recursion(("adx",), ("high", "low", "close"), partial(R.adx, n=_period(cfg)), R.adx_program(_period(cfg))))
 
 
 def _stochastic(plan: Plan, cfg: Mapping) -> None:
@@ -160,7 +161,7 @@ def plan_indicators(configs: Mapping[str, Any]) -> Plan:
     have = plan.columns()
     for name, n in (("ema_fast", 9), ("ema_slow", 21)):
         if name not in have:
-            plan.recursions.append(R.Recursion((name,), ("close",), partial(R.ema, n=n)))
+            plan.recursions.append(R.Recursion((name,), ("close",), partial(R.ema, n=n), R.ema_program("close", n)))
     volume = F.col("volume")
     plan.stages[0] |= {"volume_sma": W.mean(volume, 20), "price_momentum_24h": W.change(F.col("close"), 24)}
     plan.stages[1]["volume_ratio"] = F.try_divide(volume, F.col("volume_sma"))

@@ -216,7 +216,7 @@ query("signal_threshold", _FUSION + "SELECT strategy, symbol, ts, round(score, 6
 p AS (SELECT s.symbol, s.bar_start, s.n, (s.close - e.e) / nullif(e.e, 0) AS dev, e.e FROM s JOIN e USING (symbol, n))
 SELECT symbol, bar_start, CASE WHEN n + 1 < 50 OR e <= 0 OR dev >= 0 THEN 1.0 WHEN dev > -0.02 THEN 0.6 ELSE 0.0 END::DOUBLE AS long, CASE WHEN n + 1 < 50 OR e <= 0 OR dev <= 0 THEN 1.0 WHEN dev < 0.02 THEN 0.6 ELSE 0.0 END::DOUBLE AS short FROM p""")
 def htf_trend_multiplier(t: Tables) -> DataFrame:
-    rows = R.with_recursions(t.bars("1h"), [R.Recursion(("slow",), ("close",), partial(R.ewm, span=50))])
+    rows = R.with_recursions(t.bars("1h"), [R.Recursion(("slow",), ("close",), partial(R.ewm, span=50), R.ewm_program("close", 50))])
     n = F.row_number().over(W.ordered())
     both = [S.trend_multiplier(F.col("close"), F.col("slow"), F.lit(x), n).alias(name) for name, x in (("long", 1), ("short", -1))]
     return rows.select(*KEY, *both)
@@ -228,7 +228,7 @@ g AS (SELECT s.symbol, s.bar_start, s.n, CASE WHEN n + 1 < 100 THEN 'range' WHEN
 
 
 def _regimes(t: Tables) -> DataFrame:
-    rows = R.with_recursions(t.bars("1h"), [R.Recursion((f"e{n}",), ("close",), partial(R.ewm, span=n)) for n in (20, 50)])
+    rows = R.with_recursions(t.bars("1h"), [R.Recursion((f"e{n}",), ("close",), partial(R.ewm, span=n), R.ewm_program("close", n)) for n in (20, 50)])
     n = F.row_number().over(W.ordered())
     return rows.select(*KEY, (n - 1).alias("n"), S.regime(F.col("close"), F.col("e20"), F.col("e50"), n).alias("regime"))
 
