@@ -96,3 +96,22 @@ def test_one_series_is_many_tasks(spark):
     assert all(r.parts == 1 for r in weeks) and len(weeks) >= 8
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "symbol#" in plan and plan.count("FlatMapCoGroupsInArrow") == 2
+
+
+def test_asof_by_day_is_asof(spark):
+    """Against a search in each series: days without rows on either side, equal times, nulls in values, times and keys."""
+    from tickloom.operators.signals import asof
+
+    rng = random.Random(6)
+    at = lambda: T + dt.timedelta(minutes=15 * rng.randint(0, 96 * 20))
+    times = {s: sorted({at() for _ in range(25)}) for s in ("a", "b", None)}
+    right = [(s, t, None if rng.random() < 0.2 else rng.random()) for s, own in times.items() for t in own]
+    left = [(rng.choice(("a", "b", "c", None)), rng.choice((at(), at(), T)), i) for i in range(300)] + [("a", times["a"][3], 900), ("a", None, 901)]
+    rows = spark.createDataFrame(left, "symbol string, ts timestamp_ntz, n int").withColumn("_day", F.lit("mine"))
+    other = spark.createDataFrame([*right, ("a", None, 9.0)], "symbol string, at timestamp_ntz, v double")
+    got = {r.n: r.v for r in asof(rows, other, ["v"], right_time="at").collect()}
+    want = {}
+    for s, t, n in left:
+        before = [(u, v) for x, u, v in right if x == s and t is not None and u <= t]
+        want[n] = max(before, key=lambda x: x[0])[1] if before else None
+    assert got == want and asof(rows.limit(0), other, ["v"], right_time="at").count() == 0

@@ -6,9 +6,11 @@ import hashlib
 import json
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from ..functions import rolling as W
 from ..functions.store import stored
@@ -143,13 +145,22 @@ def primary_interval(intervals: Sequence[str]) -> str:
 def asof(left: DataFrame, right: DataFrame, values: Sequence[str], keys: Sequence[str] = ("symbol",), left_time: str = "ts", right_time: str = "ts") -> DataFrame:
     """`left` with the values of the last row of `right` at or before its time.
 
-    Both sides go into one stream in time order and values are carried forward: one shuffle and one sort, no row is
-    compared with another. A right row whose values are null counts as a row.
+    Both sides go into one stream in time order, dealt out by keys and day, and values are carried forward: inside a day by
+    a window, and from the days before by the last row of each day, of which there is a row for each. So no row is compared
+    with another, and no task holds a series. A right row whose values are null counts as a row, one without a time doesn't.
     """
     pack = F.struct(*[F.col(v) for v in values])
     kept = [c for c in left.columns if c not in keys]
     rows = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1).alias("_k"), F.struct(*kept).alias("_l"), F.lit(None).cast(right.select(pack.alias("x")).schema[0].dataType).alias("_r"))
-    other = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast(left.select(F.struct(*kept).alias("x")).schema[0].dataType).alias("_l"), pack.alias("_r"))
-    order = Window.partitionBy(*keys).orderBy("_t", "_k")
-    filled = rows.unionByName(other).withColumn("_r", F.last("_r", ignorenulls=True).over(W.upto(order))).where("_k = 1")
+    other = right.where(F.col(right_time).isNotNull()).select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast(left.select(F.struct(*kept).alias("x")).schema[0].dataType).alias("_l"), pack.alias("_r"))
+    day = [*keys, "_day"]
+    both = rows.unionByName(other)
+    timed = isinstance(both.schema["_t"].dataType, (TimestampType, TimestampNTZType, DateType))
+    both = both.withColumn("_day", F.to_date("_t") if timed else F.lit(0))  # times of another kind are one day
+    filled = both.withColumn("_r", F.last("_r", ignorenulls=True).over(W.upto(Window.partitionBy(*day).orderBy("_t", "_k")))).where("_k = 1")
+    days = both.groupBy(*day).agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_t"))).alias("_v"))
+    earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*[F.col(c).alias(f"_d{i}") for i, c in enumerate(day)], F.last("_v", ignorenulls=True).over(earlier).alias("_before"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_d{i}")) for i, c in enumerate(day)])
+    filled = filled.join(days, same).withColumn("_r", F.coalesce("_r", "_before"))
     return filled.select(*keys, "_l.*", *[F.col(f"_r.{v}").alias(v) for v in values])
