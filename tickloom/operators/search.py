@@ -6,6 +6,7 @@ job however large its population.
 
 from __future__ import annotations
 
+import itertools
 import json
 import random
 from collections.abc import Callable, Generator, Mapping, Sequence
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.store import stored
 from ..schema import Strategy
-from .conditions import ENTRY_POOL, EXIT_POOL, names_in
+from .conditions import ENTRY_POOL, EXIT_POOL, names_in, sanitise
 from .indicators import plan_indicators
 from .metrics import average_rank, backtest_metrics, fitness_single, pearson
 from .signals import signal_matrix
@@ -88,7 +89,7 @@ def deployable(sharpe: float = 0.5, win_rate: float = 45.0) -> Column:
 
 @dataclass(frozen=True)
 class Gene:
-    """A number within bounds, or a choice."""
+    """A number within bounds, at steps from the lower one (0: any number), or a choice."""
 
     name: str
     value: float | str
@@ -96,12 +97,24 @@ class Gene:
     high: float = 0.0
     choices: tuple[str, ...] = ()
     whole: bool = False
+    step: float = 0.0
+
+    def placed(self, x: float) -> Gene:
+        """With the value next to x that it may have."""
+        x = min(self.high, max(self.low, x))
+        if self.step:
+            x = min(self.high, self.low + round((x - self.low) / self.step) * self.step)
+        return replace(self, value=round(x) if self.whole else round(x, 10))
 
     def mutate(self, rng: random.Random, scale: float = 0.2) -> Gene:
+        """Another choice, the other of two steps, or a number near by, one step away at least."""
         if self.choices:
             return replace(self, value=rng.choice(self.choices))
-        x = min(self.high, max(self.low, float(self.value) + rng.gauss(0, scale * (self.high - self.low))))
-        return replace(self, value=round(x) if self.whole else x)
+        if self.step and self.high - self.low <= self.step:
+            return self.placed(self.low if float(self.value) > self.low else self.high)
+        found = self.placed(float(self.value) + rng.gauss(0, scale * (self.high - self.low)))
+        ways = [d for d in (-self.step, self.step) if self.low <= float(self.value) + d <= self.high] or [0.0]
+        return found if not self.step or found.value != self.value else self.placed(float(self.value) + rng.choice(ways))
 
 
 @dataclass(frozen=True)
@@ -113,57 +126,89 @@ class Chromosome:
     template: Strategy = field(default_factory=lambda: Strategy("candidate"))
 
     def decode(self, name: str) -> Strategy:
-        """Genes named indicator.parameter fill the indicators' configuration; others are passed over."""
+        """The strategy of these genes: indicator.parameter fills an indicator's configuration, indicator.on switches it off at 0,
+        model.weight and model.threshold, mode and timeframes are the strategy's own. An indicator is left over even if all
+        are off. Conditions that need one that is off go; a side that loses all gets one on a default average."""
         indicators: dict[str, dict] = {}
+        off, own = set(), {}
         for g in self.genes:
             kind, dot, parameter = g.name.partition(".")
-            if dot:
+            if kind == "model" or not dot:
+                own[g.name] = g.value
+            elif parameter == "on":
+                indicators.setdefault(kind, {})
+                off |= {kind} if not g.value else set()
+            else:
                 indicators.setdefault(kind, {})[parameter] = g.value
-        slots = {"entry": {}, "exit": {}}
+        spare = next((k for k in KEPT if k in indicators), next(iter(indicators), None))
+        on = {k: c for k, c in indicators.items() if k not in off} or ({spare: indicators[spare]} if spare else {})
+        known = {"close", "volume", "open", "high", "low", *plan_indicators(on).columns()} if off else set()
+        slots: dict[str, dict] = {"entry": {}, "exit": {}}
         for slot, texts in self.conditions:
             kind, _, where = slot.partition(".")
-            slots[kind][where] = texts
-        return replace(self.template, name=name, indicators=indicators, entry=slots["entry"], exit=slots["exit"])
+            default = "close > ema_fast" if where == "long" else "close < ema_fast"
+            slots[kind][where] = tuple(sanitise(texts, known, default)) if texts and off else texts
+        weight = own.get("model.weight")
+        given = {"mode": own.get("mode"), "timeframes": tuple(str(own["timeframes"]).split(",")) if "timeframes" in own else None, "ml_weight": weight, "ml_threshold": own.get("model.threshold")}
+        made = replace(self.template, name=name, indicators=on, entry=slots["entry"], exit=slots["exit"])
+        return replace(made, **{k: v for k, v in given.items() if v is not None})
 
     def size(self) -> tuple[int, int, int]:
-        """(conditions, indicators, parameters)."""
-        return sum(len(t) for _, t in self.conditions), len({g.name.split(".")[0] for g in self.genes if "." in g.name}), len(self.genes)
+        """(conditions, indicators that are on, numbers)."""
+        off = {g.name.partition(".")[0] for g in self.genes if g.name.endswith(".on") and not g.value}
+        kinds = {g.name.partition(".")[0] for g in self.genes if "." in g.name} - {"model"} - off
+        return sum(len(t) for _, t in self.conditions), len(kinds), sum(1 for g in self.genes if not g.choices and not g.name.endswith(".on"))
 
 
-# The parameters of indicators that a search varies: lowest, highest, whole numbers or not.
+# The numbers that a search varies: lowest, highest, step; and the choices.
 GENES = {
-    "rsi.period": (5, 28, True), "macd.fast": (6, 20, True), "macd.slow": (18, 40, True), "macd.signal": (5, 15, True),
-    "bollinger.period": (10, 40, True), "bollinger.stddev": (1.0, 3.5, False), "adx.period": (7, 28, True), "ema.period": (5, 50, True),
-    "atr.period": (7, 28, True), "stoch.k_period": (5, 21, True), "stoch.d_period": (3, 9, True), "cci.period": (7, 28, True),
-    "sma.period": (10, 100, True),
+    "rsi.period": (5, 28, 1), "macd.fast": (6, 20, 2), "macd.slow": (18, 40, 2), "macd.signal": (5, 15, 1),
+    "bollinger.period": (10, 40, 2), "bollinger.stddev": (1.0, 3.5, 0.25), "adx.period": (7, 28, 1), "ema.period": (5, 50, 2),
+    "atr.period": (7, 28, 1), "stoch.k_period": (5, 21, 1), "stoch.d_period": (3, 9, 1), "cci.period": (7, 28, 1),
+    "sma.period": (10, 100, 2),
 }
+MODEL = {"model.weight": (0.0, 0.5, 0.05), "model.threshold": (0.5, 0.85, 0.05)}
+MODES = ("trend", "range", "scalp", "momentum")
+TIMEFRAMES = ("1m", "5m", "15m", "1h", "4h")
+# The chance of an indicator at the start.
+CHANCES = {"rsi": 0.6, "macd": 0.6, "bollinger": 0.5, "adx": 0.4, "ema": 0.4, "atr": 0.3, "stoch": 0.4, "cci": 0.3, "obv": 0.3, "sma": 0.3}
 #: Values of parameters that a strategy leaves out.
 USUAL = {"rsi.period": 14, "macd.fast": 12, "macd.slow": 26, "macd.signal": 9, "bollinger.period": 20, "bollinger.stddev": 2.0, "adx.period": 14, "ema.period": 9, "atr.period": 14, "stoch.k_period": 14, "stoch.d_period": 3, "cci.period": 14, "sma.period": 50}
-#: Indicators without a parameter.
-BARE = ("obv",)
+#: Indicators without a parameter, and those of which the first that there is stays on.
+BARE, KEPT = ("obv",), ("rsi", "macd", "ema")
 POOLS = {f"{kind}.{side}": pool[side] for kind, pool in (("entry", ENTRY_POOL), ("exit", EXIT_POOL)) for side in ("long", "short")}
 
 
-def encode(strategy: Strategy) -> Chromosome:
-    """The genes of a strategy: `decode` gives back its indicators' varied parameters and its conditions."""
-    genes = []
-    for name, (low, high, whole) in GENES.items():
-        kind, _, parameter = name.partition(".")
-        if kind in strategy.indicators:
-            value = strategy.indicators[kind].get(parameter, USUAL[name])
-            genes.append(Gene(name, value, low, high, whole=whole))
-    bare = [Gene(f"{k}.on", 1, 1, 1, whole=True) for k in BARE if k in strategy.indicators]
-    slots = tuple((f"{kind}.{side}", tuple(own.get(side, ()))) for kind, own in (("entry", strategy.entry), ("exit", strategy.exit)) for side in ("long", "short"))
-    return Chromosome((*genes, *bare), slots, strategy)
+def gene(name: str, value: float) -> Gene:
+    """A number of GENES or MODEL with its bounds and step."""
+    low, high, step = (GENES | MODEL)[name]
+    return Gene(name, value, low, high, whole=isinstance(step, int), step=step)
+
 
+def _own_genes(weight: float, threshold: float, mode: str, timeframes: Sequence[str]) -> tuple[Gene, ...]:
+    pairs = tuple(",".join(p) for p in itertools.combinations(TIMEFRAMES, 2))
+    return gene("model.weight", weight), gene("model.threshold", threshold), Gene("mode", mode, choices=MODES), Gene("timeframes", ",".join(timeframes), choices=pairs)
 
-def random_chromosome(rng: random.Random, template: Strategy | None = None, share: float = 0.5, conditions: tuple[int, int] = (1, 3)) -> Chromosome:
-    """Indicators with a chance of `share` each (one at least), parameters within their bounds, and conditions of the
-    published predicates whose columns are there; a side without any gets one on the close and a default average."""
-    kinds = [*dict.fromkeys(n.partition(".")[0] for n in GENES), *BARE]
-    on = [k for k in kinds if rng.random() < share] or [rng.choice(kinds)]
-    genes = tuple(Gene(n, rng.randint(low, high) if whole else rng.uniform(low, high), low, high, whole=whole) for n, (low, high, whole) in GENES.items() if n.partition(".")[0] in on)
-    genes += tuple(Gene(f"{k}.on", 1, 1, 1, whole=True) for k in BARE if k in on)
+
+def encode(strategy: Strategy) -> Chromosome:
+    """The genes of a strategy: `decode` gives back its indicators' varied parameters and its conditions, its mode, its timeframes and
+    its model's weight (0 if it has none) and threshold (0.6)."""
+    genes = [gene(name, strategy.indicators[name.partition(".")[0]].get(name.partition(".")[2], USUAL[name])) for name in GENES if name.partition(".")[0] in strategy.indicators]
+    on = [Gene(f"{k}.on", 1, 0, 1, whole=True, step=1) for k in (*dict.fromkeys(n.partition(".")[0] for n in GENES), *BARE) if k in strategy.indicators]
+    slots = tuple((f"{kind}.{side}", tuple(own.get(side, ()))) for kind, own in (("entry", strategy.entry), ("exit", strategy.exit)) for side in ("long", "short"))
+    own = _own_genes(strategy.ml_weight or 0.0, 0.6 if strategy.ml_threshold is None else strategy.ml_threshold, strategy.mode, strategy.timeframes)
+    return Chromosome((*genes, *on, *own), slots, strategy)
+
+
+def random_chromosome(rng: random.Random, template: Strategy | None = None, share: float | None = None, conditions: tuple[int, int] = (1, 3)) -> Chromosome:
+    """Indicators with the published chances (or `share` each; one at least), parameters at steps within their bounds, a model
+    with a chance of 0.3, one or two timeframes, and conditions of the published predicates whose columns are there; a side
+    without any gets one on the close and a default average."""
+    on = [k for k, chance in CHANCES.items() if rng.random() < (chance if share is None else share)] or [rng.choice([*CHANCES])]
+    genes = tuple(gene(n, low).placed(rng.uniform(low, high)) for n, (low, high, _) in GENES.items() if n.partition(".")[0] in on)
+    genes += tuple(Gene(f"{k}.on", 1, 0, 1, whole=True, step=1) for k in on)
+    frames = sorted(rng.sample(TIMEFRAMES, rng.choice((1, 2))), key=TIMEFRAMES.index)
+    genes += _own_genes(rng.choice((0.1, 0.2, 0.3)) if rng.random() < 0.3 else 0.0, gene("model.threshold", 0.5).placed(rng.uniform(0.55, 0.75)).value, rng.choice(MODES), frames)
     found = Chromosome(genes, (), template or Strategy("candidate"))
     known = {"close", "volume", *plan_indicators(found.decode("x").indicators).columns()}
     slots = []
@@ -246,22 +291,37 @@ class SearchParams:
 
 
 def cross(a: Chromosome, b: Chromosome, rng: random.Random, pools: Mapping[str, Sequence[str]]) -> Chromosome:
-    """Each gene from either parent; conditions of a slot from the union of both, as many as one of them has."""
-    genes = tuple(rng.choice(pair) for pair in zip(a.genes, b.genes, strict=False))
+    """Each gene, by its name, from either parent; an indicator that one of them lacks comes along whole, or not at all.
+    Conditions of a slot from the union of both, as many as one of them has."""
+    one, two = ({g.name: g for g in p.genes} for p in (a, b))
+    kind = lambda name: name.partition(".")[0]
+    common = {kind(n) for n in one} & {kind(n) for n in two}
+    taken = {k: rng.random() < 0.5 for k in dict.fromkeys(map(kind, (*one, *two))) if k not in common}
+    genes = []
+    for name in dict.fromkeys((*one, *two)):
+        if kind(name) in common:
+            genes.append(rng.choice([g for g in (one.get(name), two.get(name)) if g]))
+        elif taken[kind(name)]:
+            genes.append(one.get(name) or two[name])
+    genes = genes or [*a.genes]
     other, slots = dict(b.conditions), []
     for slot, texts in a.conditions:
         both = [*dict.fromkeys([*texts, *other.get(slot, ())])]
         n = max(1, len(rng.choice([texts, other.get(slot, texts)])))
         slots.append((slot, tuple(rng.sample(both, min(n, len(both))))))
-    return replace(a, genes=genes, conditions=tuple(slots))
+    return replace(a, genes=tuple(genes), conditions=tuple(slots))
 
 
 def mutate(c: Chromosome, rng: random.Random, rate: float, pools: Mapping[str, Sequence[str]]) -> Chromosome:
     genes = tuple(g.mutate(rng) if rng.random() < rate else g for g in c.genes)
     slots = []
     for slot, texts in c.conditions:
-        if texts and pools.get(slot) and rng.random() < rate:
-            texts = tuple(dict.fromkeys((*texts[1:], rng.choice(pools[slot]))))
+        if pools.get(slot) and rng.random() < rate:
+            if rng.random() < 0.5 and len(texts) > 1:  # one condition less, or one more
+                gone = rng.randrange(len(texts))
+                texts = (*texts[:gone], *texts[gone + 1 :])
+            else:
+                texts = tuple(dict.fromkeys((*texts, rng.choice(pools[slot]))))
         slots.append((slot, texts))
     return replace(c, genes=genes, conditions=tuple(slots))
 

@@ -83,6 +83,7 @@ class Strategy:
     enabled: bool = True
     mode: str = "indicator"
     ml_weight: float | None = None
+    ml_threshold: float | None = None
     stop_pct: float | None = None
     trailing_pct: float | None = None
     max_hold_hours: float | None = None
