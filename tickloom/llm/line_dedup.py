@@ -30,6 +30,8 @@ from .runtime import payload, quoted, release, shared_path, shuffle_partitions,
 STRIP = bytes([0x20, *range(0x09, 0x0E)])
 #: Keys of one filter shard (2.7 MB), and postings that meet it in one task.
 SHARD_KEYS, PROBED = 1 << 20, 1 << 21
+#: Postings of one part of the exact table, and the least number of parts: so many tasks may share a common line.
+EXACT, LEAST_PARTS = 1 << 17, 16
 #: Text bytes whose lines are cut at once.
 CHUNK = 1 << 20
 KEY = ["k1", "k2"]
@@ -173,10 +175,8 @@ def find_drops(rows: DataFrame, hot: DataFrame, filters: DataFrame, n_shards: in
     row in the table goes to those parts that hold one of them.
     """
     n = rows.count()
-    parts = max(1, math.ceil(n / PROBED))
-    maybe = probe(rows, filters, n_shards, n).withColumn("part", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(parts)))
-    if parts > 1:
-        maybe = stored(maybe)
+    parts = max(LEAST_PARTS, math.ceil(n / EXACT))
+    maybe = stored(probe(rows, filters, n_shards, n).withColumn("part", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(parts))))
     return confirmed(maybe, hot).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select(*KEY, "doc_id", "tie")
 
 
