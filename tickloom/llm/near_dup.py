@@ -142,7 +142,8 @@ def components(links: DataFrame) -> DataFrame:
     the logarithm of the longest path, and no step sends a row to the driver.
     """
     pair = lambda x, y: F.struct(F.col(f"{x}a").alias("a"), F.col(f"{x}b").alias("b"))
-    edges = stored(links.select(pair("x", 0).alias("u"), pair("y", 0).alias("v")).where("u != v").distinct())
+    n = links.count()
+    edges = stored(links.select(pair("x", 0).alias("u"), pair("y", 0).alias("v")).where("u != v").distinct(), rows=n)
     before = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -153,7 +154,7 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small)
+        edges = stored(small, rows=2 * n)  # no more edges than nodes, but for the first rounds
         # It is over when every node has one least neighbour, which has none below it: the edges don't change then.
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -222,7 +223,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     sets = stored(shingle_sets(texts).dropDuplicates(["a", "b"]))
     with_x = pairs.join(sets.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("set").alias("xset")), ["xa", "xb"])
     with_both = with_x.join(sets.select(F.col("a").alias("ya"), F.col("b").alias("yb"), F.col("set").alias("yset")), ["ya", "yb"])
-    links = stored(verify(with_both, similarity))
+    links = stored(verify(with_both, similarity), rows=pairs.count())
     classes = components(links)
 
     # Buckets with several components: all pairs across them, but for those in the bucket's largest component. A bucket

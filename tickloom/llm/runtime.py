@@ -38,12 +38,31 @@ def shared_dir(spark: SparkSession) -> str:
 _TABLES: list[str] = []
 
 
-def stored(df: DataFrame, fmt: str = "parquet", **options) -> DataFrame:
-    """Cut the lineage: write `df` as a table in the shared folder and read it back. It stays until it is released."""
+#: Whether Spark deletes a write's shuffle files when it is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a small table in one file.
+FILE_ROWS, LEAST_FILES = 1 << 18, 6
+
+
+def stored(df: DataFrame, fmt: str = "parquet", rows: int | None = None, **options) -> DataFrame:
+    """Cut the lineage: write `df` as a table in the shared folder and read it back. It stays until it is released; the shuffle
+    files of its making, which nothing needs any more, go at once.
+
+    `rows`: about how many rows it has, where that is known: then it has a file for each FILE_ROWS, LEAST_FILES at least,
+    instead of one for each of the session's shuffle partitions.
+    """
     spark, path = df.sparkSession, shared_path(df.sparkSession)
     _TABLES.append(path)
-    df.write.format(fmt).options(**options).save(path)
-    return spark.read.schema(df.schema).format(fmt).load(path)
+    schema = df.schema
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, math.ceil(rows / FILE_ROWS)))
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.format(fmt).options(**options).save(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
 def tables() -> list[str]:
