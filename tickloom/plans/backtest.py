@@ -332,7 +332,11 @@ g AS (SELECT *, coalesce(first_value(reason IGNORE NULLS) OVER (PARTITION BY str
 
 
 def _breaker(t: Tables) -> DataFrame:
-    rows = K.account_curve(priced(t), BY, ORDER, 10_000_000)
+    from ..functions.store import stored
+
+    # Both are read twice: trades by days and rows, the curve for the first trip and for what follows it.
+    own = stored(priced(t).select(*BY, *ORDER, "pnl"))
+    rows = stored(K.account_curve(own, BY, ORDER, 10_000_000).drop("equity"))
     return K.breaker(rows, RiskParams(max_daily_drawdown=4, max_weekly_drawdown=6, max_daily_loss=500_000, max_consecutive_losses=12), BY, ORDER)
 
 
