@@ -87,6 +87,28 @@ def test_breaker(spark):
     assert [r.tripped for r in got] == [False, True, True] and got[2].trip_reason == "drawdown"
 
 
+def dealt(spark, n=400, seed=3):
+    """Trades of three accounts, one of them without a name and one that loses all; with equal times and a day without loss."""
+    rng = random.Random(seed)
+    rows = [(rng.choice(["a", "b", None]), DAY + dt.timedelta(hours=rng.randint(0, 24 * 20)), i, rng.uniform(-130, 115)) for i in range(n)]
+    rows += [("c", DAY + dt.timedelta(hours=7 * i), n + i, x) for i, x in enumerate([-900.0, -200.0, 50.0, 150.0, 120.0, -30.0, -60.0, 10.0])]
+    return spark.createDataFrame([(*x, DAY) for x in rows], "account string, closed_at timestamp_ntz, seq long, pnl double, opened_at timestamp_ntz")
+
+
+def joins(df, kind="Join"):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(kind)
+
+
+def test_daily_metrics_read_trades_once(spark):
+    """As all metrics over the daily equity, from one reading of the trades."""
+    rows = dealt(spark)
+    names = ["account", "total_trades", "win_rate", "final", "total_return", "max_drawdown", "sharpe"]
+    got = M.daily_metrics(rows, ("account",), 1000.0)
+    want = M.backtest_metrics(rows, M.daily_equity(rows, ("account",), 1000.0), ("account",))
+    assert sorted(got.select(names).collect()) == sorted(want.select(names).collect())
+    assert joins(got) == 0 and joins(want) > 0
+
+
 def test_impact(spark):
     rows = spark.createDataFrame([(x,) for x in (0.8, 0.6, 0.4, 0.2, 0.05)], "x double")
     assert [r.i for r in rows.select(T.impact(F.col("x")).alias("i")).collect()] == [5, 4, 3, 2, 1]

@@ -84,6 +84,25 @@ def daily_equity(trades: DataFrame, by: Sequence[str], balance: float) -> DataFr
     return days.select(*by, "ts", (total + F.lit(balance)).cast("double").alias("equity"))
 
 
+def daily_metrics(trades: DataFrame, by: Sequence[str], balance: float) -> DataFrame:
+    """(by, total_trades, win_rate, final, total_return, max_drawdown, sharpe): what `backtest_metrics` gives over
+    `daily_equity`, but trades are read once: all comes from a row for each day."""
+    day, pnl = F.date_trunc("day", "closed_at").cast("timestamp_ntz").alias("ts"), F.col("pnl")
+    days = trades.groupBy(*by, day).agg(F.sum(F.round("pnl", 2).cast("decimal(28,2)")).alias("_pnl"), F.count("*").alias("_n"), F.count_if(pnl > 0).alias("_won"))
+    along = Window.partitionBy(*by).orderBy("ts")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumn("equity", (F.sum("_pnl").over(upto) + F.lit(balance)).cast("double"))
+    days = days.withColumns({"_peak": F.max("equity").over(upto), "_ret": F.try_divide(F.col("equity"), F.lag("equity").over(along)) - 1})
+    below = F.coalesce(F.try_divide(F.col("_peak") - F.col("equity"), F.col("_peak")) * 100, F.lit(0.0))
+    ratio = F.try_divide(F.avg("_ret"), F.nullif(F.stddev_samp("_ret"), F.lit(0.0))) * math.sqrt(365)
+    initial, final = F.min_by("equity", "ts"), F.max_by("equity", "ts")
+    found = days.groupBy(*by).agg(
+        F.sum("_n").alias("total_trades"), F.coalesce(F.try_divide(F.sum("_won") * 100.0, F.sum("_n")), F.lit(0.0)).alias("win_rate"), final.alias("final"),
+        F.coalesce(F.try_divide(final - initial, initial) * 100, F.lit(0.0)).alias("total_return"), F.max(below).alias("max_drawdown"), F.coalesce(ratio, F.lit(0.0)).alias("sharpe"),
+    )
+    return found.dropna(subset=[*by])  # as joins by these columns do
+
+
 def drawdown_curve(equity: DataFrame, by: Sequence[str] = (), order: Sequence[str] = ("ts",)) -> DataFrame:
     """`equity` with peak and drawdown in per cent of the peak so far."""
     peaks = running_total(equity, F.col("equity"), "peak", by, order, how="max")

@@ -258,8 +258,7 @@ q AS (SELECT q3.*, total_trades, win_rate FROM q3 JOIN (SELECT strategy, count(*
 
 
 def _strategy_metrics(t: Tables) -> DataFrame:
-    closed = priced(t)
-    return M.backtest_metrics(closed, M.daily_equity(closed, ("strategy",), 10_000_000), ("strategy",))
+    return M.daily_metrics(priced(t), ("strategy",), 10_000_000)
 
 
 query("strategy_metrics", _RULES + "SELECT strategy, round(max_drawdown, 4) AS max_drawdown, round(sharpe, 4) AS sharpe, total_trades, round(win_rate, 4) AS win_rate FROM q")(

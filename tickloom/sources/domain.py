@@ -32,14 +32,15 @@ class Tables:
     def trades(self) -> DataFrame:
         """Closed trades: (trade_id, line, part_id, strategy, symbol, side, entry_price, exit_price, quantity, opened_at,
         closed_at)."""
-        joined = self.lineitem.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(self.part, F.col("l_partkey") == F.col("p_partkey"))
-        return joined.select(
-            F.col("l_orderkey").alias("trade_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part_id"),
-            F.concat("l_returnflag", "l_linestatus").alias("strategy"), F.col("p_brand").alias("symbol"),
-            F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(-1).alias("side"),
-            F.col("p_retailprice").alias("entry_price"), F.try_divide("l_extendedprice", "l_quantity").alias("exit_price"),
-            F.col("l_quantity").alias("quantity"),
-            F.least("o_orderdate", "l_shipdate").alias("opened_at"), F.greatest("o_orderdate", "l_shipdate").alias("closed_at"),
+        # What depends on a line alone is made before the joins, so that their shuffles carry little of it.
+        lines = self.lineitem.select(
+            "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_shipdate", F.concat("l_returnflag", "l_linestatus").alias("strategy"),
+            F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(-1).alias("side"), F.try_divide("l_extendedprice", "l_quantity").alias("exit_price"),
+        )
+        dated = lines.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumns({"opened_at": F.least("o_orderdate", "l_shipdate"), "closed_at": F.greatest("o_orderdate", "l_shipdate")})
+        return dated.join(self.part, F.col("l_partkey") == F.col("p_partkey")).select(
+            F.col("l_orderkey").alias("trade_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part_id"), "strategy",
+            F.col("p_brand").alias("symbol"), "side", F.col("p_retailprice").alias("entry_price"), "exit_price", F.col("l_quantity").alias("quantity"), "opened_at", "closed_at",
         )
 
     @property
