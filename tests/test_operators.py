@@ -109,6 +109,16 @@ def test_daily_metrics_read_trades_once(spark):
     assert joins(got) == 0 and joins(want) > 0
 
 
+@pytest.mark.parametrize(("balance", "limits"), [(5000.0, (4, 6, 420, 6)), (1000.0, (1e9, 1e9, 250, 100)), (1000.0, (1e9, 1e9, 1e9, 4)), (-20.0, (30, 5, 1e9, 100)), (-20.0, (7, 1e9, 1e9, 100)), (5000.0, (1e9, 1e9, 1e9, 100))])
+def test_first_trips(spark, balance, limits):
+    """As the breaker over the whole curve tells."""
+    p, by, order = RiskParams(max_daily_drawdown=limits[0], max_weekly_drawdown=limits[1], max_daily_loss=limits[2], max_consecutive_losses=limits[3]), ("account",), ("closed_at", "seq")
+    rows = dealt(spark, 250)
+    whole = K.breaker(K.account_curve(rows, by, order, balance), p, by, order)
+    want = whole.groupBy("account").agg(F.count_if("tripped").alias("blocked"), F.max("trip_reason").alias("reason"), F.min(F.when(F.col("tripped"), F.col("closed_at"))).alias("tripped_at"))
+    assert sorted(map(repr, K.first_trips(rows, p, by, order, balance).collect())) == sorted(map(repr, want.collect()))
+
+
 def test_impact(spark):
     rows = spark.createDataFrame([(x,) for x in (0.8, 0.6, 0.4, 0.2, 0.05)], "x double")
     assert [r.i for r in rows.select(T.impact(F.col("x")).alias("i")).collect()] == [5, 4, 3, 2, 1]

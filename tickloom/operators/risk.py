@@ -59,12 +59,25 @@ def account_curve(trades: DataFrame, by: tuple[str, ...], order: tuple[str, ...]
     task holds an account's trades, and rows are shuffled by account and day only.
     """
     day, c = [*by, "_day"], F.col
+    rows = _inside(trades, by, order, at)
+    days = rows.groupBy(*day).agg(F.sum("_pnl").alias("_total"), F.max("_sum").alias("_most"), F.count("*").alias("_all"), F.max("_won").alias("_last"))
+    return _joined(rows, _carried(days, by, balance), by).drop("_day", "_pnl", "_n", "_sum", "_top", "_won")
+
+
+def _inside(trades: DataFrame, by: tuple[str, ...], order: tuple[str, ...], at: str) -> DataFrame:
+    """`trades` with what a day's trades tell of themselves: _day, _pnl, _n (place), _sum and _top (results so far, and their
+    highest), _won (place of the last trade without loss)."""
     rows = trades.withColumns({"_day": F.to_date(at), "_pnl": F.coalesce(F.round("pnl", 2), F.lit(0.0)).cast("decimal(28,2)")})
-    inside = Window.partitionBy(*day).orderBy(*order)
+    inside = Window.partitionBy(*by, "_day").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"_n": F.row_number().over(inside), "_sum": F.sum("_pnl").over(upto)})
-    rows = rows.withColumns({"_top": F.max("_sum").over(upto), "_won": F.max(F.when(c("_pnl") >= 0, c("_n"))).over(upto)})
-    days = rows.groupBy(*day).agg(F.sum("_pnl").alias("_total"), F.max("_sum").alias("_most"), F.count("*").alias("_all"), F.max("_won").alias("_last"))
+    return rows.withColumns({"_top": F.max("_sum").over(upto), "_won": F.max(F.when(F.col("_pnl") >= 0, F.col("_n"))).over(upto)})
+
+
+def _carried(days: DataFrame, by: tuple[str, ...], balance: float) -> DataFrame:
+    """`days` (_total, _most, _all, _last of each) with what the days before leave: _start (equity), _losses in a row, and
+    _peak of the week before the day."""
+    c = F.col
     along = Window.partitionBy(*by).orderBy("_day")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumns({
@@ -74,19 +87,28 @@ def account_curve(trades: DataFrame, by: tuple[str, ...], order: tuple[str, ...]
     })
     lost = F.sum("_tail").over(Window.partitionBy(*by, "_block").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0))
     week = Window.partitionBy(*by, "_week").orderBy("_day")
-    days = days.withColumn("_lost", lost).withColumns({
+    return days.withColumn("_lost", lost).withColumns({
         "_losses": F.coalesce(F.lag("_lost").over(along), F.lit(0)),
         "_peak": F.greatest(F.first("_start").over(week), F.max(c("_start") + c("_most")).over(week.rowsBetween(Window.unboundedPreceding, -1))),
     })
-    days = days.select(*[c(x).alias(f"_k{i}") for i, x in enumerate(day)], "_start", "_losses", "_peak")
-    joined = rows.join(days, reduce(and_, [c(x).eqNullSafe(c(f"_k{i}")) for i, x in enumerate(day)]))
+
+
+def _same(by: list[str]) -> Column:
+    """The columns `by` are equal to _k0, _k1 and so on, null to null."""
+    return reduce(and_, [F.col(x).eqNullSafe(F.col(f"_k{i}")) for i, x in enumerate(by)], F.lit(True))
+
+
+def _joined(rows: DataFrame, days: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """`rows` (`_inside`) with the columns of the curve, by their days (`_carried`)."""
+    c, day = F.col, [*by, "_day"]
+    joined = rows.join(days.select(*[c(x).alias(f"_k{i}") for i, x in enumerate(day)], "_start", "_losses", "_peak"), _same(day))
     equity, day_peak = c("_start") + c("_sum"), F.greatest(c("_start"), c("_start") + c("_top"))
     below = lambda peak: F.when(peak > 0, (peak.cast("double") - equity.cast("double")) / peak.cast("double") * 100).otherwise(0.0)
     joined = joined.withColumns({
         "equity": equity.cast("double"), "drawdown": below(day_peak), "weekly_drawdown": below(F.greatest("_peak", day_peak)), "daily_pnl": c("_sum").cast("double"),
         "losses_in_row": (c("_n") - F.coalesce("_won", F.lit(0)) + F.when(c("_won").isNull(), c("_losses")).otherwise(0)).cast("long"),
     })
-    return joined.drop("_day", "_pnl", "_n", "_sum", "_top", "_won", "_start", "_losses", "_peak", *[f"_k{i}" for i in range(len(day))])
+    return joined.drop("_start", "_losses", "_peak", *[f"_k{i}" for i in range(len(day))])
 
 
 def streaks(trades: DataFrame, by: tuple[str, ...], order: tuple[str, ...], at: str = "closed_at") -> DataFrame:
@@ -105,17 +127,22 @@ def drawdowns(trades: DataFrame, by: tuple[str, ...], order: tuple[str, ...], ba
     return account_curve(trades, by, order, balance, at).select(*trades.columns, "equity", "drawdown", "weekly_drawdown")
 
 
+def _reason(columns: list[str], p: RiskParams) -> Column:
+    """The first limit that a row of a curve with these columns breaks."""
+    weekly = F.col("weekly_drawdown") > p.max_weekly_drawdown if "weekly_drawdown" in columns else F.lit(False)
+    return (
+        F.when(F.col("drawdown") > p.max_daily_drawdown, "drawdown").when(weekly, "weekly drawdown")
+        .when(F.col("daily_pnl") <= -p.max_daily_loss, "daily loss").when(F.col("losses_in_row") >= p.max_consecutive_losses, "consecutive losses")
+    )
+
+
 def breaker(curve: DataFrame, p: RiskParams, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """`curve` with tripped and trip_reason: latched from the first row on that breaks a limit.
 
     Needs: drawdown (per cent of the peak), daily_pnl, losses_in_row; weekly_drawdown counts if it is there. The first such
     row of each account is an aggregate, and joined back; rows of equal order trip together.
     """
-    weekly = F.col("weekly_drawdown") > p.max_weekly_drawdown if "weekly_drawdown" in curve.columns else F.lit(False)
-    reason = (
-        F.when(F.col("drawdown") > p.max_daily_drawdown, "drawdown").when(weekly, "weekly drawdown")
-        .when(F.col("daily_pnl") <= -p.max_daily_loss, "daily loss").when(F.col("losses_in_row") >= p.max_consecutive_losses, "consecutive losses")
-    )
+    reason = _reason(curve.columns, p)
     place = F.struct(*[F.col(c) for c in order])
     first = curve.withColumn("_reason", reason).where(F.col("_reason").isNotNull()).groupBy(*by).agg(F.min(F.struct(place.alias("at"), F.col("_reason").alias("reason"))).alias("_first"))
     first = first.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_first")
@@ -125,6 +152,42 @@ def breaker(curve: DataFrame, p: RiskParams, by: tuple[str, ...], order: tuple[s
     return joined.withColumn("tripped", tripped).withColumn("trip_reason", F.when(F.col("tripped"), F.col("_first.reason")).otherwise("")).drop("_first", *[f"_k{i}" for i in range(len(by))])
 
 
+def first_trips(trades: DataFrame, p: RiskParams, by: tuple[str, ...], order: tuple[str, ...], balance: float = 0.0, at: str = "closed_at") -> DataFrame:
+    """(by, blocked, reason, tripped_at): the first trip of each account, and the number of its trades from there on; 0, ""
+    and null if there is none. It is what `breaker` tells of `account_curve`; `order` begins with `at`.
+
+    Trades are read and dealt by day once, and few of them are kept: in a day whose highest result so far stands, only a
+    new lowest one can be the first to break a limit on equity, whatever the day starts with; the limit on losses in a row is
+    met first where it is reached. With each day's first and last trade these are stored.
+    """
+    from ..functions.store import stored
+
+    c, day, place = F.col, [*by, "_day"], F.struct(*[F.col(x) for x in order])
+    rows = _inside(trades.select(*by, *order, "pnl"), by, order, at)
+    inside = Window.partitionBy(*day).orderBy(*order)
+    high = F.greatest("_top", F.lit(0).cast("decimal(28,2)"))
+    # Highest results don't fall, so that the largest of these pairs has the highest one and the lowest result since.
+    lowest = F.struct(high.alias("high"), (-c("_sum")).alias("depth"))
+    rows = rows.withColumns({
+        "_rank": F.rank().over(inside), "_final": F.lead("_n").over(inside).isNull(),
+        "_new": F.coalesce(lowest > F.max(lowest).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)),
+    })
+    limit = p.max_consecutive_losses
+    reached = (c("_n") - F.coalesce("_won", F.lit(0)) == limit) | (c("_won").isNull() & (c("_n") <= limit))
+    kept = stored(rows.where(c("_new") | c("_final") | (c("_n") == 1) | reached).drop("pnl", "_pnl", "_new"))
+    last = lambda x: F.max(F.when(c("_final"), c(x)))
+    days = kept.groupBy(*day).agg(last("_sum").alias("_total"), last("_top").alias("_most"), last("_n").alias("_all"), last("_won").alias("_last"), F.min(at).alias("_least"))
+    days = _carried(days, by, balance)
+    curve = _joined(kept, days, by)
+    broken = curve.withColumn("_reason", _reason(curve.columns, p)).where(c("_reason").isNotNull())
+    first = broken.groupBy(*by).agg(F.min(F.struct(place.alias("at"), c("_reason").alias("reason"), c("_day").alias("day"), c("_rank").alias("rank"))).alias("_first"))
+    joined = days.join(first.select(*[c(x).alias(f"_k{i}") for i, x in enumerate(by)], "_first"), _same(by), "left")
+    on, after = c("_day").eqNullSafe(c("_first.day")), (c("_day") > c("_first.day")) | (c("_first.day").isNull() & c("_day").isNotNull())
+    blocked = F.when(c("_first").isNull(), 0).when(on, c("_all") - c("_first.rank") + 1).when(after, c("_all")).otherwise(0)
+    start = F.when(c("_first").isNotNull(), F.when(on, c(f"_first.at.{at}")).when(after, c("_least")))
+    return joined.groupBy(*by).agg(F.sum(blocked).cast("long").alias("blocked"), F.coalesce(F.max("_first.reason"), F.lit("")).alias("reason"), F.min(start).alias("tripped_at"))
+
+
 #: What a tripped breaker does with open positions; anything else counts as the first.
 ACTIONS = ("block_only", "tighten_stops", "close_all", "close_worst")
 

@@ -330,17 +330,12 @@ g AS (SELECT *, coalesce(first_value(reason IGNORE NULLS) OVER (PARTITION BY str
 """
 
 
-def _breaker(t: Tables) -> DataFrame:
-    from ..functions.store import stored
-
-    # Both are read twice: trades by days and rows, the curve for the first trip and for what follows it.
-    own = stored(priced(t).select(*BY, *ORDER, "pnl"))
-    rows = stored(K.account_curve(own, BY, ORDER, 10_000_000).drop("equity"))
-    return K.breaker(rows, RiskParams(max_daily_drawdown=4, max_weekly_drawdown=6, max_daily_loss=500_000, max_consecutive_losses=12), BY, ORDER)
+def _trips(t: Tables) -> DataFrame:
+    return K.first_trips(priced(t), RiskParams(max_daily_drawdown=4, max_weekly_drawdown=6, max_daily_loss=500_000, max_consecutive_losses=12), BY, ORDER, 10_000_000)
 
 
 query("circuit_breaker_trips", _TRIPS + "SELECT strategy, count(*) FILTER (trip_reason <> '') AS blocked, max(trip_reason) AS reason, min(closed_at) FILTER (trip_reason <> '') AS tripped_at FROM g GROUP BY strategy")(
-    lambda t: _breaker(t).groupBy("strategy").agg(F.count_if("tripped").alias("blocked"), F.max("trip_reason").alias("reason"), F.min(F.when(F.col("tripped"), F.col("closed_at"))).alias("tripped_at"))
+    lambda t: _trips(t).select("strategy", "blocked", "reason", "tripped_at")
 )
 _HELD = """l AS (SELECT symbol, arg_max(price, (ts, seq)) AS price FROM ticks GROUP BY symbol),
 h AS (SELECT e.event_id AS position_id, e.event_type AS symbol, e.value AS entry, l.price AS last, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS quantity, CASE WHEN e.event_id % 2 = 0 THEN 1 ELSE -1 END AS side, e.value / 2 AS stop FROM events e LEFT JOIN l ON e.event_type = l.symbol),
