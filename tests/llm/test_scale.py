@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
@@ -77,3 +78,27 @@ def test_ids_that_are_no_numbers(spark):
     docs = spark.createDataFrame([(f"d{i}", bad if i % 4 == 0 else good) for i in range(200)], "doc_id string, text string")
     labels = spark.createDataFrame([(f"d{i}", int(i % 4 == 0)) for i in range(200)], "doc_id string, toxic int")
     assert toxicity.train(docs, labels) is not None
+
+
+def test_lean_workers_give_memory_back():
+    """What a batch's work has freed goes back to the system, though small pieces of it are still in use."""
+    import re
+
+    from tickloom.llm import kernels as K
+
+    def held() -> float:
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", f.read()))) / 1024
+
+    kept, most = [], []
+
+    def run(batches):
+        for batch in batches:
+            many = [np.ones(8000) for _ in range(3000)]  # 190 MB in pieces of 64 KB
+            kept.extend(many[::100])
+            most.append(held())
+            del many
+            yield batch
+
+    assert list(K.lean(run)(iter([1, 2]))) == [1, 2]
+    assert held() < max(most) - 150

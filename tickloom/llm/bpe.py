@@ -406,7 +406,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
                 rows = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(ids, pa.int32()))], [*kept, "token_ids"])
 
-    return docs.select(*map(quoted, kept)).mapInArrow(run, schema)
+    return docs.select(*map(quoted, kept)).mapInArrow(K.lean(run), schema)
 
 
 def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
@@ -432,4 +432,4 @@ def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str
                 lists = [pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(ids, pa.int32()))] if wanted else []
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(to), pa.int64()), *map(pa.array, digests), *lists], names=schema.names)
 
-    return docs.select(quoted(key), quoted(text)).mapInArrow(run, schema)
+    return docs.select(quoted(key), quoted(text)).mapInArrow(K.lean(run), schema)

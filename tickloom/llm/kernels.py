@@ -6,8 +6,9 @@ MB (a longer text is a chunk of its own), so that memory stays bounded by the lo
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,29 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def give_back() -> None:
+    """Return memory that is freed but still held to the system: Arrow's, and the C library's where that is glibc."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for mapInArrow, which gives memory back after each batch and at its end: workers stay for later stages."""
+
+    def each(batches: Iterator) -> Iterator:
+        for batch in batches:
+            yield batch
+            give_back()
+
+    def made(batches: Iterator) -> Iterator:
+        yield from run(each(batches))
+        give_back()
+
+    return made
+
+
 def chunks(column, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows with about `most` bytes."""
     data, off = buffers(column)

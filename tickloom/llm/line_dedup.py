@@ -69,7 +69,7 @@ def postings(docs: DataFrame, least: int = 20, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), batch.column(0).take(rows), batch.column(2).take(rows)], names=[*KEY, "doc_id", "tie"])
 
     rows = docs.select(quoted(key).cast("long").alias("doc_id"), quoted(text).alias("text"), tie(quoted(text)).alias("tie"))
-    return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, tie long")
+    return rows.mapInArrow(K.lean(run), "k1 long, k2 long, doc_id long, tie long")
 
 
 def reference_counts(rows: DataFrame, least_docs: int = 1) -> DataFrame:
@@ -160,7 +160,7 @@ def apply_drops(docs: DataFrame, drops: DataFrame, least: int = 20, key: str = "
     rows = docs.select(payload(docs).alias("p"), quoted(text).alias("text"), F.xxhash64(quoted(key).cast("long"), tie(quoted(text))).alias("row")).repartition(parts, "row")
     joined = rows.join(each, F.col("row") == F.col("of"), "left").select("p", "text", "drops")
     schema = docs.select(payload(docs).alias("p")).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long"), "kept_text": F.lit("")}).schema
-    return joined.mapInArrow(_cut(schema.names, least), schema)
+    return joined.mapInArrow(K.lean(_cut(schema.names, least)), schema)
 
 
 def shards_for(n_keys: int) -> int:

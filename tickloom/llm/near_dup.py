@@ -93,7 +93,7 @@ def sign(docs: DataFrame, key: str, text: str, weights: str) -> DataFrame:
                 size = 2 * BANDS * ROWS
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:3], lists, pa.array([marks[x * size : (x + 1) * size] for x in range(j - i)], pa.binary())], names=schema.names)
 
-    return docs.select(*node(quoted(text)), quoted(key).alias("doc_id"), quoted(text).alias("t")).mapInArrow(run, schema)
+    return docs.select(*node(quoted(text)), quoted(key).alias("doc_id"), quoted(text).alias("t")).mapInArrow(K.lean(run), schema)
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                 rows = K.binary_array(hashes.view(np.uint8), 8 * first)
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:2], rows], names=["a", "b", "set"])
 
-    return texts.mapInArrow(run, "a long, b long, set binary")
+    return texts.mapInArrow(K.lean(run), "a long, b long, set binary")
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -132,7 +132,7 @@ def verify(pairs: DataFrame, least: float) -> DataFrame:
             keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(one, two, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1, 3, 4)], names=["xa", "xb", "ya", "yb"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("xa", "xb", "xset", "ya", "yb", "yset").mapInArrow(run, "xa long, xb long, ya long, yb long")
+    return pairs.select("xa", "xb", "xset", "ya", "yb", "yset").mapInArrow(K.lean(run), "xa long, xb long, ya long, yb long")
 
 
 def components(links: DataFrame) -> DataFrame:

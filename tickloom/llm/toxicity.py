@@ -141,7 +141,7 @@ def document_frequencies(texts: DataFrame, known: np.ndarray) -> tuple[int, dict
                 n += j - i
         yield pa.RecordBatch.from_arrays([pa.array(np.append(known.view(np.int64), 0)), pa.array(np.append(np.zeros(len(known), bool), True)), pa.array(np.append(seen, n))], names=["feature", "total", "n"])
 
-    found = texts.mapInArrow(run, "feature long, total boolean, n long").groupBy("feature", "total").agg(F.sum("n").alias("n")).collect()
+    found = texts.mapInArrow(K.lean(run), "feature long, total boolean, n long").groupBy("feature", "total").agg(F.sum("n").alias("n")).collect()
     return sum(r["n"] for r in found if r["total"]), {r["feature"]: r["n"] for r in found if not r["total"]}
 
 
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
         return run
 
-    seen = sample.mapInArrow(count(None, False), "kind int, feature long").groupBy("feature").agg(F.sum("kind").alias("p"), F.sum(1 - F.col("kind")).alias("u"))
+    seen = sample.mapInArrow(K.lean(count(None, False)), "kind int, feature long").groupBy("feature").agg(F.sum("kind").alias("p"), F.sum(1 - F.col("kind")).alias("u"))
     share_p, share_u = (F.col("p") + 0.5 * prior) / len(p), (F.col("u") + 0.5) / max(1, len(u))
     spread = F.sqrt(share_p / len(p) + share_u / max(1, len(u)))
     n_features = min(MOST_FEATURES, FEATURES_EACH * len(p))
@@ -197,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         n_docs, in_docs = document_frequencies(outside, np.sort(np.array([*often], np.int64).view(np.uint64)))
         bounds = [(n + 2 * n**0.5 + 1) / max(1, n_docs) * len(p) / often[f] for f, n in in_docs.items()]
         prior = max(min([prior, *bounds]), 1e-3)
-    table = sample.mapInArrow(count(known, True), "kind int, n_words long, features array<int>, counts array<int>").orderBy("kind", "n_words", "features", "counts").toArrow()
+    table = sample.mapInArrow(K.lean(count(known, True)), "kind int, n_words long, features array<int>, counts array<int>").orderBy("kind", "n_words", "features", "counts").toArrow()
     if not table.num_rows:
         return None
     kind = table.column("kind").to_numpy()
@@ -236,4 +236,4 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
             for i, j, data, off in K.chunks(batch.column(at), CHUNK):
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(model.score(data, off))], names=schema.names)
 
-    return docs.select(*map(quoted, kept)).mapInArrow(run, schema)
+    return docs.select(*map(quoted, kept)).mapInArrow(K.lean(run), schema)
